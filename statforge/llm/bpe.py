@@ -10,6 +10,7 @@ marked, so that each is left once. Pieces (matches of the split pattern) are mem
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -23,6 +24,27 @@ from pyspark.sql import functions as F
 MEMO = 1 << 19
 
 
+#: Below this code point a split pattern is also compiled for re, with its \\p classes spelt out.
+NARROW = 0x250
+_WIDE = re.compile(f"[^\\x00-{chr(NARROW - 1)}]").search
+
+
+def narrow_pattern(pattern: str):
+    """findall for texts below NARROW: re is about twice as fast as regex, and each class is taken from regex."""
+    every = "".join(map(chr, range(NARROW)))
+    spelt = lambda m: "".join(map(re.escape, regex.findall(m[0], every)))
+    try:
+        compiled = re.compile(re.sub(r"\\[psSd](?:\{\w+\})?", lambda m: spelt(m) if _in_class(pattern, m.start()) else f"[{spelt(m)}]", pattern))
+    except re.error:
+        return None
+    probes = [every, every[::-1], "".join(a + b for a in every for b in " a1.\n'" + chr(0xE9))]
+    return compiled.findall if all(compiled.findall(x) == regex.findall(pattern, x) for x in probes) else None
+
+
+def _in_class(pattern: str, at: int) -> bool:
+    return pattern.rfind("[", 0, at) > pattern.rfind("]", 0, at)
+
+
 class Encoder:
     """lines: the lines of a rank file, "base64(token) rank"."""
 
@@ -30,6 +52,7 @@ class Encoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.findall = regex.compile(pattern).findall
+        self.narrow = narrow_pattern(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
@@ -119,7 +142,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         ids, memo = [], self.pieces
-        for piece in self.findall(text):
+        for piece in self.narrow(text) if self.narrow and not _WIDE(text) else self.findall(text):
             got = memo.get(piece)
             if got is None:
                 if len(memo) >= MEMO:
