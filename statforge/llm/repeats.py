@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textcodes as tc
 from .scratch import materialise
@@ -293,15 +294,15 @@ def unzipped(column) -> list[bytes]:
 
 
 def zipped(batches):
-    """(part, doc, text) -> (part, doc, z): texts go through a shuffle compressed."""
+    """(text, others) -> (z, others): texts go through a shuffle compressed."""
     c = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        texts = [c.compress((x.as_py() or "").encode()) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc"), pa.array(texts, pa.binary())], names=["part", "doc", "z"])
+        texts = [c.compress((x.as_py() or "").encode()) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *batch.columns[1:]], names=["z", *batch.schema.names[1:]])
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, symbols_of: Callable, rule_of: Callable, join: Callable, finish: Callable, schema: str, name: str) -> DataFrame:
-    """docs -> finish(ids, bytes, offsets, spans) of every row, where spans are the windows that repeat."""
+def repeated(docs: DataFrame, id_col: str, text_col: str, symbols_of: Callable, rule_of: Callable, join: Callable, finish: Callable, schema: str, name: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs -> finish(ids, ids in numpy, texts, spans) and the columns `carry` of every row, where spans are the windows that repeat."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -309,13 +310,21 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, symbols_of: Callable,
     found = rows.mapInArrow(scanner(symbols_of, rule), ROW).repartition(deal, "key").mapInArrow(reducer(rule, join, True), ROW)
     found = materialise(found, name)
     part = F.coalesce(part_column(F.col("doc"), rule.parts), F.lit(int(part_of(np.array([NULL_ID]), rule.parts)[0])))
-    texts = rows.select(part.alias("part"), "doc", "text").mapInArrow(zipped, "part long, doc long, z binary")
+    extra = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
+    wide = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), *extra).withColumn("part", part)
+    texts = wide.mapInArrow(zipped, StructType([StructField("z", BinaryType()), *wide.schema.fields[1:]]))
     asks = found.filter(F.col("kind") == ASK)
     spans = found.filter(F.col("kind") == SPAN)
     second = texts.groupBy("part").cogroup(asks.groupBy("key")).applyInArrow(asker(symbols_of, rule), ROW)
     spans = spans.unionByName(second.repartition(deal, "key").mapInArrow(reducer(rule, join, False), ROW))
 
     def last(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
-        return finish(docs.column("doc"), ids(docs, "doc"), unzipped(docs.column("z")), read_spans(spans))
-
+        out = finish(docs.column("doc"), ids(docs, "doc"), unzipped(docs.column("z")), read_spans(spans))
+        for i, c in enumerate(carry):
+            out = out.append_column(c, docs.column(f"__c{i}"))
+        return out
+
+    schema = StructType([*StructType.fromDDL(schema).fields, *(StructField(c, docs.schema[c].dataType) for c in carry)])
+    if len(set(schema.names)) < len(schema.names):
+        raise ValueError("a carried column has the name of a result")
     return texts.groupBy("part").cogroup(spans.groupBy("key")).applyInArrow(last, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -32,9 +33,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this driver has written so far; for callers whose results are already stored elsewhere."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path that release() leaves alone."""
+    return f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_previous: list[str] = []
+
+
+def staged(stage):
+    """For stages whose results the caller writes before it calls the next: what one stage has written
+    on the way is deleted when the next begins, and nothing else is."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        while _previous:
+            delete(spark, _previous.pop())
+        before = len(_written)
+        out = stage(spark, docs, sf_dir)
+        _previous.extend(_written[before:])
+        return out
+
+    return run

@@ -9,6 +9,8 @@ the family at once, which also keeps the levels small where copies are many.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,10 +60,15 @@ def _bytes(buf, offs):
 SCHEMA = "doc_id long, n_bytes long, n_removed long, span_starts array<int>, span_ends array<int>, kept binary"
 
 
-def _finish(raw_ids, ids, texts, spans) -> pa.Table:
+def _finish(raw_ids, ids, texts, spans, whole: bool = False) -> pa.Table:
     buf, offs = tc.buffer_of(pa.array(texts, pa.large_binary()))
     _, begin, size = rp.places_of(ids, offs, spans)
     gone = tc.covered(len(buf), begin, begin + size) if len(buf) else np.zeros(0, bool)
+    if whole:
+        char = np.cumsum((buf & 0xC0) != 0x80) - 1
+        hit = np.zeros(len(buf), bool)
+        hit[char[gone]] = True
+        gone = hit[char] if len(buf) else gone
     before = np.zeros(len(buf) + 1, bool)
     before[1:] = gone
     before[offs[:-1]] = False
@@ -84,7 +91,7 @@ def _finish(raw_ids, ids, texts, spans) -> pa.Table:
     })
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, anchor: int = 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, anchor: int = 20, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Remove bytes covered by a `min_bytes` string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes; matches do not cross documents and are judged on the input. Result: a row
@@ -92,8 +99,10 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bytes) and `kept`, the remaining bytes. A null text is empty. Null ids count as one document with
     the smallest id. Rows that share an id are one document: none of them is "smaller" than another,
     and a span found in one is removed at that place of each. Empty table: no rows. Other columns are
-    ignored. `anchor` (k) trades index size against the number of windows compared one by one.
+    ignored, but for those named in `carry`, which come back. `whole_characters`: a character of which
+    a byte goes, goes whole. `anchor` (k) trades index size against the windows compared one by one.
     """
     if not 1 <= anchor <= min_bytes <= 250:
         raise ValueError("1 <= anchor <= min_bytes <= 250")
-    return rp.repeated(docs, id_col, text_col, _bytes, lambda parts, buckets: rp.Rule(min_bytes, anchor, False, parts, buckets), _family, _finish, SCHEMA, "suffix")
+    finish = partial(_finish, whole=whole_characters)
+    return rp.repeated(docs, id_col, text_col, _bytes, lambda parts, buckets: rp.Rule(min_bytes, anchor, False, parts, buckets), _family, finish, SCHEMA, "suffix", tuple(carry))
