@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textcodes as tc
+
 #: Memoised pieces and pairs of a worker, before it starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 18
 
 
 #: Below this code point a split pattern is also compiled for re, with its \\p classes spelt out.
@@ -57,7 +59,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
@@ -141,15 +143,15 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        ids, memo = [], self.pieces
+        out, memo = [], self.pieces
         for piece in self.narrow(text) if self.narrow and not _WIDE(text) else self.findall(text):
             got = memo.get(piece)
             if got is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                got = memo[piece] = tuple(self.encode_bytes(piece.encode()))
-            ids += got
-        return np.array(ids, "<u4")
+                got = memo[piece] = np.array(self.encode_bytes(piece.encode()), "<u4").tobytes()
+            out.append(got)
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -175,6 +177,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     with open(ranks_path, "rb") as f:
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @tc.trimmed
     def encode(batches):
         enc = _encoder(lines.value, pattern)
         for batch in batches:

@@ -85,6 +85,7 @@ def count_slice(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def _counting(text_col: str):
+    @tc.trimmed
     def count(batches):
         for batch in batches:
             found = [count_slice(buf, offs) for _, _, buf, offs in tc.batches(batch, text_col, _SLICE)]

@@ -208,6 +208,7 @@ def ids(batch, name: str) -> np.ndarray:
 def scanner(symbols_of: Callable, rule: Rule):
     """Of (doc, text) batches, the unit entries."""
 
+    @tc.trimmed
     def scan(batches):
         found, size = [], 0
         for batch in batches:
@@ -230,6 +231,7 @@ def reducer(rule: Rule, join: Callable, ask: bool):
 
     join(batches of entries, rule) has the method's own structure and yields settled groups."""
 
+    @tc.trimmed
     def reduce(batches):
         blobs = []
         for batch in batches:

@@ -6,6 +6,8 @@ handful of array passes. Fingerprints are 64-bit polynomials over a fixed random
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,3 +155,19 @@ def batches(table: pa.Table | pa.RecordBatch, text: str, limit: int) -> Iterator
     buf, offs = buffer_of(table.column(text))
     for lo, hi in slices(offs, limit):
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+
+
+def trimmed(task):
+    """For functions of a task's batches: at the end, freed memory goes back to the system, for the
+    worker process stays and shares its executor's memory with the next task."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return run
