@@ -3,8 +3,9 @@
 A document is its set of distinct n-word shingles (fingerprints). Documents are first partitioned so
 that no link is lost: two sets of sizes a and b whose Jaccard similarity is t or more differ in at
 most d = (a + b)(1 - t)/(1 + t) shingles, so of d + 1 + x parts of the shingle space they agree in
-x + 1 at least. The fingerprint of each part of each set is its signature; sets that share one are in
-the same family. A family holds a token-group matrix: its documents in groups, each with its token
+x + 1 at least. The fingerprint of each part of each set is its signature. Of sets that share one, the
+parity bitmaps tell which may link at all: two sets differ in at least as many shingles as their
+bitmaps differ in bits. Those that may are in the same family. A family holds a token-group matrix: its documents in groups, each with its token
 union. A document is compared with a group's members only if its overlap with the union reaches what
 a link needs, and only with members it isn't connected with yet.
 
@@ -29,10 +30,13 @@ from . import textcodes as tc
 from .components import connected_components
 from .scratch import materialise
 
-SIGNATURE, EDGE, DOC = 0, 1, 2
+SIGNATURE, EDGE, DOC, GROUPED = 0, 1, 2, 3
 _SLICE = 1 << 20
 #: Documents of a block, and of a group in it.
 BLOCK, GROUP = 1024, 32
+#: Documents with one signature that are compared by bitmaps, of a task and of all; those beyond are
+#: taken to be of one family, which its resolution puts right.
+LOCAL, MOST = 64, 512
 _SIGN_COLUMNS = (("sign", np.uint64, 8), ("doc", np.int64, 8))
 _EDGE_COLUMNS = (("a", np.int64, 8), ("b", np.int64, 8))
 _DOC_COLUMNS = (("doc", np.int64, 8), ("n", np.int64, 4), ("one", np.uint64, 8), ("two", np.uint64, 8))
@@ -130,27 +134,66 @@ def signatures(code: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(out_doc), np.concatenate(out_sign)
 
 
-def star_edges(sign: np.ndarray, doc: np.ndarray):
-    """(kept signatures, their documents, edges): of documents with one signature, the smallest stands for it."""
+def bits_of(n: int, percent: int) -> int:
+    """Bits of a set's parity bitmap: a power of two, enough to tell apart sets that share half."""
+    return 1 << max(6, min(15, (4 * n * (100 - percent) // 100).bit_length()))
+
+
+def bitmaps(code: np.ndarray, offs: np.ndarray, percent: int) -> list[bytes]:
+    """Of each set, a bitmap of which bit i is the parity of the shingles that fall on it."""
+    size = np.array([bits_of(int(n), percent) for n in np.diff(offs)], np.int64)
+    base = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(size)), np.diff(offs))
+    place = base[owner] + (tc.mix(code + np.uint64(0xB17)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[lo // 8 : hi // 8] for lo, hi in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def may_link(n: int, one: int, m: int, two: int, percent: int) -> bool:
+    """False only if sets of these sizes and bitmaps can't link."""
+    if n * 100 < percent * m or m * 100 < percent * n:
+        return False
+    a, b = bits_of(n, percent), bits_of(m, percent)
+    while a > b:
+        a //= 2
+        one = (one >> a) ^ (one & ((1 << a) - 1))
+    while b > a:
+        b //= 2
+        two = (two >> b) ^ (two & ((1 << b) - 1))
+    return (one ^ two).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def thinned(sign: np.ndarray, doc: np.ndarray, most: int):
+    """(signatures, documents, edges) in order: where more than `most` documents have one signature, the
+    others are tied to the first of them by an edge and go."""
     order = np.lexsort((doc, sign))
     sign, doc = sign[order], doc[order]
-    new = rp._first_of_runs(sign)
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-    edge = doc != least
-    pairs = np.unique(np.stack((doc[edge], least[edge]), 1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
-    return sign[new], doc[new], (pairs[:, 0], pairs[:, 1])
+    keep = rp._first_of_runs(sign, doc)
+    sign, doc = sign[keep], doc[keep]
+    heads = np.flatnonzero(rp._first_of_runs(sign))
+    sizes = np.diff(np.append(heads, len(sign)))
+    place = np.arange(len(sign)) - np.repeat(heads, sizes)
+    over = place >= most
+    least = np.repeat(doc[heads], sizes)
+    pairs = np.unique(np.stack((doc[over], least[over]), 1), axis=0) if over.any() else np.zeros((0, 2), np.int64)
+    return sign[~over], doc[~over], (pairs[:, 0], pairs[:, 1])
+
+
+def _fold(doc: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """A fingerprint of each group's documents."""
+    return tc.mix(np.add.reduceat(tc.mix(doc.view(np.uint64)), heads))
 
 
 def _scan(rule: Jaccard, buckets: int):
     def flush(docs, signs, owners):
-        one = np.concatenate(signs)
-        kept, doc, edges = star_edges(one, np.concatenate(owners))
-        order = np.argsort(kept, kind="stable")
-        yield from rp.rows_by(SIGNATURE, ((kept[order] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [kept[order], doc[order]], _SIGN_COLUMNS)
+        kept, doc, edges = thinned(np.concatenate(signs), np.concatenate(owners), LOCAL)
+        yield from rp.rows_by(SIGNATURE, ((kept >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [kept, doc], _SIGN_COLUMNS)
         yield from rp.rows_by(EDGE, edges[0] % buckets, edges, _EDGE_COLUMNS)
-        columns = [np.concatenate(x) for x in zip(*docs, strict=True)]
-        yield from rp.rows_by(DOC, columns[0] % buckets, columns, _DOC_COLUMNS)
+        for columns, maps in docs:
+            packed = rp.pack(columns, _DOC_COLUMNS)
+            yield DOC, int(columns[0][0] % buckets), len(packed).to_bytes(4, "little") + packed + zstandard.ZstdCompressor(level=1).compress(b"".join(maps))
 
+    @tc.trimmed
     def scan(batches):
         docs, signs, owners, size, seen = [], [], [], 0, {}
         for batch in batches:
@@ -159,7 +202,7 @@ def _scan(rule: Jaccard, buckets: int):
                 code, soffs = shingles(buf, offs, rule)
                 n = np.diff(soffs)
                 one, two = (_sums(c, soffs) for c in (code, tc.mix(code + np.uint64(77))))
-                docs.append([ids[lo:hi], n, one, two])
+                docs.append(([ids[lo:hi], n, one, two], bitmaps(code, soffs, rule.percent)))
                 # Equal sets have equal signatures: in a task only the first of them sends its own.
                 first = np.array([seen.setdefault(k, d) == d for k, d in zip(zip(one.tolist(), two.tolist(), strict=True), ids[lo:hi].tolist(), strict=True)], bool)
                 keep = np.repeat(first, n)
@@ -167,7 +210,7 @@ def _scan(rule: Jaccard, buckets: int):
                 signs.append(s)
                 owners.append(ids[lo:hi][first][d])
                 size += len(s)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from rp.to_batches(flush(docs, signs, owners))
                     docs, signs, owners, size, seen = [], [], [], 0, {}
         if docs:
@@ -182,29 +225,78 @@ def _sums(code: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def _link_signatures(batches):
-    """Signature rows of some buckets -> edges; other rows go through, unpacked: (kind, a, b, n, one, two)."""
-    blobs = []
+_FOUND = ("a", "b", "n", "one", "two")
+_FOUND_SCHEMA = "kind int, a long, b long, n long, one long, two long, map binary"
+
 
-    def rows(kind, **columns):
+def _link_signatures(percent: int):
+    """Signature rows of some buckets -> groups of documents with one signature (a: group, b: document) and
+    edges; the rows of documents (a) go through, unpacked."""
+
+    def rows(kind, maps=None, **columns):
         n = len(next(iter(columns.values())))
-        every = [pa.array(np.full(n, kind, np.int32))] + [pa.array(np.ascontiguousarray(columns[c]).view(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in ("a", "b", "n", "one", "two")]
-        return pa.RecordBatch.from_arrays(every, names=["kind", "a", "b", "n", "one", "two"])
+        every = [pa.array(np.full(n, kind, np.int32))] + [pa.array(np.ascontiguousarray(columns[c]).view(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in _FOUND]
+        return pa.RecordBatch.from_arrays([*every, pa.array(maps, pa.binary()) if maps else pa.nulls(n, pa.binary())], names=["kind", *_FOUND, "map"])
 
-    for batch in batches:
-        for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            if kind == SIGNATURE:
-                blobs.append(blob.as_py())
-            elif kind == EDGE:
-                a, b = rp.unpack(blob.as_py(), _EDGE_COLUMNS)
-                yield rows(EDGE, a=a, b=b)
-            else:
-                doc, n, one, two = rp.unpack(blob.as_py(), _DOC_COLUMNS)
-                yield rows(DOC, a=doc, n=n, one=one, two=two)
-    if blobs:
-        sign, doc = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in blobs), strict=True))
-        _, _, (a, b) = star_edges(sign, doc)
-        yield rows(EDGE, a=a, b=b)
+    @tc.trimmed
+    def link(batches):
+        blobs = []
+        for batch in batches:
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if kind == SIGNATURE:
+                    blobs.append(blob.as_py())
+                elif kind == EDGE:
+                    a, b = rp.unpack(blob.as_py(), _EDGE_COLUMNS)
+                    yield rows(EDGE, a=a, b=b)
+                else:
+                    raw = blob.as_py()
+                    cut = 4 + int.from_bytes(raw[:4], "little")
+                    doc, n, one, two = rp.unpack(raw[4:cut], _DOC_COLUMNS)
+                    ends = np.concatenate(([0], np.cumsum([bits_of(int(x), percent) // 8 for x in n]))).tolist()
+                    maps = zstandard.ZstdDecompressor().decompress(raw[cut:])
+                    yield rows(DOC, [maps[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], a=doc, n=n, one=one, two=two)
+        if blobs:
+            sign, doc = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in blobs), strict=True))
+            sign, doc, (a, b) = thinned(sign, doc, MOST)
+            yield rows(EDGE, a=a, b=b)
+            heads = np.flatnonzero(rp._first_of_runs(sign))
+            sizes = np.diff(np.append(heads, len(sign)))
+            group = _fold(doc, heads)
+            once = np.zeros(len(heads), bool)
+            once[np.unique(group, return_index=True)[1]] = True  # equal groups from many signatures count once
+            keep = np.repeat(once & (sizes > 1), sizes)
+            yield rows(GROUPED, a=np.repeat(group, sizes)[keep], b=doc[keep])
+
+    return link
+
+
+def _bounded(percent: int):
+    """(group, doc, n, map), sorted by group -> edges (a, b) among the documents that may link."""
+
+    def settle(members):
+        forest = Forest(len(members))
+        for i, (_, n, one) in enumerate(members):
+            for j in range(i):
+                if forest.root(i) != forest.root(j) and may_link(n, one, members[j][1], members[j][2], percent):
+                    forest.join(i, j)
+        for i, r in enumerate(forest.roots()):
+            if i != r:
+                yield members[i][0], members[r][0]
+
+    def run(batches):
+        group, members = None, []
+        for batch in batches:
+            found = []
+            for g, d, n, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if g != group:
+                    found += settle(members)
+                    group, members = g, []
+                members.append((d, n, int.from_bytes(m, "little")))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        found = list(settle(members))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
 
 
 class Forest:
@@ -329,12 +421,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     real = rows.filter("doc is not null")
-    schema = "kind int, a long, b long, n long, one long, two long"
-    found = materialise(real.mapInArrow(_scan(rule, 4 * deal), rp.ROW).repartition(deal, "key").mapInArrow(_link_signatures, schema), "signatures")
+    found = materialise(real.mapInArrow(_scan(rule, 4 * deal), rp.ROW).repartition(deal, "key").mapInArrow(_link_signatures(percent), _FOUND_SCHEMA), "signatures")
     sized = found.filter(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", "one", "two")
     classes = sized.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
     reps = materialise(sized.filter("n > 0").join(classes, ["n", "one", "two"]).select("doc", "rep", "n").distinct(), "classes")
-    family = materialise(_families(found.filter(F.col("kind") == EDGE).select("a", "b").distinct(), reps), "families")
+    maps = found.filter(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", "map")
+    grouped = found.filter(F.col("kind") == GROUPED).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
+    grouped = grouped.join(maps, "doc").select("group", "doc", "n", "map").repartition(deal, "group").sortWithinPartitions("group")
+    edges = grouped.mapInArrow(_bounded(percent), "a long, b long").unionByName(found.filter(F.col("kind") == EDGE).select("a", "b"))
+    family = materialise(_families(edges.distinct(), reps), "families")
     size = family.groupBy("family").agg(F.count("*").alias("members"))
     small_cells = F.pmod(F.xxhash64("family"), F.greatest(F.lit(1), F.lit(max(1, family.count() // BLOCK))).cast("long"))
     placed = family.join(size, "family")
