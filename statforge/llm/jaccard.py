@@ -423,8 +423,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     real = rows.filter("doc is not null")
     found = materialise(real.mapInArrow(_scan(rule, 4 * deal), rp.ROW).repartition(deal, "key").mapInArrow(_link_signatures(percent), _FOUND_SCHEMA), "signatures")
     sized = found.filter(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", "one", "two")
-    classes = sized.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
-    reps = materialise(sized.filter("n > 0").join(classes, ["n", "one", "two"]).select("doc", "rep", "n").distinct(), "classes")
+    # Equal sets in as many slices as there are partitions, so that no task has all copies of a text.
+    sliced = sized.filter("n > 0").withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(deal)))
+    slices = sliced.groupBy("n", "one", "two", "slice").agg(F.min("doc").alias("least"))
+    classes = slices.groupBy("n", "one", "two").agg(F.min("least").alias("rep"))
+    slices = slices.join(classes, ["n", "one", "two"]).select("n", "one", "two", "slice", "rep")
+    reps = materialise(sliced.join(slices, ["n", "one", "two", "slice"]).select("doc", "rep", "n").distinct(), "classes")
     maps = found.filter(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", "map")
     grouped = found.filter(F.col("kind") == GROUPED).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
     grouped = grouped.join(maps, "doc").select("group", "doc", "n", "map").repartition(deal, "group").sortWithinPartitions("group")
