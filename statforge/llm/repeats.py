@@ -31,7 +31,8 @@ ENTRY, SPAN, ASK = 0, 1, 2
 ROW = "kind int, key long, blob binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
 NULL_ID = np.iinfo(np.int64).min
-_FLUSH = 2_000_000
+#: Units of a task that are settled at once: some 40 bytes each, and several copies while they are sorted.
+_FLUSH = 600_000
 _SLICE = 1 << 18
 _ENTRY_COLUMNS = (("g", np.uint64, 8), ("a", np.uint64, 5), ("doc", np.int64, 8), ("at", np.int64, 4), ("more", np.uint8, 1), ("many", np.uint8, 1))
 _SPAN_COLUMNS = (("doc", np.int64, 8), ("at", np.int64, 4), ("size", np.int64, 4))
@@ -193,7 +194,10 @@ def send(found: list[list[np.ndarray]], rule: Rule):
     """Entries of one batch, settled among themselves, then dealt by prefix; and the spans they show."""
     if not found:
         return
-    entries, spans = settle([np.concatenate(x) for x in zip(*found, strict=True)], rule)
+    joined = [np.concatenate(x) for x in zip(*found, strict=True)]
+    found.clear()
+    entries, spans = settle(joined, rule)
+    del joined
     order = np.argsort(entries[1], kind="stable")
     entries = [x[order] for x in entries]
     yield from rows_by(ENTRY, ((entries[1] >> np.uint64(20)) % np.uint64(rule.buckets)).astype(np.int64), entries, _ENTRY_COLUMNS)

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1500
+
 _written: list[str] = []
 
 
@@ -48,10 +50,13 @@ _previous: list[str] = []
 
 def staged(stage):
     """For stages whose results the caller writes before it calls the next: what one stage has written
-    on the way is deleted when the next begins, and nothing else is."""
+    on the way is deleted when the next begins, and nothing else is. Whole texts go to Python in batches
+    of BATCH_ROWS at most, for an executor keeps the buffers of the largest batch it has sent."""
 
     @functools.wraps(stage)
     def run(spark, docs, sf_dir):
+        if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
         while _previous:
             delete(spark, _previous.pop())
         before = len(_written)
