@@ -237,18 +237,21 @@ def reducer(rule: Rule, join: Callable, ask: bool):
 
     @tc.trimmed
     def reduce(batches):
-        blobs = []
+        blobs = {}
         for batch in batches:
             kinds, keys, data = (batch.column(i) for i in range(3))
             is_entry = np.asarray(kinds.to_numpy(zero_copy_only=False)) == ENTRY
             if not is_entry.all():
                 yield batch.filter(pa.array(~is_entry))
-            blobs += [data[int(i)].as_py() for i in np.flatnonzero(is_entry)]
-        for entries, spans in join((unpack(b, _ENTRY_COLUMNS) for b in blobs), rule):
-            yield from to_batches(rows_by(SPAN, part_of(spans[0], rule.parts), spans, _SPAN_COLUMNS))
-            if ask:
-                asks = asked(entries, rule)
-                yield from to_batches(rows_by(ASK, part_of(asks[0], rule.parts), asks, _SPAN_COLUMNS))
+            for i in np.flatnonzero(is_entry):
+                blobs.setdefault(keys[int(i)].as_py(), []).append(data[int(i)].as_py())
+        while blobs:  # bucket by bucket: equal prefixes are in one bucket
+            _, bucket = blobs.popitem()
+            for entries, spans in join((unpack(b, _ENTRY_COLUMNS) for b in bucket), rule):
+                yield from to_batches(rows_by(SPAN, part_of(spans[0], rule.parts), spans, _SPAN_COLUMNS))
+                if ask:
+                    asks = asked(entries, rule)
+                    yield from to_batches(rows_by(ASK, part_of(asks[0], rule.parts), asks, _SPAN_COLUMNS))
 
     return reduce
 
