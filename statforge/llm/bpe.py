@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -157,11 +156,6 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def _encoder(lines: bytes, pattern: str) -> Encoder:
-    return Encoder(lines.splitlines(), pattern)
-
-
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
 
@@ -179,7 +173,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     @tc.trimmed
     def encode(batches):
-        enc = _encoder(lines.value, pattern)
+        enc = Encoder(lines.value.splitlines(), pattern)  # a task's own: no memo stays in a worker that goes on to other tasks
         for batch in batches:
             ids = [enc.encode(x.as_py() or "") for x in batch.column("text")]
             decoded = [enc.decode(x.tolist()) for x in ids]
