@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 21:  # longer tables are for very long texts and don't stay in the worker
             _powers[base] = have
     return have[:n]
 
