@@ -240,11 +240,11 @@ def _link_signatures(percent: int):
 
     @tc.trimmed
     def link(batches):
-        blobs = []
+        blobs, known = {}, np.zeros(0, np.uint64)
         for batch in batches:
-            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for kind, key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind == SIGNATURE:
-                    blobs.append(blob.as_py())
+                    blobs.setdefault(key, []).append(blob.as_py())
                 elif kind == EDGE:
                     a, b = rp.unpack(blob.as_py(), _EDGE_COLUMNS)
                     yield rows(EDGE, a=a, b=b)
@@ -255,8 +255,9 @@ def _link_signatures(percent: int):
                     ends = np.concatenate(([0], np.cumsum([bits_of(int(x), percent) // 8 for x in n]))).tolist()
                     maps = zstandard.ZstdDecompressor().decompress(raw[cut:])
                     yield rows(DOC, [maps[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], a=doc, n=n, one=one, two=two)
-        if blobs:
-            sign, doc = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in blobs), strict=True))
+        while blobs:  # bucket by bucket: equal signatures are in one bucket
+            _, bucket = blobs.popitem()
+            sign, doc = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in bucket), strict=True))
             sign, doc, (a, b) = thinned(sign, doc, MOST)
             yield rows(EDGE, a=a, b=b)
             heads = np.flatnonzero(rp._first_of_runs(sign))
@@ -264,7 +265,9 @@ def _link_signatures(percent: int):
             group = _fold(doc, heads)
             once = np.zeros(len(heads), bool)
             once[np.unique(group, return_index=True)[1]] = True  # equal groups from many signatures count once
-            keep = np.repeat(once & (sizes > 1), sizes)
+            once &= (sizes > 1) & ~np.isin(group, known)
+            known = np.concatenate((known, group[once]))
+            keep = np.repeat(once, sizes)
             yield rows(GROUPED, a=np.repeat(group, sizes)[keep], b=doc[keep])
 
     return link
