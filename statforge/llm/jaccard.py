@@ -5,7 +5,8 @@ that no link is lost: two sets of sizes a and b whose Jaccard similarity is t or
 most d = (a + b)(1 - t)/(1 + t) shingles, so of d + 1 + x parts of the shingle space they agree in
 x + 1 at least. The fingerprint of each part of each set is its signature. Of sets that share one, the
 parity bitmaps tell which may link at all: two sets differ in at least as many shingles as their
-bitmaps differ in bits. Those that may are in the same family. A family holds a token-group matrix: its documents in groups, each with its token
+bitmaps differ in bits. Those that may are in the same family, and so are all that share a signature
+which too many have for that. A family holds a token-group matrix: its documents in groups, each with its token
 union. A document is compared with a group's members only if its overlap with the union reaches what
 a link needs, and only with members it isn't connected with yet.
 
@@ -34,10 +35,10 @@ SIGNATURE, EDGE, DOC, GROUPED = 0, 1, 2, 3
 _SLICE = 1 << 20
 #: Documents of a block, and of a group in it.
 BLOCK, GROUP = 1024, 32
-#: Documents with one signature that are compared by bitmaps, of a task and of all; those beyond are
-#: taken to be of one family, which its resolution puts right.
+#: Documents with one signature that are compared by bitmaps, of a task and of all; where there are
+#: more, all of them are taken to be of one family, which its resolution puts right.
 LOCAL, MOST = 64, 512
-_SIGN_COLUMNS = (("sign", np.uint64, 8), ("doc", np.int64, 8))
+_SIGN_COLUMNS = (("sign", np.uint64, 8), ("doc", np.int64, 8), ("full", np.uint8, 1))
 _EDGE_COLUMNS = (("a", np.int64, 8), ("b", np.int64, 8))
 _DOC_COLUMNS = (("doc", np.int64, 8), ("n", np.int64, 4), ("one", np.uint64, 8), ("two", np.uint64, 8))
 
@@ -163,20 +164,22 @@ def may_link(n: int, one: int, m: int, two: int, percent: int) -> bool:
     return (one ^ two).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def thinned(sign: np.ndarray, doc: np.ndarray, most: int):
-    """(signatures, documents, edges) in order: where more than `most` documents have one signature, the
-    others are tied to the first of them by an edge and go."""
+def thinned(sign: np.ndarray, doc: np.ndarray, full: np.ndarray, most: int):
+    """(signatures, documents, full, edges) in order: where more than `most` documents have one signature,
+    or it was full before, all are tied to the first of them by an edge, and only that one stays, as full."""
     order = np.lexsort((doc, sign))
-    sign, doc = sign[order], doc[order]
+    sign, doc, full = sign[order], doc[order], full[order]
+    heads = np.flatnonzero(rp._first_of_runs(sign))
+    full = np.repeat(np.maximum.reduceat(full, heads), np.diff(np.append(heads, len(sign)))) if len(heads) else full
     keep = rp._first_of_runs(sign, doc)
-    sign, doc = sign[keep], doc[keep]
+    sign, doc, full = sign[keep], doc[keep], full[keep]
     heads = np.flatnonzero(rp._first_of_runs(sign))
     sizes = np.diff(np.append(heads, len(sign)))
-    place = np.arange(len(sign)) - np.repeat(heads, sizes)
-    over = place >= most
+    full = np.maximum(full, np.repeat(sizes > most, sizes).astype(np.uint8))
     least = np.repeat(doc[heads], sizes)
+    over = (full > 0) & (doc != least)
     pairs = np.unique(np.stack((doc[over], least[over]), 1), axis=0) if over.any() else np.zeros((0, 2), np.int64)
-    return sign[~over], doc[~over], (pairs[:, 0], pairs[:, 1])
+    return sign[~over], doc[~over], full[~over], (pairs[:, 0], pairs[:, 1])
 
 
 def _fold(doc: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -186,8 +189,9 @@ def _fold(doc: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 def _scan(rule: Jaccard, buckets: int):
     def flush(docs, signs, owners):
-        kept, doc, edges = thinned(np.concatenate(signs), np.concatenate(owners), LOCAL)
-        yield from rp.rows_by(SIGNATURE, ((kept >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [kept, doc], _SIGN_COLUMNS)
+        sign, doc = np.concatenate(signs), np.concatenate(owners)
+        kept, doc, full, edges = thinned(sign, doc, np.zeros(len(sign), np.uint8), LOCAL)
+        yield from rp.rows_by(SIGNATURE, ((kept >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [kept, doc, full], _SIGN_COLUMNS)
         yield from rp.rows_by(EDGE, edges[0] % buckets, edges, _EDGE_COLUMNS)
         for columns, maps in docs:
             packed = rp.pack(columns, _DOC_COLUMNS)
@@ -257,8 +261,8 @@ def _link_signatures(percent: int):
                     yield rows(DOC, [maps[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], a=doc, n=n, one=one, two=two)
         while blobs:  # bucket by bucket: equal signatures are in one bucket
             _, bucket = blobs.popitem()
-            sign, doc = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in bucket), strict=True))
-            sign, doc, (a, b) = thinned(sign, doc, MOST)
+            sign, doc, full = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in bucket), strict=True))
+            sign, doc, _, (a, b) = thinned(sign, doc, full, MOST)
             yield rows(EDGE, a=a, b=b)
             heads = np.flatnonzero(rp._first_of_runs(sign))
             sizes = np.diff(np.append(heads, len(sign)))

@@ -182,3 +182,16 @@ def test_levels_hold_every_link():
             assert jaccard.level_of(top, percent) <= c + 1
             parts, spare = jaccard.parts_of(c, percent)
             assert parts - spare > (n + top) * (100 - percent) // (100 + percent)
+
+
+@pytest.mark.parametrize("parts,local,most", [(1, 10, 99), (4, 64, 10)])
+def test_jaccard_full_signatures(spark, monkeypatch, parts, local, most):
+    """Pairs that share one passage with all others: some pairs agree only in signatures that too many have."""
+    monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "MOST", most)
+    passage, docs = [f"p7y{i}" for i in range(16)], []
+    for i in range(30):
+        docs += [(d, " ".join([*passage, f"q7x{i}x0", *(f"{own}7x{i}x{j}" for j in range(2))])) for d, own in ((i, "a"), (59 - i, "b"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs, parts), words=1, percent=80).collect()}
+    assert got == brute_components(docs, 1, 80)
+    assert len({c for _, c in got.values()}) == 30
