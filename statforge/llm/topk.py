@@ -105,9 +105,12 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     if len(todo):
         scores = x @ q[todo].T
         for j, t in enumerate(todo):
-            s = scores[:, j]
-            rows = np.flatnonzero(s >= np.partition(s, n - k - 1)[n - k - 1]) if n > k + 1 else np.arange(n)
-            out.append(_best(ids[rows], s[rows], query_ids[t], k))
+            rows = np.flatnonzero(ids != query_ids[t])  # any number of rows can have the query's id
+            s = scores[rows, j]
+            if len(rows) > k:
+                best = s >= np.partition(s, len(s) - k)[len(s) - k]
+                rows, s = rows[best], s[best]
+            out.append(_best(ids[rows], s, query_ids[t], k))
     return out, early
 
 

@@ -208,6 +208,19 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_rows(spark):
+    r = random.Random(8)
+    same = [2.0] * 6
+    rows = [(100, same)] * 4 + [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    got = sorted((x.rank, x.vec_id, x.score) for x in topk.exact_top_k(df, k=10, every=100).collect())
+    import math
+
+    score = lambda v: sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(same, v, strict=True))
+    best = sorted((-score(v), i) for i, v in rows if i != 100)[:10]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_top_k_stops_early():
     import numpy as np
 
