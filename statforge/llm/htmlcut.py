@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas|select|textarea|button|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _HINT = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that go with all they hold, if they are closed; markup inside is like any other.
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg math object canvas select button".split()}
 #: Tags that leave a block as it is, tags without an end, and tags that close an open one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,10 +43,12 @@ TIE, STEP = 9, 3
 
 
 class Block:
-    __slots__ = ("boiler", "content", "header", "links", "path", "size", "tag", "text")
+    """depth: open elements around it; shared: how many of them, from the root, the block before has as well."""
 
-    def __init__(self, text, links, path, boiler, content, header, tag):
-        self.text, self.links, self.path, self.boiler, self.content, self.header, self.tag = text, links, path, boiler, content, header, tag
+    __slots__ = ("boiler", "content", "depth", "header", "links", "shared", "size", "tag", "text")
+
+    def __init__(self, text, links, depth, shared, boiler, content, header, tag):
+        self.text, self.links, self.depth, self.shared, self.boiler, self.content, self.header, self.tag = text, links, depth, shared, boiler, content, header, tag
         self.size = len(text)
 
 
@@ -75,12 +79,13 @@ def _kind(tag: str, attrs: str) -> tuple[int, int, int]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, comments and markup are gone."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, number, and the sums of the kinds so far
+    stack: list[tuple[str, int, int, int]] = []  # tag, and the sums of the kinds so far
     parts: list[str] = []
-    number = link = linked = 0
+    link = linked = shared = 0
+    unclosed: set[str] = set()
 
     def flush():
-        nonlocal linked
+        nonlocal linked, shared
         if parts:
             text = "".join(parts)
             parts.clear()
@@ -88,8 +93,9 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                top = stack[-1] if stack else ("", 0, 0, 0, 0)
-                out.append(Block(text, min(linked, len(text)), tuple(x[1] for x in stack[-4:]), top[2], top[3], top[4], top[0]))
+                top = stack[-1] if stack else ("", 0, 0, 0)
+                out.append(Block(text, min(linked, len(text)), len(stack), shared, top[1], top[2], top[3], top[0]))
+                shared = len(stack)
         linked = 0
 
     def add(text):
@@ -99,16 +105,26 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(text.strip())
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = m[3]
         if not name:
-            if m[1] and m[1].lower() not in ("svg", "math", "button"):
+            if m[1]:
                 flush()
             continue
         tag = name.lower()
+        if tag in _SKIPPED and not m[2]:
+            if tag not in ("svg", "math", "button"):
+                flush()
+            empty = tag in ("svg", "math") and m[4].endswith("/")
+            end = None if empty or tag in unclosed else _SKIPPED[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif not empty:
+                unclosed.add(tag)  # no later one is closed either
+            continue
         if tag in INLINE:
             if tag == "a":
                 link = 0 if m[2] else 1
@@ -121,6 +137,7 @@ def blocks_of(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
+                    shared = min(shared, i)
                     break
             continue
         if tag in VOID or m[4].endswith("/"):
@@ -128,14 +145,15 @@ def blocks_of(page: str) -> list[Block]:
         closes = SELF_CLOSING.get(tag, ("p",) if tag not in ("html", "body") else ())
         while stack and stack[-1][0] in closes:
             stack.pop()
+        shared = min(shared, len(stack))
         if tag in ("body", "article", "main") and any(x[0] == "head" for x in stack):
+            shared = min(shared, next(i for i, x in enumerate([*stack, ("", 0, 0, 0)]) if x[0] != "html"))
             stack = [x for x in stack if x[0] == "html"]
-        number += 1
         b, c, h = _kind(tag, m[4])
-        top = stack[-1] if stack else ("", 0, 0, 0, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0)
         if c and tag in CONTENT_TAGS:
-            h = -top[4]  # a header inside an article is the article's own
-        stack.append((tag, number, top[2] + b, top[3] + c, top[4] + (h if not (h > 0 and top[3]) else 0)))
+            h = -top[3]  # a header inside an article is the article's own
+        stack.append((tag, top[1] + b, top[2] + c, top[3] + (h if not (h > 0 and top[2]) else 0)))
     if at < len(page):
         add(page[at:])
     flush()
@@ -151,13 +169,9 @@ def capacity(b: Block) -> int:
     return out
 
 
-def distance(a: tuple, b: tuple) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return max(len(a), len(b)) - same
+def distance(a: Block, b: Block) -> int:
+    """Steps in the DOM from the deeper of two neighbours to what is around both."""
+    return max(a.depth, b.depth) - b.shared
 
 
 def minimum_cut(costs: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
@@ -203,7 +217,7 @@ def main_text(page: str | None) -> str:
     costs = [capacity(b) for b in found]
     if any(c > 0 for c in costs):
         if any(c < 0 for c in costs):
-            ties = [(i, i + 1, TIE - STEP * distance(found[i].path, found[i + 1].path)) for i in range(len(found) - 1)]
+            ties = [(i, i + 1, TIE - STEP * distance(found[i], found[i + 1])) for i in range(len(found) - 1)]
             keep = minimum_cut(costs, ties)
         else:
             keep = [True] * len(found)

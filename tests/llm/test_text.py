@@ -100,6 +100,21 @@ def test_html():
     assert htmlcut.main_text(f"<article><p>{long}</p></arti").strip() == long.strip()
 
 
+@pytest.mark.parametrize("depth", [0, 1, 3, 20])
+def test_html_depth(depth):
+    long, caption = "word " * 40, "a caption of forty characters, or about."
+    inner = f"<p>{long}</p><figure><figcaption>{caption}</figcaption></figure><p>{long}</p>"
+    page = f"<html><body>{'<div>' * depth}{inner}{'</div>' * depth}</body></html>"
+    assert htmlcut.main_text(page) == "\n\n".join([long.strip(), caption, long.strip()])
+
+
+@pytest.mark.parametrize("skipped", ["<svg/>", "<math />", "<svg width='1'/>", "<button>", "<select>", "<object>", "<canvas>", "<noscript>", "<template>", "<svg>", "<button>no</button>", "<noscript>no</noscript>"])
+def test_html_skips_only_what_is_closed(skipped):
+    long = "word " * 40
+    page = f"<html><body>{'<div>' * 6}<p>{long}</p>{skipped}<p>{long}</p>{'</div>' * 6}</body></html>"
+    assert htmlcut.main_text(page) == "\n\n".join([long.strip()] * 2)
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(200):
