@@ -141,12 +141,22 @@ _add("team_box_from_events", "plays", sql=_EVBOX_SQL)(boxscore.team_box_from_eve
         coalesce(x.stl::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.stl END::DOUBLE) AS stl, coalesce(x.blk::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.blk END::DOUBLE) AS blk, coalesce(x.tov::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.tov END::DOUBLE) AS tov, coalesce(x.pf::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.pf END::DOUBLE) AS pf
     FROM base b LEFT JOIN box x ON b.gameid = x.gameid AND b.team = x.team LEFT JOIN ev e ON b.gameid = e.gameid AND b.team = e.team LEFT JOIN logged l ON b.gameid = l.gameid""")
 def _game_radar(g: DataFrame, log: DataFrame, plays: DataFrame) -> DataFrame:
+    return _radar_of(g.filter((F.col("season") == SEASON) | (F.col("game_id").cast("long") <= 150)), log, plays)
+
+
+def _radar_of(g: DataFrame, log: DataFrame, plays: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("double").alias(c) for c in games.RADAR if c != "fg_pct"]
-    base = g.filter((F.col("season") == SEASON) | (F.col("game_id").cast("long") <= 150))
-    base = base.select(F.col("game_id").alias("gameid"), F.explode(F.array(*map(F.lit, ("EVEN", "ODD", "T1", "T2")))).alias("team"), F.when(F.col("home_q1").isNotNull(), 0.5).alias("fg_pct"), *none)
+    base = g.select(F.col("game_id").alias("gameid"), F.explode(F.array(*map(F.lit, ("EVEN", "ODD", "T1", "T2")))).alias("team"), F.when(F.col("home_q1").isNotNull(), 0.5).alias("fg_pct"), *none)
     return games.game_radar(base, log, plays, TIES)
 
 
+_add("game_radar_every_game", "games", "gamelog", "plays", sql=f"""WITH base AS (SELECT game_id AS gameid, t AS team, CASE WHEN home_q1 IS NOT NULL THEN 0.5::DOUBLE END AS fg_pct FROM games, (VALUES ('EVEN'), ('ODD'), ('T1'), ('T2')) v(t)),
+    box AS ({_BOX_SQL}), ev AS ({_EVBOX_SQL}), logged AS (SELECT DISTINCT gameid FROM gamelog)
+    SELECT b.gameid, b.team, coalesce(x.fg_pct, b.fg_pct, CASE WHEN l.gameid IS NULL THEN e.fg_pct END) AS fg_pct, coalesce(x.reb::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.reb END::DOUBLE) AS reb, x.ast::DOUBLE AS ast,
+        coalesce(x.stl::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.stl END::DOUBLE) AS stl, coalesce(x.blk::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.blk END::DOUBLE) AS blk, coalesce(x.tov::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.tov END::DOUBLE) AS tov, coalesce(x.pf::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.pf END::DOUBLE) AS pf
+    FROM base b LEFT JOIN box x ON b.gameid = x.gameid AND b.team = x.team LEFT JOIN ev e ON b.gameid = e.gameid AND b.team = e.team LEFT JOIN logged l ON b.gameid = l.gameid""")(_radar_of)
+
+
 _CLOCK_SQL = """WITH e AS (SELECT *, event_type IN ('Rebound', 'Turnover', 'Made Shot') AS reset, event_type IN ('Made Shot', 'Missed Shot') AS shot FROM plays WHERE event_type IN ('Made Shot', 'Missed Shot', 'Rebound', 'Turnover')),
 s AS (SELECT *, coalesce(sum(reset::INT) OVER w, 0) AS seg, last_value(CASE WHEN reset THEN clock_seconds END IGNORE NULLS) OVER w AS rc FROM e WINDOW w AS (PARTITION BY gameid ORDER BY eventnum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, first_value(CASE WHEN shot THEN clock_seconds END IGNORE NULLS) OVER (PARTITION BY gameid, seg ORDER BY eventnum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fs FROM s),

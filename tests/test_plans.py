@@ -1,14 +1,19 @@
 """Edge frames of the plans, guards and exports."""
 
+import os
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from statforge import registered
 from statforge.functions import exprs as ex
 from statforge.operators import metrics
 from statforge.plans import charts, context, export, games, growth, teams
 from statforge.sources import catalog
+from statforge.sources.roles import role
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, **values):
@@ -122,3 +127,15 @@ def test_milestones(spark):
     df = spark.createDataFrame(rows, "player_id string, season int, team string, pos string, g int, pts double, per double, ws double")
     got = [(r.season, r.kind) for r in growth.milestones(df).collect()]
     assert got == [(1, "debut"), (2, "peak_scoring"), (2, "peak_ws"), (2, "breakout"), (2, "position_change"), (3, "peak_per"), (3, "current")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_game_radar_has_every_game(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    key = lambda r: [str(x) for x in r]
+    got = registered.queries()["game_radar_every_game"](spark, SF).collect()
+    assert {r.gameid for r in got} == {r.game_id for r in role(spark, SF, "games").select("game_id").collect()}
+    assert sorted(map(key, got)) == sorted(map(key, con.execute(registered.oracle_sql()["game_radar_every_game"]).fetchall()))
