@@ -35,8 +35,10 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @scratch.staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the budgets of their domain, language and source have no room for go."""
-    taken = mixing.mix_sources(docs, budget_percent=90, max_epochs=1).filter("n_epochs > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(taken, "doc_id", "left_semi")
+    taken = mixing.mix_sources(docs, budget_percent=90, max_epochs=1).filter("n_epochs > 0").select("doc_id", "lang", "source").distinct()
+    # Rows that share an id, or have none, share a fate within a leaf only.
+    leaf = [F.coalesce(docs[c], F.lit("?")) == taken[c] for c in ("lang", "source")]
+    return docs.select(*COLUMNS).join(taken, [docs.doc_id.eqNullSafe(taken.doc_id), *leaf], "left_semi")
 
 
 @scratch.staged

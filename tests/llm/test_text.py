@@ -190,6 +190,17 @@ def test_mixing_budgets(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_mixing_stage_keeps_what_is_taken(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = [(i, "w " * 10, "en" if i % 3 else None, f"src{i % 5}", 20) for i in range(200)]
+    rows += [(None, "w", "en", "src1", 1), (None, "w", None, None, 1), (7, "w " * 9, "de", "src2", 18), (7, "w " * 400, "fr", "src3", 800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    taken = {(r.doc_id, r.lang, r.source, r.n_tokens) for r in mixing.mix_sources(df, budget_percent=90, max_epochs=1).collect() if r.n_epochs}
+    got = {(r.doc_id, r.lang or "?", r.source or "?", len(r.text.split())) for r in c.mixing_stage(spark, df, str(tmp_path)).collect()}
+    assert got == taken and any(d is None for d, *_ in got)
+
+
 def test_water_fill(spark):
     rows = [("a", 10, 1, 100), ("b", 100, 1, 100), ("c", 100, 2, 100), ("d", 50, 0, 100)]
     got = {r.k: r.share for r in mixing.water_fill(spark.createDataFrame([("p", *r) for r in rows], "p string, k string, cap long, weight long, budget long"), ["p"], "k").collect()}
