@@ -69,7 +69,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, rule: Jaccard) -> tuple[np.ndarr
     order = np.argsort(code)
     order = order[np.argsort(owner[order].astype(np.uint16 if len(n_words) < 65536 else np.int64), kind="stable")]
     code, owner = code[order], owner[order]
-    new = rp._first_of_runs(code, owner)
+    new = rp.first_of_runs(code, owner)
     code, owner = code[new], owner[new]
     return code, np.searchsorted(owner, np.arange(len(n_words) + 1))
 
@@ -169,11 +169,11 @@ def thinned(sign: np.ndarray, doc: np.ndarray, full: np.ndarray, most: int):
     or it was full before, all are tied to the first of them by an edge, and only that one stays, as full."""
     order = np.lexsort((doc, sign))
     sign, doc, full = sign[order], doc[order], full[order]
-    heads = np.flatnonzero(rp._first_of_runs(sign))
+    heads = np.flatnonzero(rp.first_of_runs(sign))
     full = np.repeat(np.maximum.reduceat(full, heads), np.diff(np.append(heads, len(sign)))) if len(heads) else full
-    keep = rp._first_of_runs(sign, doc)
+    keep = rp.first_of_runs(sign, doc)
     sign, doc, full = sign[keep], doc[keep], full[keep]
-    heads = np.flatnonzero(rp._first_of_runs(sign))
+    heads = np.flatnonzero(rp.first_of_runs(sign))
     sizes = np.diff(np.append(heads, len(sign)))
     full = np.maximum(full, np.repeat(sizes > most, sizes).astype(np.uint8))
     least = np.repeat(doc[heads], sizes)
@@ -264,7 +264,7 @@ def _link_signatures(percent: int):
             sign, doc, full = (np.concatenate(x) for x in zip(*(rp.unpack(b, _SIGN_COLUMNS) for b in bucket), strict=True))
             sign, doc, _, (a, b) = thinned(sign, doc, full, MOST)
             yield rows(EDGE, a=a, b=b)
-            heads = np.flatnonzero(rp._first_of_runs(sign))
+            heads = np.flatnonzero(rp.first_of_runs(sign))
             sizes = np.diff(np.append(heads, len(sign)))
             group = _fold(doc, heads)
             once = np.zeros(len(heads), bool)
@@ -377,10 +377,10 @@ def _resolver(rule: Jaccard):
         family, doc = table.column("family").to_numpy(), table.column("doc").to_numpy()
         texts = rp.unzipped(table.column("z"))
         order = np.lexsort((doc, family))
-        order = order[rp._first_of_runs(family[order], doc[order])]
+        order = order[rp.first_of_runs(family[order], doc[order])]
         family, doc = family[order], doc[order]
         a, b = [], []
-        heads = np.flatnonzero(rp._first_of_runs(family))
+        heads = np.flatnonzero(rp.first_of_runs(family))
         for lo, hi in zip(heads, [*heads[1:], len(doc)], strict=True):
             buf, offs = tc.buffer_of(pa.array([texts[i] for i in order[lo:hi]], pa.large_binary()))
             code, soffs = shingles(buf, offs, rule)

@@ -1,15 +1,18 @@
 """Exact search for repeated windows, shared by the substring and the suffix-array operators.
 
 Both ask which windows of `width` consecutive symbols also start elsewhere. Indexing every suffix
-would move many times the input, so the index is sparse: of the `width - k + 1` k-grams in a window
-the one with the smallest hash is its anchor. Equal windows have equal anchors at equal offsets, so
-suffixes that start at anchors find every repeat. Consecutive windows with one anchor form a *unit*.
-Two fingerprints describe a unit: `a` (its anchor's k-gram, the prefix of the suffix) and `g` (all it
-spans). Units with equal `g` repeat whole. Where units share `a` but not `g`, the text differs near
-by; their windows are then compared one by one ("asked") in a second, much smaller, round.
-
-Every row that moves is (kind, key, blob): blobs are column-wise byte planes, compressed. What is
-common in a task is merged before it moves: of equal units a task sends one, and settles the rest.
+would move some fifty times the input, so the index is sparse: of the `width - k + 1` k-grams in a
+window the one with the smallest hash is its anchor, and only suffixes that start at anchors are kept.
+Equal windows have equal anchors at equal offsets, so anchors find every repeat. Consecutive windows
+with one anchor form a *unit*: a suffix row holds the symbols that its windows span, from the anchor
+to the right (the suffix) and from the anchor to the left (its way back). Rows are sorted by the
+suffix, symbol by symbol. A window that begins o symbols before its anchor is a node of the suffixes
+as deep as `width - o` and a node of the ways back as deep as o; two windows are equal if both nodes are.
+
+What moves is (kind, key, blob): rows of one batch for one bucket of k-grams, compressed. Equal rows
+of a task are merged before they move. Buckets larger than a task should hold are split by prefixes
+of growing length; what is still too many with k symbols in common is dealt out once more, window by
+window (there alone, windows are compared by 64-bit fingerprints).
 """
 
 from __future__ import annotations
@@ -22,20 +25,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import textcodes as tc
 from .scratch import materialise
 
-ENTRY, SPAN, ASK = 0, 1, 2
+ENTRY, SPAN, WINDOW, LEVEL, KEPT = range(5)
 ROW = "kind int, key long, blob binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
 NULL_ID = np.iinfo(np.int64).min
-#: Units of a task that are settled at once: some 40 bytes each, and several copies while they are sorted.
-_FLUSH = 600_000
+#: Bytes of suffix rows that a task sorts at once and of a group that it loads, and bytes of text of a part.
+FLUSH, GROUP, PART = 24 << 20, 32 << 20, 4 << 20
 _SLICE = 1 << 18
-_ENTRY_COLUMNS = (("g", np.uint64, 8), ("a", np.uint64, 5), ("doc", np.int64, 8), ("at", np.int64, 4), ("more", np.uint8, 1), ("many", np.uint8, 1))
-_SPAN_COLUMNS = (("doc", np.int64, 8), ("at", np.int64, 4), ("size", np.int64, 4))
+_SPAN_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("size", np.int64, 4))
+_WINDOW_COLUMNS = (("code", np.uint64, 8), ("doc", np.int64, 8), ("key", np.uint64, 8), ("at", np.int64, 5), ("many", np.uint8, 1))
 
 
 @dataclass(frozen=True)
@@ -49,45 +52,260 @@ class Rule:
     parts: int
     buckets: int
 
+    @property
+    def before(self) -> int:
+        """The most symbols of a window that come before its anchor."""
+        return self.width - self.k
+
 
 def pack(columns, spec) -> bytes:
     planes = [np.array([len(columns[0])], np.int64).tobytes()]
     for values, (_, kind, size) in zip(columns, spec, strict=True):
-        raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)[:, :size]
-        planes.append(np.ascontiguousarray(raw.T).tobytes())
+        planes.append(planes_of(values.astype(kind), size))
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
+def planes_of(values: np.ndarray, size: int) -> bytes:
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)[:, :size]
+    return np.ascontiguousarray(raw.T).tobytes()
+
+
 def unpack(blob: bytes, spec) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
     for _, kind, size in spec:
-        wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-        wide[:, :size] = raw[at : at + n * size].reshape(size, n).T
-        out.append(wide.reshape(-1).view(kind))
+        out.append(from_planes(raw[at : at + n * size], n, kind, size))
         at += n * size
     return out
 
 
-def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    """The same as part_column, for ids in numpy."""
-    return (doc ^ (doc >> np.int64(17))) % np.int64(parts)
+def from_planes(raw: np.ndarray, n: int, kind, size: int) -> np.ndarray:
+    wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    wide[:, :size] = raw.reshape(size, n).T
+    return wide.reshape(-1).view(kind)
+
+
+def first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def rows_by(kind: int, keys: np.ndarray, columns, spec) -> Iterator[tuple[int, int, bytes]]:
+    """A row for each key, with what belongs to it."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order], [c[order] for c in columns]
+    heads = np.flatnonzero(first_of_runs(keys))
+    for lo, hi in zip(heads, [*heads[1:], len(keys)], strict=True):
+        yield kind, int(keys[lo]), pack([c[lo:hi] for c in columns], spec)
+
+
+def to_batches(rows) -> Iterator[pa.RecordBatch]:
+    kinds, keys, blobs, size = [], [], [], 0
+    for kind, key, blob in rows:
+        kinds.append(kind)
+        keys.append(key)
+        blobs.append(blob)
+        size += len(blob)
+        if size > 8 << 20 or len(keys) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_ARROW)
+            kinds, keys, blobs, size = [], [], [], 0
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_ARROW)
+
+
+def ids(batch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    return column.cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def unzipped(column) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(x.as_py()) for x in column]
+
+
+def row_keys(doc: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A key for each row: rows that share an id differ in it, unless their texts are equal as well."""
+    return tc.mix(doc.view(np.uint64)) + (salt.view(np.uint64) & np.uint64(0xFFFFFFFF))
+
+
+# Suffix rows
+
+
+def suffix_strings(table: np.ndarray) -> np.ndarray:
+    """Rows as byte strings that compare as the rows do."""
+    table = table if table.dtype == np.uint8 else table.byteswap()
+    table = np.ascontiguousarray(table)
+    return table.view(f"S{table.shape[1] * table.dtype.itemsize}").reshape(-1)
+
+
+def _head(table: np.ndarray) -> np.ndarray:
+    """What 64 bits hold of each row's first symbols, in the order of the rows."""
+    if table.dtype == np.uint64:
+        return table[:, 0]
+    if table.shape[1] < 8:
+        table = np.concatenate((table, np.zeros((len(table), 8), np.uint8)), 1)
+    return np.ascontiguousarray(table[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+
 
+def suffix_order(table: np.ndarray) -> np.ndarray:
+    """The order of the rows, symbol by symbol: by their heads, and in full only where heads are equal."""
+    head = _head(table)
+    order = np.argsort(head, kind="stable")
+    same = head[order[1:]] == head[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at):
+        rows = order[at]
+        order[at] = rows[np.argsort(suffix_strings(table[rows]), kind="stable")]
+    return order
 
-def part_column(doc, parts: int):
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(parts).cast("long"))
+
+def common_prefix(table: np.ndarray) -> np.ndarray:
+    """Of each row but the first, the symbols it has in common with the row before."""
+    differ = table[1:] != table[:-1]
+    return np.where(differ.any(1), differ.argmax(1), table.shape[1]) if table.shape[1] else np.zeros(max(0, len(table) - 1), np.int64)
+
+
+class Suffixes:
+    """Suffix rows. table: `width` symbols of the suffix, then `before` symbols of the way back, 0 beyond
+    what the unit spans. Its windows begin lo to hi symbols before the anchor. doc: the row's document;
+    many: 1 if the row stands for several places. seen: which windows are known to repeat. unit: where a row
+    comes from, as long as that is in memory. The places that are not settled yet: place_row, place_at (of the unit's first window) and place_key (row_keys)."""
+
+    FIELDS = ("table", "lo", "hi", "doc", "many", "seen", "unit")
+
+    def __init__(self, table, lo, hi, doc, many, seen, unit, place_row, place_at, place_key):
+        self.table, self.lo, self.hi, self.doc, self.many, self.seen, self.unit = table, lo, hi, doc, many, seen, unit
+        self.place_row, self.place_at, self.place_key = place_row, place_at, place_key
+
+    def __len__(self) -> int:
+        return len(self.lo)
+
+    def take(self, rows: np.ndarray) -> Suffixes:
+        to = np.full(len(self), -1, np.int64)
+        to[rows] = np.arange(len(rows))
+        place = to[self.place_row]
+        keep = place >= 0
+        return Suffixes(*(getattr(self, f)[rows] for f in self.FIELDS), place[keep], self.place_at[keep], self.place_key[keep])
+
+    def sorted(self) -> Suffixes:
+        return self.take(suffix_order(self.table))
+
+    def without_places(self) -> Suffixes:
+        none = np.zeros(0, np.int64)
+        return Suffixes(*(getattr(self, f) for f in self.FIELDS), none, none, none.view(np.uint64))
+
+
+def joined(parts: list[Suffixes]) -> Suffixes:
+    if len(parts) == 1:
+        return parts[0]
+    base = np.cumsum([0, *(len(p) for p in parts)])
+    fields = (np.concatenate([getattr(p, f) for p in parts]) for f in Suffixes.FIELDS)
+    return Suffixes(*fields, np.concatenate([p.place_row + b for p, b in zip(parts, base, strict=False)]), *(np.concatenate([getattr(p, f) for p in parts]) for f in ("place_at", "place_key")))
+
+
+def no_spans():
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def merged(x: Suffixes, rule: Rule):
+    """Sorted rows, with equal ones merged: (rows, (key, at, size) of the places that this settles, where the runs
+    of equal rows began)."""
+    if not len(x):
+        return x, no_spans(), np.zeros(0, np.int64)
+    head = _head(x.table)
+    same = np.zeros(len(x), bool)
+    at = np.flatnonzero(head[1:] == head[:-1])
+    same[at + 1] = (x.table[at] == x.table[at + 1]).all(1) & (x.lo[at] == x.lo[at + 1]) & (x.hi[at] == x.hi[at + 1])
+    run = np.cumsum(~same) - 1
+    heads = np.flatnonzero(~same)
+    own = run[x.place_row]
+    if rule.elsewhere:
+        twice = (np.diff(np.append(heads, len(x))) + np.maximum.reduceat(x.many, heads)) > 1
+        rest, settled = heads, twice[own]
+        many, seen = np.where(twice, 1, x.many[heads]).astype(np.uint8), np.logical_or.reduceat(x.seen, heads, axis=0)
+    else:
+        least = np.minimum.reduceat(x.doc, heads)
+        first = np.flatnonzero(x.doc == least[run])
+        rest = first[first_of_runs(run[first])]
+        settled = x.doc[x.place_row] > least[own]
+        many, seen = x.many[rest], np.logical_or.reduceat(x.seen[first], np.searchsorted(run[first], np.arange(len(heads))), axis=0)
+    spans = x.place_key[settled], x.place_at[settled], (x.hi - x.lo)[x.place_row[settled]].astype(np.int64) + rule.width
+    out = Suffixes(x.table[rest], x.lo[rest], x.hi[rest], x.doc[rest], many, seen, x.unit[rest], own[~settled], x.place_at[~settled], x.place_key[~settled])
+    return out, spans, heads
+
+
+def shared_windows(x: Suffixes, rule: Rule) -> np.ndarray:
+    """Of sorted rows that all differ, which windows (by offset) repeat, as the rule has it."""
+    found = np.zeros((len(x), rule.before + 1), bool)
+    if len(x) < 2:
+        return found
+    depth = common_prefix(x.table[:, : rule.width])
+    near = np.zeros(len(x), bool)
+    near[1:] = depth >= rule.k
+    near[:-1] |= depth >= rule.k
+    rows = np.flatnonzero(near)
+    n = len(rows)
+    if not n:
+        return found
+    depth = np.where(rows[1:] == rows[:-1] + 1, depth[rows[1:] - 1], 0)
+    lo, hi, doc, back = x.lo[rows], x.hi[rows], x.doc[rows], x.table[rows, rule.width :]
+    way = np.argsort(suffix_strings(back), kind="stable") if rule.before else np.arange(n)
+    back_depth = common_prefix(back[way])
+    path = np.empty(n, np.int64)
+    for o in range(rule.before + 1):
+        use = np.flatnonzero((lo <= o) & (hi >= o))
+        if len(use) < 2:
+            continue
+        node = np.concatenate(([0], np.cumsum(depth < rule.width - o)))
+        path[way] = np.concatenate(([0], np.cumsum(back_depth < o)))
+        both = node[use] * n + path[use]
+        order = np.argsort(both)
+        heads = np.flatnonzero(first_of_runs(both[order]))
+        sizes = np.diff(np.append(heads, len(use)))
+        if rule.elsewhere:
+            hit = np.repeat(sizes > 1, sizes)
+        else:
+            d = doc[use[order]]
+            hit = d > np.repeat(np.minimum.reduceat(d, heads), sizes)
+        found[rows[use[order[hit]]], o] = True
+    return found
+
+
+def seen_spans(x: Suffixes, rule: Rule):
+    """(key, at, size) of the runs of windows that are seen, at each unsettled place."""
+    some = np.flatnonzero(x.seen.any(1)[x.place_row]) if len(x) else np.zeros(0, np.int64)
+    flags = np.zeros((len(some), rule.before + 3), np.int8)
+    flags[:, 1:-1] = x.seen[x.place_row[some]][:, ::-1]  # from the window that begins first
+    step = np.diff(flags, axis=1)
+    (place, begin), (_, past) = np.nonzero(step == 1), np.nonzero(step == -1)
+    first = rule.before - x.hi[x.place_row[some]].astype(np.int64)  # the column of the unit's first window
+    return x.place_key[some][place], x.place_at[some][place] + begin - first[place], past - begin + rule.width - 1
+
+
+def spans_out(spans, rule: Rule):
+    yield from rows_by(SPAN, (spans[0] % np.uint64(rule.parts)).astype(np.int64), spans, _SPAN_COLUMNS)
+
+
+# Units
 
 
 def units(symbols: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows - 1, a, g) of every unit of a slice."""
-    n, w = len(symbols), rule.width - rule.k + 1
+    """(document, first window, last window, anchor, k-gram) of every unit of a slice."""
+    n, w = len(symbols), rule.before + 1
     lengths = np.diff(offs)
     if n < rule.width or not (lengths >= rule.width).any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    win = tc.Windows(symbols, 16)
-    prefix = win.all(rule.k)
-    key = tc.mix(prefix)
-    key &= np.uint64(0xFFFFFFFF00000000)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    code = tc.mix(tc.Windows(symbols, 16).all(rule.k))
+    key = code & np.uint64(0xFFFFFFFF00000000)
     key |= np.arange(len(key), dtype=np.uint64)
     size = 1
     while size * 2 <= w:
@@ -108,227 +326,340 @@ def units(symbols: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray
     tail = np.append(head[1:], len(valid)) - 1
     s, e, a = valid[head], valid[tail], anchor[head]
     # A document boundary always ends a unit: no window crosses it, so valid starts are not adjacent there.
-    g = tc.mix(win.at(s, rule.width))
-    g = tc.mix(g * np.uint64(0x9FB21C651E98DF25) + tc.mix(win.at(e, rule.width)) + ((e - s) * 64 + (a - s)).astype(np.uint64))
-    return np.searchsorted(offs, s, "right") - 1, s, e - s, prefix[a], g
+    return np.searchsorted(offs, s, "right") - 1, s, e, a, code[a]
+
 
+def suffix_table(symbols: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, rule: Rule) -> np.ndarray:
+    """The rows of units (see Suffixes); symbols as numbers above 0 or as bytes."""
+    width, before = rule.width, rule.before
+    padded = np.concatenate((np.zeros(before, symbols.dtype), symbols, np.zeros(width, symbols.dtype)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, before + width)[a]
+    out = np.zeros((len(a), width + before), symbols.dtype)
+    np.multiply(view[:, before:], np.arange(width) < (e + width - a)[:, None], out=out[:, :width])
+    np.multiply(view[:, :before][:, ::-1], np.arange(before) < (a - s)[:, None], out=out[:, width:])
+    return out
 
-def window_codes(symbols: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    return tc.mix(tc.Windows(symbols, 16).at(places, width))
 
+def spanned(lo: np.ndarray, hi: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which cells of a table the units span."""
+    out = np.empty((len(lo), rule.width + rule.before), bool)
+    out[:, : rule.width] = np.arange(rule.width) < (rule.width - lo.astype(np.int64))[:, None]
+    out[:, rule.width :] = np.arange(rule.before) < hi.astype(np.int64)[:, None]
+    return out
 
-def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
 
+class Bytes:
+    """Symbols are the bytes of a text."""
 
-def settle(entries: list[np.ndarray], rule: Rule):
-    """What a set of entries shows by itself: (entries to send on, (doc, at, size) that are covered)."""
-    g, a, doc, at, more, many = entries
-    order = np.lexsort((at, doc, g))
-    g, a, doc, at, more, many = (x[order] for x in (g, a, doc, at, more, many))
-    new = _first_of_runs(g)
-    run = np.cumsum(new) - 1
-    if rule.elsewhere:
-        heads = np.flatnonzero(new)
-        times = np.add.reduceat(1 + many.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
-        twice = times[run] > 1
-        keep = new.copy()
-        many = np.where(twice & new, 1, many).astype(np.uint8)
-        found = twice
-    else:
-        least = doc[np.flatnonzero(new)][run] if len(g) else doc
-        found = doc > least
-        keep = ~found
-    spans = doc[found], at[found], more[found].astype(np.int64) + rule.width
-    return [x[keep] for x in (g, a, doc, at, more, many)], spans
-
-
-def asked(entries: list[np.ndarray], rule: Rule):
-    """Of settled entries, those whose prefix `a` also begins other units: (doc, at, windows - 1)."""
-    g, a, doc, at, more, _ = entries
-    order = np.lexsort((g, a))
-    g, a, doc, at, more = (x[order] for x in (g, a, doc, at, more))
-    new = _first_of_runs(a)
-    if not len(a):
-        return doc, at, more.astype(np.int64)
-    heads, run = np.flatnonzero(new), np.cumsum(new) - 1
-    if rule.elsewhere:
-        kinds = np.add.reduceat(_first_of_runs(a, g).astype(np.int64), heads)
-        open_ = (kinds > 1)[run]
-    else:
-        open_ = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads))[run]
-    return doc[open_], at[open_], more[open_].astype(np.int64)
+    dtype = np.uint8
 
+    def slices(self, buf, offs):
+        """(codes to choose anchors by, symbols, first and past byte of each symbol, offsets) of a slice."""
+        at = np.arange(len(buf) + 1)
+        return tc.byte_symbols(buf), buf, at[:-1], at[1:], offs
 
-def rows_by(kind: int, keys: np.ndarray, columns, spec) -> Iterator[tuple[int, int, bytes]]:
-    """A row for each key, with what belongs to it."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys, columns = keys[order], [c[order] for c in columns]
-    heads = np.flatnonzero(_first_of_runs(keys))
-    for lo, hi in zip(heads, [*heads[1:], len(keys)], strict=True):
-        yield kind, int(keys[lo]), pack([c[lo:hi] for c in columns], spec)
+    def put(self, x: Suffixes, rule: Rule, *source) -> bytes:
+        return x.table[spanned(x.lo, x.hi, rule)].tobytes()
 
+    def get(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: Rule) -> np.ndarray:
+        table = np.zeros((len(lo), rule.width + rule.before), np.uint8)
+        table[spanned(lo, hi, rule)] = raw
+        return table
 
-def to_batches(rows) -> Iterator[pa.RecordBatch]:
-    kinds, keys, blobs, size = [], [], [], 0
-    for kind, key, blob in rows:
-        kinds.append(kind)
-        keys.append(key)
-        blobs.append(blob)
-        size += len(blob)
-        if size > 8 << 20 or len(keys) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_ARROW)
-            kinds, keys, blobs, size = [], [], [], 0
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=_ARROW)
+    def letters(self, column: np.ndarray) -> np.ndarray:
+        return tc.byte_symbols(column)
 
 
-def send(found: list[list[np.ndarray]], rule: Rule):
-    """Entries of one batch, settled among themselves, then dealt by prefix; and the spans they show."""
-    if not found:
-        return
-    joined = [np.concatenate(x) for x in zip(*found, strict=True)]
-    found.clear()
-    entries, spans = settle(joined, rule)
-    del joined
-    order = np.argsort(entries[1], kind="stable")
-    entries = [x[order] for x in entries]
-    yield from rows_by(ENTRY, ((entries[1] >> np.uint64(20)) % np.uint64(rule.buckets)).astype(np.int64), entries, _ENTRY_COLUMNS)
-    yield from rows_by(SPAN, part_of(spans[0], rule.parts), spans, _SPAN_COLUMNS)
+class Words:
+    """Symbols are the 64-bit fingerprints of words; the words themselves are what moves."""
 
+    dtype = np.uint64
 
-def ids(batch, name: str) -> np.ndarray:
-    column = batch.column(name)
-    return column.cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+    def slices(self, buf, offs):
+        starts, ends, woffs = tc.words(buf, offs)
+        codes = tc.span_codes(buf, starts, ends)
+        return codes, codes, starts, ends, woffs
 
+    def put(self, x: Suffixes, rule: Rule, held: bytes, begin, end) -> bytes:
+        texts = [held[i:j] for i, j in zip(begin[x.unit].tolist(), end[x.unit].tolist(), strict=True)]
+        return planes_of(np.array([len(t) for t in texts], np.uint32), 4) + b"".join(texts)
 
-def scanner(symbols_of: Callable, rule: Rule):
-    """Of (doc, text) batches, the unit entries."""
+    def get(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: Rule) -> np.ndarray:
+        n = len(lo)
+        offs = np.concatenate(([0], np.cumsum(from_planes(raw[: 4 * n], n, np.uint32, 4), dtype=np.int64)))
+        buf = raw[4 * n :]
+        starts, ends, woffs = tc.words(buf, offs)
+        first = woffs[:-1]
+        return suffix_table(tc.span_codes(buf, starts, ends), first, first + hi - lo, first + hi, rule)
+
+    def letters(self, column: np.ndarray) -> np.ndarray:
+        return column
+
+
+def freeze(x: Suffixes, rule: Rule, symbols, *source) -> bytes:
+    """Rows as a blob: their number, then all that Suffixes has but `seen` and `unit`."""
+    order = np.argsort(x.place_row, kind="stable")
+    body = symbols.put(x, rule, *source)
+    raw = [np.array([len(body), len(order)], np.int64).tobytes(), body, x.lo.astype(np.uint8).tobytes(), x.hi.astype(np.uint8).tobytes(), planes_of(x.doc, 8), x.many.tobytes()]
+    raw += [planes_of(np.bincount(x.place_row, minlength=len(x)).astype(np.uint32), 4), planes_of(x.place_at[order], 5), planes_of(x.place_key[order] - _doc_keys(x.doc[x.place_row[order]], rule), 8)]
+    return len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def _doc_keys(doc: np.ndarray, rule: Rule) -> np.ndarray:
+    """What of a place's key follows from its document; without it four bytes are left."""
+    return np.zeros(len(doc), np.uint64) if rule.elsewhere else tc.mix(doc.view(np.uint64))
+
+
+def size_of(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
+def thaw(blob: bytes, rule: Rule, symbols) -> Suffixes:
+    n = size_of(blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    n_body, n_places = (int(v) for v in raw[:16].copy().view(np.int64))
+    at = 16 + n_body
+
+    def next_(count, kind, size):
+        nonlocal at
+        at += count * size
+        return from_planes(raw[at - count * size : at], count, kind, size)
+
+    lo, hi, doc, many, counts = next_(n, np.uint8, 1), next_(n, np.uint8, 1), next_(n, np.int64, 8), next_(n, np.uint8, 1), next_(n, np.uint32, 4)
+    place_row = np.repeat(np.arange(n), counts)
+    place_at, place_key = next_(n_places, np.int64, 5), next_(n_places, np.uint64, 8) + _doc_keys(doc[place_row], rule)
+    table = symbols.get(raw[16 : 16 + n_body], lo.astype(np.int64), hi.astype(np.int64), rule)
+    return Suffixes(table, lo, hi, doc, many, np.zeros((n, rule.before + 1), bool), np.zeros(n, np.int64), place_row, place_at, place_key)
+
+
+def scanner(symbols, rule: Rule):
+    """Of (doc, salt, text) batches, sorted suffix rows by bucket, and the spans that equal rows of a batch show."""
+
+    def flush(found):
+        tables, texts, *columns = zip(*found, strict=True)
+        found.clear()
+        lo, hi, code, doc, at, key, begin, end = (np.concatenate(c) for c in columns)
+        n = len(code)
+        x = Suffixes(np.concatenate(tables), lo, hi, doc, np.zeros(n, np.uint8), np.zeros((n, 1), bool), np.arange(n), np.arange(n), at, key)
+        del tables
+        base = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], [len(c) for c in columns[0]])
+        source = b"".join(texts), begin + base, end + base
+        bucket = ((code >> np.uint64(20)) % np.uint64(rule.buckets)).astype(np.int64)
+        order = suffix_order(x.table)
+        order = order[np.argsort(bucket[order].astype(np.uint16 if rule.buckets < 65536 else np.int64), kind="stable")]
+        x, spans, heads = merged(x.take(order), rule)  # equal rows have one k-gram, so that they are in one bucket
+        cuts = np.searchsorted(bucket[order][heads], np.arange(rule.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            yield ENTRY, b, freeze(x.take(np.arange(cuts[b], cuts[b + 1])), rule, symbols, *source)
+        yield from spans_out(spans, rule)
 
     @tc.trimmed
     def scan(batches):
         found, size = [], 0
         for batch in batches:
             doc = ids(batch, "doc")
+            keys = row_keys(doc, batch.column("salt").to_numpy(zero_copy_only=False).astype(np.int64))
             for lo, _, buf, offs in tc.batches(batch, "text", _SLICE):
-                symbols, soffs = symbols_of(buf, offs)
-                d, s, more, a, g = units(symbols, soffs, rule)
-                found.append([g, a, doc[lo + d], s - soffs[d], more.astype(np.uint8), np.zeros(len(d), np.uint8)])
-                size += len(d)
-                if size > _FLUSH:
-                    yield from to_batches(send(found, rule))
-                    found, size = [], 0
-        yield from to_batches(send(found, rule))
+                codes, letters, starts, ends, soffs = symbols.slices(buf, offs)
+                d, s, e, a, code = units(codes, soffs, rule)
+                if len(d):
+                    order = np.zeros(len(d), np.int64) if rule.elsewhere else doc[lo + d]
+                    table = suffix_table(letters, s, e, a, rule)
+                    found.append((table, buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, order, s - soffs[d], keys[lo + d], starts[s], ends[e + rule.width - 1]))
+                    size += table.nbytes + len(buf)
+                if size > FLUSH:
+                    yield from to_batches(flush(found))
+                    size = 0
+        if found:
+            yield from to_batches(flush(found))
 
     return scan
 
 
-def reducer(rule: Rule, join: Callable, ask: bool):
-    """Of the entries of some buckets, the spans and, if `ask`, the units to look at window by window.
+# Groups
+
+
+def prefix_groups(blobs: list[bytes], rule: Rule, symbols, limit: int, path: tuple[int, ...] = ()):
+    """(rows of one group by blob, True if the group is as small as the limit asks) of a bucket.
+
+    What is loaded is counted first: from the blobs' headers, and below that, blob by blob, by the next
+    symbol of the suffix. A prefix grows until its group is small enough or has k symbols."""
+
+    def chosen(blob, path):
+        x = thaw(blob, rule, symbols)
+        rows = np.arange(len(x))
+        for depth, digit in enumerate(path):
+            rows = rows[_digit(x.table[rows, depth]) == digit]
+        return x if len(rows) == len(x) else x.take(rows)
 
-    join(batches of entries, rule) has the method's own structure and yields settled groups."""
+    if not path and sum(map(size_of, blobs)) <= limit:
+        yield [thaw(b, rule, symbols) for b in blobs], True
+        return
+    counts = np.zeros(16, np.int64)
+    for b in blobs:
+        counts += np.bincount(_digit(chosen(b, path).table[:, len(path)]), minlength=16)
+    for digit in np.flatnonzero(counts).tolist():
+        longer = (*path, digit)
+        if counts[digit] > limit and len(longer) < rule.k:
+            yield from prefix_groups(blobs, rule, symbols, limit, longer)
+        elif counts[digit] <= limit:
+            yield [chosen(b, longer) for b in blobs], True
+        else:  # blob by blob
+            for i, b in enumerate(blobs):
+                rows = chosen(b, longer)
+                yield [rows if i == j else rows.take(np.zeros(0, np.int64)) for j in range(len(blobs))], False
+
+
+def _digit(letters: np.ndarray) -> np.ndarray:
+    return (letters & letters.dtype.type(15)).astype(np.uint8)
+
+
+def window_codes(x: Suffixes, o: int, rows: np.ndarray, rule: Rule, symbols) -> np.ndarray:
+    """Fingerprints of the windows that begin o symbols before the anchor."""
+    code = np.full(len(rows), o, np.uint64)
+    for j in [*range(rule.width + o - 1, rule.width - 1, -1), *range(rule.width - o)]:
+        code = tc.mix(code * np.uint64(0x9FB21C651E98DF25) + symbols.letters(x.table[rows, j]))
+    return code
+
+
+def windows_out(x: Suffixes, rule: Rule, symbols):
+    """The windows of a group that is too large for a task, dealt by their own fingerprints: one row for
+    each window, and for each of its places (a row without places, or one that stands for many, has one)."""
+    for o in range(rule.before + 1):
+        fits = np.flatnonzero((x.lo <= o) & (x.hi >= o))
+        if not len(fits):
+            continue
+        code = np.zeros(len(x), np.uint64)
+        code[fits] = window_codes(x, o, fits, rule, symbols)
+        ok = np.zeros(len(x), bool)
+        ok[fits] = True
+        place = np.flatnonzero(ok[x.place_row])
+        row = x.place_row[place]
+        bare = np.flatnonzero(ok & ((x.many > 0) | (np.bincount(x.place_row, minlength=len(x)) == 0)))
+        zero = np.zeros(len(bare), np.int64)
+        columns = [np.concatenate(c) for c in ((code[row], code[bare]), (x.doc[row], x.doc[bare]), (x.place_key[place], zero.view(np.uint64)), (x.place_at[place] + x.hi[row].astype(np.int64) - o, zero), (x.many[row], np.full(len(bare), 2, np.uint8)))]
+        yield from rows_by(WINDOW, (columns[0] % np.uint64(rule.buckets)).astype(np.int64), columns, _WINDOW_COLUMNS)
+
+
+def window_reducer(rule: Rule):
+    """Spans of the windows that were dealt out one by one."""
+
+    @tc.trimmed
+    def reduce(batches):
+        held = {}
+        for batch in batches:
+            for key, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held.setdefault(key, []).append(blob.as_py())
+        while held:
+            _, bucket = held.popitem()
+            code, doc, key, at, many = (np.concatenate(c) for c in zip(*(unpack(b, _WINDOW_COLUMNS) for b in bucket), strict=True))
+            order = np.lexsort((at, key, doc, code))
+            code, doc, key, at, many = (c[order] for c in (code, doc, key, at, many))
+            heads = np.flatnonzero(first_of_runs(code))
+            sizes = np.diff(np.append(heads, len(code)))
+            if rule.elsewhere:
+                hit = np.repeat((np.maximum.reduceat(many, heads) > 0) | (sizes > 1), sizes)
+            else:
+                hit = doc > np.repeat(np.minimum.reduceat(doc, heads), sizes)
+            hit &= many < 2
+            yield from to_batches(spans_out((key[hit], at[hit], np.full(int(hit.sum()), rule.width)), rule))
+
+    return reduce
+
+
+def reducer(rule: Rule, symbols, solve: Callable, keep: bool):
+    """Of the rows of some buckets, the spans. solve(batches of rows, kept batches, rule) has the method's own
+    structure and returns (rows, spans). ENTRY and LEVEL rows are searched and, if `keep`, come back as LEVEL;
+    KEPT rows are only searched."""
 
     @tc.trimmed
     def reduce(batches):
-        blobs = {}
+        held = {}
         for batch in batches:
-            kinds, keys, data = (batch.column(i) for i in range(3))
-            is_entry = np.asarray(kinds.to_numpy(zero_copy_only=False)) == ENTRY
-            if not is_entry.all():
-                yield batch.filter(pa.array(~is_entry))
-            for i in np.flatnonzero(is_entry):
-                blobs.setdefault(keys[int(i)].as_py(), []).append(data[int(i)].as_py())
-        while blobs:  # bucket by bucket: equal prefixes are in one bucket
-            _, bucket = blobs.popitem()
-            for entries, spans in join((unpack(b, _ENTRY_COLUMNS) for b in bucket), rule):
-                yield from to_batches(rows_by(SPAN, part_of(spans[0], rule.parts), spans, _SPAN_COLUMNS))
-                if ask:
-                    asks = asked(entries, rule)
-                    yield from to_batches(rows_by(ASK, part_of(asks[0], rule.parts), asks, _SPAN_COLUMNS))
+            kinds = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            if (kinds == SPAN).any():
+                yield batch.filter(pa.array(kinds == SPAN))
+            for i in np.flatnonzero(kinds != SPAN).tolist():
+                held.setdefault(batch.column(1)[i].as_py(), ([], []))[int(kinds[i] == KEPT)].append(batch.column(2)[i].as_py())
+        while held:  # bucket by bucket: equal k-grams are in one bucket
+            bucket, (mine, kept) = held.popitem()
+            yield from to_batches(solved(bucket, mine, kept))
+
+    def solved(bucket, mine, kept):
+        limit = max(1, GROUP // ((rule.width + rule.before) * np.dtype(symbols.dtype).itemsize))
+        for parts, small in prefix_groups([*mine, *kept], rule, symbols, limit):
+            rows, others = ([p for p in some if len(p)] for some in (parts[: len(mine)], parts[len(mine) :]))
+            if small:
+                rows, spans = solve(rows, others, rule)
+                yield from spans_out(spans, rule)
+            else:
+                for p in (*rows, *others):
+                    yield from windows_out(p, rule, symbols)
+            if keep:
+                yield from ((LEVEL, bucket, freeze(x.without_places(), rule, symbols)) for x in rows)
 
     return reduce
 
 
+# Texts
+
+
 def read_spans(table: pa.Table) -> list[np.ndarray]:
     found = [unpack(b.as_py(), _SPAN_COLUMNS) for b in table.column("blob")]
-    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
 
-def places_of(doc_ids: np.ndarray, offs: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first symbol, size) of the spans that fall into these rows; rows that share an id share its spans."""
-    doc, at, size = found
-    order = np.argsort(doc_ids, kind="stable")
-    lo, hi = (np.searchsorted(doc_ids[order], doc, side) for side in ("left", "right"))
+def places_of(keys: np.ndarray, offs: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first symbol, size) of the spans that fall into these rows; rows with one key are equal and share its spans."""
+    key, at, size = found
+    order = np.argsort(keys, kind="stable")
+    lo, hi = (np.searchsorted(keys[order], key, side) for side in ("left", "right"))
     times = hi - lo
-    pick = np.repeat(np.arange(len(doc)), times)
+    pick = np.repeat(np.arange(len(key)), times)
     row = order[np.repeat(lo - np.cumsum(times) + times, times) + np.arange(len(pick))]
-    begin = offs[row] + at[pick]
-    inside = begin + size[pick] <= offs[row + 1]
-    return row[inside], begin[inside], size[pick][inside]
-
-
-def asker(symbols_of: Callable, rule: Rule):
-    def ask(key, docs: pa.Table, asks: pa.Table) -> pa.Table:
-        out = []
-        if docs.num_rows and asks.num_rows:
-            found = read_spans(asks)
-            doc = ids(docs, "doc")
-            texts = unzipped(docs.column("z"))
-            buf, offs = tc.buffer_of(pa.array(texts, pa.large_binary()))
-            symbols, soffs = symbols_of(buf, offs)
-            row, begin, more = places_of(doc, soffs, found)
-            fits = begin + more + rule.width <= soffs[row + 1]
-            row, begin, more = row[fits], begin[fits], more[fits] + 1
-            at = np.repeat(begin - np.cumsum(more) + more, more) + np.arange(int(more.sum()))
-            row = np.repeat(row, more)
-            if len(at):
-                code = window_codes(symbols, at, rule.width)
-                out = list(send([[code, code, doc[row], at - soffs[row], np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)]], rule))
-        found = list(to_batches(out))
-        return pa.Table.from_batches(found, schema=_ARROW)
-
-    return ask
+    return row, offs[row] + at[pick], size[pick]
 
 
-def unzipped(column) -> list[bytes]:
-    d = zstandard.ZstdDecompressor()
-    return [d.decompress(x.as_py()) for x in column]
+def zipped(parts: int):
+    """(text, doc, salt, others) -> (z, doc, part, key, others): texts go through a shuffle compressed."""
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [c.compress((x.as_py() or "").encode()) for x in batch.column(0)]
+            key = row_keys(ids(batch, "doc"), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+            columns = [pa.array(texts, pa.binary()), batch.column(1), pa.array((key % np.uint64(parts)).astype(np.int64)), pa.array(key.view(np.int64)), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["z", "doc", "part", "key", *batch.schema.names[3:]])
 
+    return run
 
-def zipped(batches):
-    """(text, others) -> (z, others): texts go through a shuffle compressed."""
-    c = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [c.compress((x.as_py() or "").encode()) for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *batch.columns[1:]], names=["z", *batch.schema.names[1:]])
 
+def repeated(docs: DataFrame, id_col: str, text_col: str, symbols, rule_of: Callable, solve: Callable, finish: Callable, schema: str, name: str, carry: tuple[str, ...] = (), levels: DataFrame | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(finish(ids, keys, texts, spans) and the columns `carry` of every row, the written rows of the search).
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, symbols_of: Callable, rule_of: Callable, join: Callable, finish: Callable, schema: str, name: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs -> finish(ids, ids in numpy, texts, spans) and the columns `carry` of every row, where spans are the windows that repeat."""
+    spans: the windows that repeat. levels: LEVEL and KEPT rows of earlier searches with as many buckets."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    text = F.col(text_col).alias("text")
+    salt = F.xxhash64(text_col).alias("salt")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), salt, text)
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rule = rule_of(max(1, rows.count() // 512), 4 * deal)
-    found = rows.mapInArrow(scanner(symbols_of, rule), ROW).repartition(deal, "key").mapInArrow(reducer(rule, join, True), ROW)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rule = rule_of(max(1, -(-size // PART)), buckets or 4 * deal)
+    found = rows.mapInArrow(scanner(symbols, rule), ROW)
+    if levels is not None:
+        found = found.unionByName(levels)
+    found = found.repartition(deal, "key").mapInArrow(reducer(rule, symbols, solve, levels is not None), ROW)
     found = materialise(found, name)
-    part = F.coalesce(part_column(F.col("doc"), rule.parts), F.lit(int(part_of(np.array([NULL_ID]), rule.parts)[0])))
     extra = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
-    wide = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), *extra).withColumn("part", part)
-    texts = wide.mapInArrow(zipped, StructType([StructField("z", BinaryType()), *wide.schema.fields[1:]]))
-    asks = found.filter(F.col("kind") == ASK)
-    spans = found.filter(F.col("kind") == SPAN)
-    second = texts.groupBy("part").cogroup(asks.groupBy("key")).applyInArrow(asker(symbols_of, rule), ROW)
-    spans = spans.unionByName(second.repartition(deal, "key").mapInArrow(reducer(rule, join, False), ROW))
+    wide = docs.select(text, F.col(id_col).cast("long").alias("doc"), salt, *extra)
+    fields = [StructField("z", BinaryType()), StructField("doc", LongType()), StructField("part", LongType()), StructField("key", LongType()), *wide.schema.fields[3:]]
+    texts = wide.mapInArrow(zipped(rule.parts), StructType(fields))
+    windows = found.filter(F.col("kind") == WINDOW).repartition(deal, "key").mapInArrow(window_reducer(rule), ROW)
+    spans = found.filter(F.col("kind") == SPAN).unionByName(windows)
 
     def last(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
-        out = finish(docs.column("doc"), ids(docs, "doc"), unzipped(docs.column("z")), read_spans(spans))
+        keys = docs.column("key").to_numpy().view(np.uint64)
+        out = finish(docs.column("doc"), keys, unzipped(docs.column("z")), read_spans(spans))
         for i, c in enumerate(carry):
             out = out.append_column(c, docs.column(f"__c{i}"))
         return out
@@ -336,4 +667,5 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, symbols_of: Callable,
     schema = StructType([*StructType.fromDDL(schema).fields, *(StructField(c, docs.schema[c].dataType) for c in carry)])
     if len(set(schema.names)) < len(schema.names):
         raise ValueError("a carried column has the name of a result")
-    return texts.groupBy("part").cogroup(spans.groupBy("key")).applyInArrow(last, schema)
+    return texts.groupBy("part").cogroup(spans.groupBy("key")).applyInArrow(last, schema), found
+

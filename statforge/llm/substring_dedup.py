@@ -1,9 +1,10 @@
 """Substring deduplication with prefix-partitioned suffix trees over words.
 
-Suffixes start at anchors (see repeats). Their order is that of fingerprints, so a prefix of a
-fingerprint is a prefix of the suffix. A task splits its suffixes by prefixes of variable length until
-each group fits in memory, and builds each group's tree: the suffixes below one node share their
-first words; a node as deep as the window with two leaves is a maximal repeat.
+Suffixes start at anchors (see repeats). They are split by prefixes of variable length until a group
+fits in memory, and each group's suffixes, sorted word by word, are the leaves of its subtree: an
+internal node of depth d is a run of leaves that have d words in common. A node as deep as the window
+asks that has two leaves is a repeat; two leaves below it with the same way back make it a window that
+begins before the anchor.
 """
 
 from __future__ import annotations
@@ -15,44 +16,22 @@ from pyspark.sql import DataFrame
 from . import repeats as rp
 from . import textcodes as tc
 
-#: Suffixes of one subtree at most, unless they all share the longest prefix.
-GROUP = 1_000_000
 
-
-def prefix_groups(entries: list[np.ndarray], limit: int, depth: int = 0):
-    """Split suffixes by one more byte of their prefix until a group is small enough."""
-    if len(entries[0]) <= limit or depth >= 8:
-        if len(entries[0]):
-            yield entries
-        return
-    digit = (entries[1] >> np.uint64(56 - 8 * depth)).astype(np.uint8) if depth < 8 else None
-    order = np.argsort(digit, kind="stable")
-    cuts = np.searchsorted(digit[order], np.arange(257))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if hi > lo:
-            yield from prefix_groups([x[order[lo:hi]] for x in entries], limit, depth + 1)
-
-
-def _trees(batches, rule):
-    found = list(batches)
-    if found:
-        for group in prefix_groups([np.concatenate(x) for x in zip(*found, strict=True)], GROUP):
-            yield rp.settle(group, rule)
-
-
-def word_symbols(buf, offs):
-    starts, ends, woffs = tc.words(buf, offs)
-    return tc.span_codes(buf, starts, ends), woffs
+def subtree(batches: list[rp.Suffixes], kept: list[rp.Suffixes], rule: rp.Rule):
+    """([the rows], the spans) of one group, from the deep internal nodes of its subtree."""
+    rows, spans, _ = rp.merged(rp.joined([*batches, *kept]).sorted(), rule)
+    rows.seen |= rp.shared_windows(rows, rule)
+    return [rows], tuple(np.concatenate(x) for x in zip(spans, rp.seen_spans(rows, rule), strict=True))
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, span_starts array<int>, span_ends array<int>, kept string"
 
 
-def _finish(raw_ids, ids, texts, spans) -> pa.Table:
+def _finish(raw_ids, keys, texts, spans) -> pa.Table:
     buf, offs = tc.buffer_of(pa.array(texts, pa.large_binary()))
     starts, ends, woffs = tc.words(buf, offs)
     n = len(starts)
-    _, begin, size = rp.places_of(ids, woffs, spans)
+    _, begin, size = rp.places_of(keys, woffs, spans)
     gone = tc.covered(n, begin, begin + size) if n else np.zeros(0, bool)
     edge = np.zeros(n + 1, bool)
     edge[woffs] = True
@@ -84,10 +63,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs without white space, compared unchanged; "anywhere else" includes the same
     document, and all places of a repeat are removed. Windows are judged on the input. Result: a row
     for each input row: doc_id, n_words, n_removed, the removed runs (span_starts, span_ends, in
-    words) and `kept`, the remaining words joined by one space. A null text has no words. Rows that
-    share an id, and rows with null ids, are separate places; a span found in one is removed at that
-    place of each row with its id. Empty table: no rows. Other columns are ignored.
+    words) and `kept`, the remaining words joined by one space. A null or empty text has no words. Rows
+    that share an id, and rows with null ids, are places of their own, so that a repeated row loses all
+    that is long enough. Very long texts are taken whole. Empty table: no rows. Other columns are
+    ignored. `anchor` (k) trades index size against what sorting has to look at.
     """
     if not 1 <= anchor <= min_words <= 250:
         raise ValueError("1 <= anchor <= min_words <= 250")
-    return rp.repeated(docs, id_col, text_col, word_symbols, lambda parts, buckets: rp.Rule(min_words, anchor, True, parts, buckets), _trees, _finish, SCHEMA, "substring")
+    return rp.repeated(docs, id_col, text_col, rp.Words(), lambda parts, buckets: rp.Rule(min_words, anchor, True, parts, buckets), subtree, _finish, SCHEMA, "substring")[0]

@@ -1,13 +1,14 @@
 """Numpy helpers that turn a batch of texts into words, fingerprints and windows.
 
 A batch is one byte buffer with document offsets, as Arrow lays it out, so that every step is a
-handful of array passes. Fingerprints are 64-bit polynomials over a fixed random table.
+handful of array passes. Fingerprints have 64 bits.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if len(have) <= 1 << 21:  # longer tables are for very long texts and don't stay in the worker
-            _powers[base] = have
-    return have[:n]
-
-
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,11 +75,34 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Ranges of more bytes are fingerprinted one by one.
+LONG = 128
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
 def span_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A fingerprint of every byte range."""
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * powers(_BASE, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A fingerprint of every byte range: eight bytes at a time go through mix(), which is not linear, so that no
+    pattern of bytes makes unlike ranges alike; long ranges have a digest."""
+    size = ends - starts
+    code = mix(size.astype(np.uint64) + U64(_BASE))
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        part = eight[at]
+        short = left < 8
+        if short.any():
+            part[short] &= (U64(1) << (left[short].astype(np.uint64) * U64(8))) - U64(1)
+        code[todo] = mix((code[todo] ^ mix(part)) * U64(0x9FB21C651E98DF25))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        code[i] = int.from_bytes(digest(buf[starts[i] : ends[i]]), "little")
+    return code
 
 
 def byte_symbols(buf: np.ndarray) -> np.ndarray:

@@ -8,9 +8,9 @@ import re
 
 import pytest
 
-from statforge.llm import jaccard, repeats
+from statforge.llm import jaccard, repeats, suffix_dedup
 from statforge.llm.jaccard import ngram_jaccard_join
-from statforge.llm.substring_dedup import prefix_groups, substring_dedup
+from statforge.llm.substring_dedup import substring_dedup
 from statforge.llm.suffix_dedup import suffix_array_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,22 +100,92 @@ def test_dedup_edges(spark):
         suffix_array_dedup(df, carry=("doc_id",))
 
 
-def test_prefix_groups_are_bounded():
-    import numpy as np
-
-    g = np.arange(5000, dtype=np.uint64)
-    a = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
-    parts = list(prefix_groups([g, a], 100))
-    assert max(len(p[0]) for p in parts) <= 100 and sorted(x for p in parts for x in p[0]) == list(range(5000))
-    assert [len(p[0]) for p in prefix_groups([g, a * np.uint64(0)], 100)] == [5000]
-
+@pytest.mark.parametrize("group", [40_000, 2000])
+def test_groups_beyond_memory(spark, monkeypatch, group):
+    """Buckets are split by longer prefixes, and then window by window, without a change of the result."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    docs = mixed_docs(2)
+    rule = repeats.Rule(50, 20, False, 3, 2)
+    blobs = rows_of(docs, rule, repeats.Bytes())
+    sizes = [sum(map(len, parts)) for bucket in blobs.values() for parts, small in repeats.prefix_groups(bucket, rule, repeats.Bytes(), 20) if small]
+    assert sizes and max(sizes) <= 20
+    reduced = repeats.reducer(rule, repeats.Bytes(), suffix_dedup.family, False)
+    out = list(reduced(repeats.to_batches((repeats.ENTRY, k, b) for k, some in blobs.items() for b in some)))
+    kinds = {k for b in out for k in b.column(0).to_pylist()}
+    assert (repeats.WINDOW in kinds) == (group == 2000)
+    assert removed(suffix_array_dedup(frame(spark, docs, 3)), "n_removed") == {d: x[1] for d, x in brute_bytes(docs).items()}
+    assert removed(substring_dedup(frame(spark, docs, 3)), "n_removed") == {d: x[1] for d, x in brute_words(docs).items()}
+
+
+def removed(df, column):
+    return {r.doc_id: r[column] for r in df.collect()}
+
+
+def rows_of(docs, rule, symbols):
+    """The blobs of suffix rows by bucket, of documents in three batches."""
+    import pyarrow as pa
+
+    out = {}
+    for part in (docs[i::3] for i in range(3)):
+        salt = [int.from_bytes(hashlib.md5((t or "").encode()).digest()[:7], "little") for _, t in part]
+        batch = pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in part], pa.int64()), "salt": pa.array(salt, pa.int64()), "text": pa.array([t for _, t in part], pa.string())})
+        for b in repeats.scanner(symbols, rule)(iter([batch])):
+            for kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == repeats.ENTRY:
+                    out.setdefault(key, []).append(blob)
+    return out
 
-def test_packing():
-    import numpy as np
 
-    columns = [np.array([3, 2**63], np.uint64), np.array([7, 8], np.uint64), np.array([-5, repeats.NULL_ID]), np.array([1, 2]), np.array([1, 255], np.uint8), np.array([0, 1], np.uint8)]
-    for a, b in zip(columns, repeats.unpack(repeats.pack(columns, repeats._ENTRY_COLUMNS), repeats._ENTRY_COLUMNS), strict=True):
-        assert a.tolist() == b.tolist()
+def test_levels_find_repeats_when_a_batch_arrives():
+    docs = [(i, "".join(random.Random(i % 7).choice("abcdefgh ") for _ in range(300)) + str(i)) for i in range(40)]
+    rule = repeats.Rule(50, 20, False, 3, 1)
+    batches = [repeats.thaw(b, rule, repeats.Bytes()) for b in rows_of(docs, rule, repeats.Bytes())[0]]
+    levels = suffix_dedup.Levels(rule)
+    for i, batch in enumerate(batches):
+        levels.add(batch)
+        known = sum(len(s[0]) for s in levels.spans) + sum(int(x.seen.any(1).sum()) for x, _ in levels.levels)
+        assert (known > 0) == (i > 0 or known > 0)
+        sizes = [len(x) for x, _ in levels.levels]
+        assert all(a > 2 * b for a, b in itertools.pairwise(sizes))
+    for x, _ in levels.levels:
+        strings = repeats.suffix_strings(x.table[:, : rule.width])
+        assert (strings[1:] >= strings[:-1]).all()
+
+
+def test_index_of_suffix_arrays(spark, tmp_path):
+    """Documents that come in several calls are judged as if they had come in one."""
+    docs = sorted(mixed_docs(4, 160), key=lambda d: d[0])
+    want, got, levels = {d: x[1] for d, x in brute_bytes(docs).items()}, {}, []
+    for lo, hi in ((0, 90), (90, 110), (110, 125), (125, 160)):
+        got |= removed(suffix_array_dedup(frame(spark, docs[lo:hi], 3), index=str(tmp_path / "index")), "n_removed")
+        levels.append([n for n, _, _ in suffix_dedup.stored_levels(spark, str(tmp_path / "index"))])
+    assert got == want and levels[0] == [90] and all(a > 2 * b for some in levels for a, b in itertools.pairwise(some))
+
+
+def test_rows_that_share_an_id(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    docs = [(None, one), (None, two), (3, one), (3, two + " end"), (9, two)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_array_dedup(frame(spark, docs)).collect())
+    assert got == sorted([("None", len(one), 0), ("None", len(two), 0), ("3", len(one), len(one)), ("3", len(two) + 4, len(two)), ("9", len(two), len(two))])
+    lone = [(1, one), (1, "x " * 30 + "y"), (2, one)]
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(frame(spark, lone)).collect()) == [(1, 0), (1, 60), (2, 60)]
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [512, 1024, 8192])
+def test_structured_words_differ(spark, n):
+    """Words that polynomial fingerprints modulo a power of two take for equal."""
+    one, two = thue_morse(n)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(frame(spark, [(1, one), (2, two)], 1), words=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2}
+    rest = " ".join(f"w{i}" for i in range(34))
+    assert removed(substring_dedup(frame(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}")], 1)), "n_removed") == {1: 0, 2: 0}
 
 
 def sets(text, k):
