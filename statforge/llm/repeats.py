@@ -9,10 +9,15 @@ to the right (the suffix) and from the anchor to the left (its way back). Rows a
 suffix, symbol by symbol. A window that begins o symbols before its anchor is a node of the suffixes
 as deep as `width - o` and a node of the ways back as deep as o; two windows are equal if both nodes are.
 
+A row costs some forty bytes, compressed, for each sixteen bytes of text, and most rows have a k-gram
+that nothing else has. So a first round can pick the units that have company: of every unit it moves two
+fingerprints only, of the k-gram and of the whole unit. Units that are equal as a whole are settled by
+that; rows are made of the units whose k-gram begins other units, or other documents, as well.
+
 What moves is (kind, key, blob): rows of one batch for one bucket of k-grams, compressed. Equal rows
 of a task are merged before they move. Buckets larger than a task should hold are split by prefixes
 of growing length; what is still too many with k symbols in common is dealt out once more, window by
-window (there alone, windows are compared by 64-bit fingerprints).
+window, by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -30,14 +35,18 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from . import textcodes as tc
 from .scratch import materialise
 
-ENTRY, SPAN, WINDOW, LEVEL, KEPT = range(5)
+ENTRY, SPAN, WINDOW, LEVEL, KEPT, ASK = range(6)
 ROW = "kind int, key long, blob binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of suffix rows that a task sorts at once and of a group that it loads, and bytes of text of a part.
 FLUSH, GROUP, PART = 24 << 20, 32 << 20, 4 << 20
+#: Units of the first round that a task settles at once, and that a bucket may have to be looked at as one.
+UNITS, BUCKET = 600_000, 3_000_000
 _SLICE = 1 << 18
 _SPAN_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("size", np.int64, 4))
+_UNIT_COLUMNS = (("a", np.uint64, 5), ("g", np.uint64, 8), ("doc", np.int64, 8), ("salt", np.uint64, 4), ("at", np.int64, 5), ("more", np.uint8, 1), ("back", np.uint8, 1), ("many", np.uint8, 1))
+_ASK_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("more", np.int64, 1), ("back", np.int64, 1))
 _WINDOW_COLUMNS = (("code", np.uint64, 8), ("doc", np.int64, 8), ("key", np.uint64, 8), ("at", np.int64, 5), ("many", np.uint8, 1))
 
 
@@ -129,6 +138,10 @@ def unzipped(column) -> list[bytes]:
     return [d.decompress(x.as_py()) for x in column]
 
 
+def salts(batch) -> np.ndarray:
+    return batch.column("salt").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def row_keys(doc: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """A key for each row: rows that share an id differ in it, unless their texts are equal as well."""
     return tc.mix(doc.view(np.uint64)) + (salt.view(np.uint64) & np.uint64(0xFFFFFFFF))
@@ -299,12 +312,13 @@ def spans_out(spans, rule: Rule):
 
 
 def units(symbols: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """(document, first window, last window, anchor, k-gram) of every unit of a slice."""
+    """(document, first window, last window, anchor, k-gram, whole unit) of every unit of a slice."""
     n, w = len(symbols), rule.before + 1
     lengths = np.diff(offs)
     if n < rule.width or not (lengths >= rule.width).any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    code = tc.mix(tc.Windows(symbols, 16).all(rule.k))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    win = tc.Windows(symbols, 16)
+    code = tc.mix(win.all(rule.k))
     key = code & np.uint64(0xFFFFFFFF00000000)
     key |= np.arange(len(key), dtype=np.uint64)
     size = 1
@@ -326,7 +340,8 @@ def units(symbols: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray
     tail = np.append(head[1:], len(valid)) - 1
     s, e, a = valid[head], valid[tail], anchor[head]
     # A document boundary always ends a unit: no window crosses it, so valid starts are not adjacent there.
-    return np.searchsorted(offs, s, "right") - 1, s, e, a, code[a]
+    g = tc.mix(win.at(s, rule.width)) * np.uint64(0x9FB21C651E98DF25) + tc.mix(win.at(e, rule.width))
+    return np.searchsorted(offs, s, "right") - 1, s, e, a, code[a], tc.mix(g + ((e - s) * 256 + (a - s)).astype(np.uint64))
 
 
 def suffix_table(symbols: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, rule: Rule) -> np.ndarray:
@@ -432,42 +447,118 @@ def thaw(blob: bytes, rule: Rule, symbols) -> Suffixes:
     return Suffixes(table, lo, hi, doc, many, np.zeros((n, rule.before + 1), bool), np.zeros(n, np.int64), place_row, place_at, place_key)
 
 
-def scanner(symbols, rule: Rule):
-    """Of (doc, salt, text) batches, sorted suffix rows by bucket, and the spans that equal rows of a batch show."""
+def flushed(found: list, rule: Rule, symbols):
+    """Sorted suffix rows of units, by bucket, and the spans that equal rows show.
+
+    found: (table, text, lo, hi, k-gram, doc, at, key, first byte, past byte) of slices, which is emptied."""
+    tables, texts, *columns = zip(*found, strict=True)
+    found.clear()
+    lo, hi, code, doc, at, key, begin, end = (np.concatenate(c) for c in columns)
+    n = len(code)
+    x = Suffixes(np.concatenate(tables), lo, hi, doc, np.zeros(n, np.uint8), np.zeros((n, 1), bool), np.arange(n), np.arange(n), at, key)
+    del tables
+    base = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], [len(c) for c in columns[0]])
+    source = b"".join(texts), begin + base, end + base
+    bucket = ((code >> np.uint64(20)) % np.uint64(rule.buckets)).astype(np.int64)
+    order = suffix_order(x.table)
+    order = order[np.argsort(bucket[order].astype(np.uint16 if rule.buckets < 65536 else np.int64), kind="stable")]
+    x, spans, heads = merged(x.take(order), rule)  # equal rows have one k-gram, so that they are in one bucket
+    cuts = np.searchsorted(bucket[order][heads], np.arange(rule.buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield ENTRY, b, freeze(x.take(np.arange(cuts[b], cuts[b + 1])), rule, symbols, *source)
+    yield from spans_out(spans, rule)
 
-    def flush(found):
-        tables, texts, *columns = zip(*found, strict=True)
-        found.clear()
-        lo, hi, code, doc, at, key, begin, end = (np.concatenate(c) for c in columns)
-        n = len(code)
-        x = Suffixes(np.concatenate(tables), lo, hi, doc, np.zeros(n, np.uint8), np.zeros((n, 1), bool), np.arange(n), np.arange(n), at, key)
-        del tables
-        base = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], [len(c) for c in columns[0]])
-        source = b"".join(texts), begin + base, end + base
-        bucket = ((code >> np.uint64(20)) % np.uint64(rule.buckets)).astype(np.int64)
-        order = suffix_order(x.table)
-        order = order[np.argsort(bucket[order].astype(np.uint16 if rule.buckets < 65536 else np.int64), kind="stable")]
-        x, spans, heads = merged(x.take(order), rule)  # equal rows have one k-gram, so that they are in one bucket
-        cuts = np.searchsorted(bucket[order][heads], np.arange(rule.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            yield ENTRY, b, freeze(x.take(np.arange(cuts[b], cuts[b + 1])), rule, symbols, *source)
-        yield from spans_out(spans, rule)
+
+def scanner(symbols, rule: Rule):
+    """Of (doc, salt, text) batches, suffix rows of all units."""
 
     @tc.trimmed
     def scan(batches):
         found, size = [], 0
         for batch in batches:
             doc = ids(batch, "doc")
-            keys = row_keys(doc, batch.column("salt").to_numpy(zero_copy_only=False).astype(np.int64))
+            keys = row_keys(doc, salts(batch))
             for lo, _, buf, offs in tc.batches(batch, "text", _SLICE):
                 codes, letters, starts, ends, soffs = symbols.slices(buf, offs)
-                d, s, e, a, code = units(codes, soffs, rule)
+                d, s, e, a, code, _ = units(codes, soffs, rule)
                 if len(d):
-                    order = np.zeros(len(d), np.int64) if rule.elsewhere else doc[lo + d]
                     table = suffix_table(letters, s, e, a, rule)
-                    found.append((table, buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, order, s - soffs[d], keys[lo + d], starts[s], ends[e + rule.width - 1]))
+                    found.append((table, buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, _order(doc[lo + d], rule), s - soffs[d], keys[lo + d], starts[s], ends[e + rule.width - 1]))
                     size += table.nbytes + len(buf)
                 if size > FLUSH:
+                    yield from to_batches(flushed(found, rule, symbols))
+                    size = 0
+        if found:
+            yield from to_batches(flushed(found, rule, symbols))
+
+    return scan
+
+
+def _order(doc: np.ndarray, rule: Rule) -> np.ndarray:
+    """Documents count only if the rule asks which is smaller."""
+    return np.zeros(len(doc), np.int64) if rule.elsewhere else doc
+
+
+# The first round
+
+
+def settled_units(x: list[np.ndarray], rule: Rule):
+    """(units that equal units leave open, the spans that they show): as merged() does for rows."""
+    a, g, doc, salt, at, more, back, many = x
+    order = np.lexsort((doc, g))
+    x = [c[order] for c in x]
+    a, g, doc, salt, at, more, back, many = x
+    new = first_of_runs(g)
+    heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+    if rule.elsewhere:
+        twice = np.add.reduceat(1 + many.astype(np.int64), heads) > 1 if len(heads) else np.zeros(0, bool)
+        covered, keep = twice[run] & (many == 0), new
+        x[7] = np.where(twice[run], 1, many).astype(np.uint8)
+    else:
+        covered = doc > doc[heads][run] if len(heads) else np.zeros(0, bool)
+        keep = ~covered
+    spans = row_keys(doc[covered], salt[covered].view(np.int64)), at[covered], more[covered].astype(np.int64) + rule.width
+    return [c[keep] for c in x], spans
+
+
+def with_company(x: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which of these open units have a k-gram that other units, or documents, have as well."""
+    a, g, doc, many = x[0], x[1], x[2], x[7]
+    order = np.lexsort((doc, a)) if not rule.elsewhere else np.argsort(a, kind="stable")
+    heads = np.flatnonzero(first_of_runs(a[order]))
+    sizes = np.diff(np.append(heads, len(a)))
+    if rule.elsewhere:
+        company = sizes > 1
+    else:
+        company = doc[order][heads] != doc[order][heads + sizes - 1]
+    out = np.zeros(len(a), bool)
+    out[order] = np.repeat(company, sizes)
+    return out
+
+
+def unit_scanner(symbols, rule: Rule):
+    """Of (doc, salt, text) batches, the fingerprints of all units."""
+
+    def flush(found):
+        units_, spans = settled_units([np.concatenate(c) for c in zip(*found, strict=True)], rule)
+        found.clear()
+        order = np.argsort(units_[0], kind="stable")
+        units_ = [c[order] for c in units_]
+        yield from rows_by(ENTRY, (units_[0] % np.uint64(rule.buckets)).astype(np.int64), units_, _UNIT_COLUMNS)
+        yield from spans_out(spans, rule)
+
+    @tc.trimmed
+    def scan(batches):
+        found, size = [], 0
+        for batch in batches:
+            doc, salt = ids(batch, "doc"), salts(batch).view(np.uint64) & np.uint64(0xFFFFFFFF)
+            for lo, _, buf, offs in tc.batches(batch, "text", _SLICE):
+                codes, _, _, _, soffs = symbols.slices(buf, offs)
+                d, s, e, a, code, g = units(codes, soffs, rule)
+                small = lambda c: c.astype(np.uint8)
+                found.append((code >> np.uint64(24), g, doc[lo + d], salt[lo + d], s - soffs[d], small(e - s), small(a - s), np.zeros(len(d), np.uint8)))
+                size += len(d)
+                if size > UNITS:
                     yield from to_batches(flush(found))
                     size = 0
         if found:
@@ -476,6 +567,72 @@ def scanner(symbols, rule: Rule):
     return scan
 
 
+def unit_reducer(rule: Rule):
+    """Of the fingerprints of some buckets, the spans and the units that have company (ASK, by part)."""
+
+    def settled(blobs, chosen):
+        held, size, spans = [], 0, [no_spans()]
+        for i, b in enumerate(blobs):
+            x = unpack(b, _UNIT_COLUMNS)
+            held.append(x if chosen is None else [c[chosen(x)] for c in x])
+            size += len(held[-1][0])
+            if size > UNITS or i == len(blobs) - 1:
+                rest, some = settled_units([np.concatenate(c) for c in zip(*held, strict=True)], rule)
+                held, size = [rest], 0
+                spans.append(some)
+        return held[0], tuple(np.concatenate(c) for c in zip(*spans, strict=True))
+
+    def out(rest, spans):
+        yield from spans_out(spans, rule)
+        open_ = [c[rest[7] == 0] for c in rest] if rule.elsewhere else rest
+        keys = row_keys(open_[2], open_[3].view(np.int64))
+        order = np.argsort(keys, kind="stable")
+        columns = [c[order] for c in (keys, open_[4], open_[5].astype(np.int64), open_[6].astype(np.int64))]
+        yield from rows_by(ASK, (columns[0] % np.uint64(rule.parts)).astype(np.int64), columns, _ASK_COLUMNS)
+
+    @tc.trimmed
+    def reduce(batches):
+        held = {}
+        for batch in batches:
+            kinds = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            if (kinds == SPAN).any():
+                yield batch.filter(pa.array(kinds == SPAN))
+            for i in np.flatnonzero(kinds == ENTRY).tolist():
+                held.setdefault(batch.column(1)[i].as_py(), []).append(batch.column(2)[i].as_py())
+        while held:
+            _, blobs = held.popitem()
+            if sum(len(b) for b in blobs) <= 8 * BUCKET:
+                rest, spans = settled(blobs, None)
+                asked = with_company(rest, rule)
+                yield from to_batches(out([c[asked] for c in rest], spans))
+            else:  # in passes, each with some of the units; all that equal units leave open count as if they had company
+                passes = np.uint64(-(-sum(len(b) for b in blobs) // (8 * BUCKET)))
+                for p in range(int(passes)):
+                    yield from to_batches(out(*settled(blobs, lambda x, p=p: x[1] % passes == p)))
+
+    return reduce
+
+
+def asker(symbols, rule: Rule):
+    """Suffix rows of the units of a part that have company."""
+
+    def ask(key, docs: pa.Table, asks: pa.Table) -> pa.Table:
+        out = []
+        if docs.num_rows and asks.num_rows:
+            key, at, more, back = (np.concatenate(c) for c in zip(*(unpack(b.as_py(), _ASK_COLUMNS) for b in asks.column("blob")), strict=True))
+            doc, keys = ids(docs, "doc"), docs.column("key").to_numpy().view(np.uint64)
+            buf, offs = tc.buffer_of(pa.array(unzipped(docs.column("z")), pa.large_binary()))
+            codes, letters, starts, ends, soffs = symbols.slices(buf, offs)
+            row, s, both = places_of(keys, soffs, [key, at, more * 256 + back])
+            e, a = s + both // 256, s + both % 256
+            code = tc.mix(tc.Windows(codes, 16).at(a, rule.k))
+            found = [(suffix_table(letters, s, e, a, rule), buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, _order(doc[row], rule), s - soffs[row], keys[row], starts[s], ends[e + rule.width - 1])]
+            out = list(to_batches(flushed(found, rule, symbols)))
+        return pa.Table.from_batches(out, schema=_ARROW)
+
+    return ask
+
+
 # Groups
 
 
@@ -634,28 +791,38 @@ def zipped(parts: int):
     return run
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, symbols, rule_of: Callable, solve: Callable, finish: Callable, schema: str, name: str, carry: tuple[str, ...] = (), levels: DataFrame | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, id_col: str, text_col: str, symbols, rule_of: Callable, solve: Callable, finish: Callable, schema: str, name: str, carry: tuple[str, ...] = (), levels: DataFrame | None = None, buckets: int | None = None, two_rounds: bool = False) -> tuple[DataFrame, DataFrame]:
     """(finish(ids, keys, texts, spans) and the columns `carry` of every row, the written rows of the search).
 
-    spans: the windows that repeat. levels: LEVEL and KEPT rows of earlier searches with as many buckets."""
+    spans: the windows that repeat. levels: LEVEL and KEPT rows of earlier searches with as many buckets.
+    two_rounds: rows only for the units that have company (see above); not with levels."""
     spark = docs.sparkSession
     text = F.col(text_col).alias("text")
-    salt = F.xxhash64(text_col).alias("salt")
+    # Most tables have one row for each id; where ids repeat, texts tell the rows apart.
+    again = docs.groupBy(F.col(id_col).cast("long").alias("doc")).count().filter("count > 1").limit(1).count()
+    salt = (F.xxhash64(text_col) if again else F.lit(0).cast("long")).alias("salt")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), salt, text)
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rule = rule_of(max(1, -(-size // PART)), buckets or 4 * deal)
-    found = rows.mapInArrow(scanner(symbols, rule), ROW)
-    if levels is not None:
-        found = found.unionByName(levels)
-    found = found.repartition(deal, "key").mapInArrow(reducer(rule, symbols, solve, levels is not None), ROW)
-    found = materialise(found, name)
     extra = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
     wide = docs.select(text, F.col(id_col).cast("long").alias("doc"), salt, *extra)
     fields = [StructField("z", BinaryType()), StructField("doc", LongType()), StructField("part", LongType()), StructField("key", LongType()), *wide.schema.fields[3:]]
     texts = wide.mapInArrow(zipped(rule.parts), StructType(fields))
+    if two_rounds:
+        hints = rows.mapInArrow(unit_scanner(symbols, rule), ROW).repartition(deal, "key").mapInArrow(unit_reducer(rule), ROW)
+        hints = materialise(hints, f"{name}-units")
+        found = texts.groupBy("part").cogroup(hints.filter(F.col("kind") == ASK).groupBy("key")).applyInArrow(asker(symbols, rule), ROW)
+    else:
+        found = rows.mapInArrow(scanner(symbols, rule), ROW)
+    if levels is not None:
+        found = found.unionByName(levels)
+    found = found.repartition(deal, "key").mapInArrow(reducer(rule, symbols, solve, levels is not None), ROW)
+    found = materialise(found, name)
     windows = found.filter(F.col("kind") == WINDOW).repartition(deal, "key").mapInArrow(window_reducer(rule), ROW)
     spans = found.filter(F.col("kind") == SPAN).unionByName(windows)
+    if two_rounds:
+        spans = spans.unionByName(hints.filter(F.col("kind") == SPAN))
 
     def last(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
         keys = docs.column("key").to_numpy().view(np.uint64)

@@ -150,7 +150,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, finish = docs.sparkSession, partial(_finish, whole=whole_characters)
     rule = lambda parts, buckets: rp.Rule(min_bytes, anchor, False, parts, buckets)
     if index is None:
-        return rp.repeated(docs, id_col, text_col, rp.Bytes(), rule, family, finish, SCHEMA, "suffix", tuple(carry))[0]
+        return rp.repeated(docs, id_col, text_col, rp.Bytes(), rule, family, finish, SCHEMA, "suffix", tuple(carry), two_rounds=True)[0]
     stored, size = stored_levels(spark, index), max(1, docs.count())
     buckets, taken = stored[0][1] if stored else 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), []
     while stored and stored[-1][0] <= 2 * size:
