@@ -18,12 +18,24 @@ def latest_gamelog(log: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     return first_by(log.filter("br_player_id is not null"), ["gameid", "br_player_id"], [F.col("created_at").desc_nulls_first(), *(F.col(t).asc_nulls_last() for t in ties)])
 
 
+#: Columns of a game log that stand for one value, the first that isn't NULL.
+DUAL = {"team": ("team_abbreviation", "team"), "reb": ("reb", "trb"), "oreb": ("oreb", "orb"), "dreb": ("dreb", "drb"), "fgm": ("fgm", "fg"), "fga": ("fga",), "fg3m": ("tpm", "fg3"), "fg3a": ("tpa", "fga3"), "ftm": ("ftm", "ft"), "player_name": ("player_name", "player")}
+
+
+def one_vocabulary(log: DataFrame) -> DataFrame:
+    """PRJ-01, PRJ-02: a game log with one column for each of DUAL; what it has under neither name is NULL."""
+    types = {"team": "string", "player_name": "string"}
+    for name, names in DUAL.items():
+        have = [F.col(c) for c in names if c in log.columns]
+        log = log.withColumn(name, F.coalesce(*have) if have else F.lit(None).cast(types.get(name, "double")))
+    return log
+
+
 def team_box(log: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
-    """AGG-03, PRJ-02: sums of each team over the newest rows; a NULL team is ''."""
-    rows = latest_gamelog(log, ties).withColumn("team", F.coalesce("team", F.lit(""))).withColumn("reb", F.coalesce("reb", "trb"))
-    names = [c for c in ("pts", "reb", "ast", "stl", "blk", "tov", "pf", "fgm", "fga") if c in rows.columns]
-    out = rows.groupBy("gameid", "team").agg(*(F.sum(c).alias(c) for c in names))
-    return out.withColumn("fg_pct", pct_or_zero(F.col("fgm"), F.col("fga")))
+    """AGG-03: 15 sums and 3 percentages of each team over the newest rows; a NULL team is ''."""
+    rows = one_vocabulary(latest_gamelog(log, ties)).withColumn("team", F.coalesce("team", F.lit("")))
+    out = rows.groupBy("gameid", "team").agg(*(F.sum(c).alias(c) for c in STATS))
+    return out.select("*", *(pct_or_zero(F.col(f"{c}m"), F.col(f"{c}a")).alias(f"{c}_pct") for c in ("fg", "fg3", "ft")))
 
 
 def _give(player: Column, stat: str, n: Column | int = 1, team: Column | None = None, detail: Column | None = None) -> Column:
@@ -84,7 +96,34 @@ def team_box_from_events(events: DataFrame) -> DataFrame:
     kept = contributions(events.filter(F.coalesce("event_type", F.lit("")).isin("", "Made Shot", "Missed Shot", "Free Throw", "Rebound", "Turnover", "Foul")))
     stat = lambda s: F.sum(F.when(F.col("stat") == s, F.col("n")).otherwise(0)).cast("long").alias(s)
     out = kept.filter("stat <> 'ast'").groupBy("gameid", "team").agg(*(stat(s) for s in STATS if s != "ast"))
-    return out.withColumn("fg_pct", pct_or_zero(F.col("fgm"), F.col("fga")))
+    return out.select("*", *(pct_or_zero(F.col(f"{c}m"), F.col(f"{c}a")).alias(f"{c}_pct") for c in ("fg", "fg3", "ft")))
+
+
+#: Detail lists of player_periods.
+DETAILS = ("made_shots", "missed_shots", "ft_details", "foul_details", "tov_details")
+
+
+def flat_details(periods: DataFrame) -> DataFrame:
+    """ARR-02: the detail lists of each player over the periods, in order, each entry with its period."""
+    tagged = lambda c: F.transform(F.col(c), lambda x: F.struct(F.col("period").alias("period"), x.alias("detail")))
+    in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("period", tagged(c).alias("x")))), lambda x: x["x"])).alias(c)
+    return periods.groupBy("gameid", "team", "player").agg(*(in_order(c) for c in DETAILS))
+
+
+def performance(events: DataFrame, log: DataFrame) -> DataFrame:
+    """GAME-05, AGG-15/16: periods with details, and each player's row of the game log (FUZZ-01): its id and points
+    are preferred where there is one."""
+    periods = player_periods(events, with_details=True)
+    ids = events.filter("br_player_id is not null").groupBy("gameid", "player", F.coalesce("team", F.lit("")).alias("team")).agg(F.min("br_player_id").alias("br_player_id"))
+    who = periods.select("gameid", "player", "team").distinct().join(ids, ["gameid", "player", "team"], "left")
+    log = one_vocabulary(log)
+    matched = match_gamelog(who, log).select("gameid", "player", "team", "matched_id")
+    own = log.select("gameid", F.col("br_player_id").alias("matched_id"), F.col("pts").alias("log_pts"), F.col("reb").alias("log_reb"), F.col("ast").alias("log_ast"))
+    return periods.join(matched, ["gameid", "player", "team"], "left").join(own, ["gameid", "matched_id"], "left")
+
+
+#: What a candidate of the same last name scores.
+ASSISTS, STEALS, BLOCKS, SAME_TEAM = 10, 2, 2, 1
 
 
 def match_gamelog(players: DataFrame, log: DataFrame) -> DataFrame:
@@ -97,7 +136,8 @@ def match_gamelog(players: DataFrame, log: DataFrame) -> DataFrame:
     found, rest = exact.filter("matched_id is not null"), exact.filter("matched_id is null").drop("matched_id").withColumn("__last", last_name(F.col("player")))
     cand = log.select(F.col("gameid").alias("__game"), F.col("br_player_id").alias("matched_id"), last_name(F.col("player_name")).alias("__cand"), F.col("team").alias("__cteam"), *(F.coalesce(c, F.lit(0)).alias(f"__{c}") for c in ("ast", "stl", "blk")))
     both = rest.join(cand, (rest.gameid == cand["__game"]) & (F.col("__last") == F.col("__cand")) & (F.col("__last") != ""), "left")
-    score = F.when(F.col("__ast") > 0, 10).otherwise(0) + F.when(F.col("__stl") > 0, 2).otherwise(0) + F.when(F.col("__blk") > 0, 2).otherwise(0) + F.when(F.upper("team") == F.upper("__cteam"), 1).otherwise(0)
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    score = points(F.col("__ast") > 0, ASSISTS) + points(F.col("__stl") > 0, STEALS) + points(F.col("__blk") > 0, BLOCKS) + points(F.upper("team") == F.upper("__cteam"), SAME_TEAM)
     w = Window.partitionBy("gameid", "player", "team").orderBy(F.desc_nulls_last("__score"), F.asc_nulls_last("matched_id"))
     best = both.withColumn("__score", score).withColumn("__n", F.row_number().over(w)).filter("__n = 1")
     return found.unionByName(best.select(found.columns))

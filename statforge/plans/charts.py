@@ -10,7 +10,11 @@ from ..functions.exprs import first_by, five_numbers, pg_asc, pg_desc, rnd_decim
 #: Pre-aggregated team codes of traded players.
 COMBINED = ("TOT", "2TM", "3TM", "4TM")
 PER_GAME = ("pts", "trb", "ast", "stl", "blk", "tov", "fg", "fga", "ft", "fta")
-ADVANCED = ("per", "ws", "usg_percent", "mp")
+#: Sort keys of the advanced leaderboard, its columns, and those of the shooting zones.
+ADVANCED = ("per", "ts_percent", "usg_percent", "ast_percent", "tov_percent", "stl_percent", "blk_percent", "bpm", "vorp", "ws", "ows", "dws")
+ADVANCED_COLUMNS = ("per", "ts_percent", "x3p_ar", "f_tr", "orb_percent", "drb_percent", "trb_percent", "ast_percent", "stl_percent", "blk_percent", "tov_percent", "usg_percent", "ows", "dws", "ws", "ws_48", "obpm", "dbpm", "bpm", "vorp")
+ZONES = ("x0_3", "x3_10", "x10_16", "x16_3p", "x3p")
+SHOOTING_COLUMNS = ("fg_percent", "avg_dist_fga", *(f"percent_fga_from_{z}_range" for z in ZONES), *(f"fg_percent_from_{z}_range" for z in ZONES), "percent_assisted_x2p_fg", "percent_assisted_x3p_fg", "percent_dunks_of_fga", "num_of_dunks", "percent_corner_3s_of_3pa", "corner_3_point_percent")
 
 
 def one_stint(facts: DataFrame, season: int, min_games: int = 0, key: str = "player_id") -> DataFrame:
@@ -20,7 +24,8 @@ def one_stint(facts: DataFrame, season: int, min_games: int = 0, key: str = "pla
 
 
 def scoring_distribution(facts: DataFrame, season: int, min_games: int = 1) -> DataFrame:
-    """CHRT-01: a box plot of points per game; total counts rows."""
+    """CHRT-01: a box plot of points per game; total counts rows. Quartiles are exact: what meets in one task is
+    one row for each distinct value of one season."""
     rows = facts.filter((F.col("season") == season) & F.col("g").isNotNull() & (F.col("g") >= min_games)).select((F.col("pts") / F.col("g")).alias("ppg"))
     return rows.agg(*five_numbers("ppg"), F.count("*").alias("total"))
 
@@ -33,16 +38,17 @@ def per_game_leaders(facts: DataFrame, season: int, sort: str = "pts", limit: in
 
 
 def advanced_leaders(facts: DataFrame, season: int, sort: str = "per", limit: int = 50, min_games: int = 10) -> DataFrame:
-    """CHRT-02."""
-    sort = sort if sort in ADVANCED else "per"
-    return one_stint(facts, season, min_games).select("player_id", "team", "g", *ADVANCED).orderBy(F.col(sort).desc_nulls_last(), "player_id").limit(min(limit, 200))
+    """CHRT-02: an unknown sort key falls back to per."""
+    sort = sort.lower() if sort and sort.lower() in ADVANCED else "per"
+    rows = one_stint(facts, season, min_games).select("season", "player_id", "team", "pos", "g", "mp", *ADVANCED_COLUMNS)
+    return rows.orderBy(F.col(sort).desc_nulls_last(), "player_id").limit(min(limit, 200))
 
 
-def shooting_zones(facts: DataFrame, season: int, limit: int = 50, min_games: int = 10) -> DataFrame:
-    """CHRT-03: shares of attempts, by minutes."""
-    share = lambda a: rnd_decimal(safe_div(F.col(a), F.col("fga")), 3)
-    rows = one_stint(facts, season, min_games).select("player_id", "mp", share("x3p").alias("x3p_share"), share("fta").alias("fta_share"))
-    return rows.orderBy(pg_desc("mp"), "player_id").limit(min(limit, 200))
+def shooting_zones(shooting: DataFrame, season: int, limit: int = 50, min_games: int = 10) -> DataFrame:
+    """CHRT-03: shares and accuracies by distance, and assisted shares, of the stint with most games, by minutes."""
+    rows = shooting.filter((F.col("season") == season) & ~F.col("team").isin(*COMBINED) & (F.col("g") >= min_games))
+    rows = first_by(rows, ["player"], [pg_desc("g"), pg_asc("team")]).select("season", "player", "team", "g", "mp", *SHOOTING_COLUMNS)
+    return rows.orderBy(pg_desc("mp"), "player").limit(min(limit, 100))
 
 
 def player_ratios(facts: DataFrame, season: int) -> DataFrame:

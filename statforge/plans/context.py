@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, r_squared, rnd
+from ..operators.metrics import with_bios
 
 
 def similar_players(matrix: DataFrame, target: str, metrics: list[str], k: int = 10, bios: DataFrame | None = None, same_position: bool = False, key: str = "player_id") -> DataFrame:
@@ -28,6 +29,18 @@ def similar_players(matrix: DataFrame, target: str, metrics: list[str], k: int =
     return out.filter("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
 
 
+def similar_with_bios(similar: DataFrame, bios: DataFrame, key: str = "player_id") -> DataFrame:
+    """JOIN-08: similar players with names and positions; the player's name first, then the full name, then the id."""
+    return with_bios(similar, bios, prefer_full=False, key=key).orderBy(F.desc("similarity"), key)
+
+
+def trend_line(trend: DataFrame, seasons: list[int], key: str = "player_id") -> DataFrame:
+    """UI-01: the fitted line at each season, where there is one."""
+    line = F.explode(F.array(*map(F.lit, seasons))).alias("season")
+    rows = trend.filter("slope is not null").select(key, "slope", "intercept", line)
+    return rows.select(key, "season", rnd(F.col("slope") * F.col("season") + F.col("intercept"), 4).alias("fitted"))
+
+
 def role_evolution(by_season: DataFrame, metrics: list[str], key: str = "player_id") -> DataFrame:
     """CTX-02: (key, metric) with first, last, changes, direction and slope. by_season has a row for each season with any row."""
     ends = by_season.groupBy(key).agg(F.min("season").alias("__lo"), F.max("season").alias("__hi"))

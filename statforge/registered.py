@@ -15,7 +15,6 @@ from .sources.roles import role, with_roles
 
 SEASON, PLAYER, TEAM, GAME, LATE = 1998, "7", "NATION_7", "7", 21_600.0
 TIES = ("l_partkey", "l_suppkey", "l_extendedprice")
-REG = metrics.REGISTRY
 NAMES = ("pts_per_game", "reb_per_game", "ast_per_game", "stl_per_game", "blk_per_game")
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -57,17 +56,22 @@ _add("load_games_by_type", "games", sql=f"SELECT game_id, season, season_type, h
 _add("seasons_available", "season_facts", sql="SELECT DISTINCT season FROM season_facts WHERE season IS NOT NULL")(lambda f: catalog.seasons_available(f, "season_facts"))
 _add("search_entities", "players", sql="SELECT player_id, player_name FROM players WHERE player_name ILIKE '%00001%' OR full_name ILIKE '%00001%' ORDER BY player_name, player_id LIMIT 20")(
     lambda p: catalog.search(p, "00001", ["player_name", "full_name"], ["player_name", "player_id"]).select("player_id", "player_name"))
-_Q["table_browse_page"] = lambda spark, d: catalog.browse(_raw(spark, d, "customer"), ["c_custkey"], "1", "c_acctbal", True, 2, 50)
+_Q["table_browse_page"] = lambda spark, d: catalog.browse(_raw(spark, d, "customer"), ["c_custkey"], "1", "c_acctbal", True, 2, 50, more_columns=("c_name",))
 _SQL["table_browse_page"] = "SELECT * FROM customer WHERE c_name ILIKE '%1%' ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 50 OFFSET 50"
 _COUNTED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 _Q["table_counts"] = lambda spark, d: catalog.table_counts(spark, {t: _raw(spark, d, t) for t in _COUNTED})
 _SQL["table_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _COUNTED)
 _add("status_splits", "team_splits", sql='SELECT count(*) AS "rows", count(DISTINCT team_abbr) AS teams, count(DISTINCT season) AS seasons FROM team_splits')(system.split_counts)
 _add("latest_game_day", "games", sql="SELECT max(game_date) AS last_day FROM games")(lambda g: g.agg(F.max("game_date").alias("last_day")))
-_add("gamelog_with_game_context", "gamelog", "games", sql=f"SELECT l.gameid, l.br_player_id, l.pts, l.l_partkey, l.l_suppkey, g.season_type, g.game_date, g.home_team_abbr, g.away_team_abbr, g.home_pts FROM gamelog l LEFT JOIN games g ON l.gameid = g.game_id WHERE l.season = {SEASON}")(
-    lambda log, g: catalog.load_season(log, SEASON).drop("season").join(g.select("game_id", "season_type", "game_date", "home_team_abbr", "away_team_abbr", "home_pts"), F.col("gameid") == F.col("game_id"), "left").select("gameid", "br_player_id", "pts", "l_partkey", "l_suppkey", "season_type", "game_date", "home_team_abbr", "away_team_abbr", "home_pts"))
-_add("season_stats_with_bio", "season_facts", "players", sql=f"SELECT f.player_id, f.team, f.pos, f.pts, p.player_name, p.position AS bio_position, p.height_cm FROM season_facts f LEFT JOIN players p USING (player_id) WHERE season = {SEASON}")(
-    lambda f, p: catalog.load_season(f, SEASON).join(p.withColumnRenamed("position", "bio_position"), "player_id", "left").select("player_id", "team", "pos", "pts", "player_name", "bio_position", "height_cm"))
+_CONTEXT = ["gameid", "br_player_id", "pts", "l_partkey", "l_suppkey", "season_type", "game_date", "home_team_abbr", "away_team_abbr", "home_pts"]
+_add("gamelog_with_game_context", "gamelog", "games", sql=f"""
+    SELECT l.gameid, l.br_player_id, l.pts, l.l_partkey, l.l_suppkey, g.season_type, g.game_date, g.home_team_abbr, g.away_team_abbr, g.home_pts
+    FROM gamelog l LEFT JOIN games g ON l.gameid = g.game_id WHERE l.season = {SEASON}""")(
+    lambda log, g: catalog.gamelog_with_games(catalog.load_season(log, SEASON), g).select(*_CONTEXT))
+_add("season_stats_with_bio", "season_facts", "players", sql=f"""
+    SELECT f.player_id, f.team, f.pos, f.pts, p.player_name, p.position AS bio_position, p.height_cm
+    FROM season_facts f LEFT JOIN players p USING (player_id) WHERE season = {SEASON}""")(
+    lambda f, p: catalog.season_stats_with_bios(catalog.load_season(f, SEASON), p).select("player_id", "team", "pos", "pts", "player_name", "bio_position", "height_cm"))
 
 # Metrics
 _S = lambda c: f"coalesce(sum({c}), 0.0)"
@@ -81,11 +85,11 @@ _METRIC_SQL = {n: f"{_S(c)} / greatest({_S('g')}, 1.0)" for n, c in zip(NAMES, (
 }
 _RND = lambda e, p: f"round_even(({e})::DOUBLE, {p})"
 _VALUE = lambda m: f"SELECT player_id, {_RND(_METRIC_SQL[m], 6)} AS value FROM season_facts WHERE season = {SEASON} GROUP BY player_id"
-_value = lambda f, m="pts_per_game": metrics.evaluate(catalog.load_season(f, SEASON), REG.get(m))
-for _m in REG.list():
+_value = lambda f, m="pts_per_game": metrics.evaluate(catalog.load_season(f, SEASON), metrics.metric(m))
+for _m in metrics.metric_names():
     _add(f"metric_{_m}", "season_facts", sql=_VALUE(_m))(lambda f, m=_m: _value(f, m))
-_add("compute_many_all", "season_facts", sql=f"SELECT player_id, {', '.join(f'{_RND(_METRIC_SQL[m], 6)} AS {m}' for m in REG.list())} FROM season_facts WHERE season = {SEASON} GROUP BY player_id")(
-    lambda f: metrics.evaluate_many(catalog.load_season(f, SEASON), REG.all_specs()))
+_add("compute_many_all", "season_facts", sql=f"SELECT player_id, {', '.join(f'{_RND(_METRIC_SQL[m], 6)} AS {m}' for m in metrics.metric_names())} FROM season_facts WHERE season = {SEASON} GROUP BY player_id")(
+    lambda f: metrics.evaluate_many(catalog.load_season(f, SEASON), metrics.all_metrics()))
 
 
 def _rank_sql(metric: str = "pts_per_game", order: str = "DESC", where: str = "true") -> str:
@@ -99,8 +103,8 @@ _add("rank_min_value", "season_facts", sql=_rank_sql(where="value >= 25"))(lambd
 _TOP_SQL = _rank_sql().replace("WITH v AS", "WITH v AS", 1)
 _add("rank_top_with_bio", "season_facts", "players", sql=f"SELECT r.*, p.position, coalesce(p.full_name, p.player_name, r.player_id) AS name FROM ({_rank_sql()} ORDER BY rank, player_id LIMIT 20) r LEFT JOIN players p USING (player_id)")(
     lambda f, p: metrics.with_bios(metrics.rank(_value(f)).orderBy("rank", "player_id").limit(20), p))
-_add("vs_compare", "season_facts", sql="WITH " + ", ".join(f"m{i} AS ({_VALUE(m)})" for i, m in enumerate(REG.list())) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, max(CASE WHEN player_id = '3' THEN value END) AS p1, max(CASE WHEN player_id = '7' THEN value END) AS p2 FROM m{i}" for i, m in enumerate(REG.list())))(
-    lambda f: metrics.vs_compare(catalog.load_season(f, SEASON), REG.all_specs(), "3", "7"))
+_add("vs_compare", "season_facts", sql="WITH " + ", ".join(f"m{i} AS ({_VALUE(m)})" for i, m in enumerate(metrics.metric_names())) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, max(CASE WHEN player_id = '3' THEN value END) AS p1, max(CASE WHEN player_id = '7' THEN value END) AS p2 FROM m{i}" for i, m in enumerate(metrics.metric_names())))(
+    lambda f: metrics.vs_compare(catalog.load_season(f, SEASON), metrics.all_metrics(), "3", "7"))
 _BATCH = [("pts_per_game", "DESC"), ("ft_rate", "ASC")]
 _add("batch_rank_union", "season_facts", sql=" UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, * FROM ({_rank_sql(m, o)}) ORDER BY rank, player_id LIMIT 15)" for m, o in _BATCH))(
     lambda f: (lambda dfs: dfs[0].select(F.lit(_BATCH[0][0]).alias("metric"), "*").unionByName(dfs[1].select(F.lit(_BATCH[1][0]).alias("metric"), "*")))(metrics.run_batch(catalog.load_season(f, SEASON), [{"op": "rank", "metric": m, "ascending": o == "ASC", "limit": 15} for m, o in _BATCH])))
@@ -108,8 +112,6 @@ _add("batch_rank_union", "season_facts", sql=" UNION ALL ".join(f"SELECT * FROM
 # Games and events
 _LATEST = "(SELECT * FROM gamelog WHERE br_player_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gameid, br_player_id ORDER BY created_at DESC NULLS FIRST, l_partkey, l_suppkey, l_extendedprice) = 1)"
 _add("dedup_latest_gamelog", "gamelog", sql=f"SELECT gameid, br_player_id, created_at, pts, l_partkey, l_suppkey FROM {_LATEST}")(lambda g: boxscore.latest_gamelog(g, TIES).select("gameid", "br_player_id", "created_at", "pts", "l_partkey", "l_suppkey"))
-_BOX_SQL = f"SELECT gameid, coalesce(team, '') AS team, sum(pts) AS pts, sum(coalesce(reb, trb)) AS reb, sum(ast) AS ast, sum(stl) AS stl, sum(blk) AS blk, sum(tov) AS tov, sum(pf) AS pf, sum(fgm) AS fgm, sum(fga) AS fga, CASE WHEN coalesce(sum(fga), 0) <> 0 THEN {_RND('sum(fgm) / sum(fga)', 4)} ELSE 0.0 END AS fg_pct FROM {_LATEST} GROUP BY 1, 2"
-_add("team_box_from_gamelog", "gamelog", sql=_BOX_SQL)(lambda g: boxscore.team_box(g, TIES))
 _add("games_page", "games", sql=f"SELECT * FROM games WHERE season = {SEASON} ORDER BY game_date DESC NULLS LAST, game_id LIMIT 50 OFFSET 50")(lambda g: games.games_page(g, SEASON, 2))
 _add("quarter_recent", "games", sql=f"SELECT * FROM games WHERE (home_team_abbr = '{TEAM}' OR away_team_abbr = '{TEAM}') AND home_q1 IS NOT NULL ORDER BY game_date DESC NULLS FIRST, game_id LIMIT 10")(lambda g: games.quarter_recent(g, TEAM.lower()))
 _add("game_detail", "games", sql="SELECT * FROM games WHERE game_id = '100'")(lambda g: games.game_detail(g, "100"))
@@ -135,28 +137,6 @@ _EVBOX_SQL = f"SELECT gameid, coalesce(team, '') AS team, {', '.join(f'{e} AS {s
 _add("team_box_from_events", "plays", sql=_EVBOX_SQL)(boxscore.team_box_from_events)
 
 
-@_add("game_radar", "games", "gamelog", "plays", sql=f"""WITH base AS (SELECT game_id AS gameid, t AS team, CASE WHEN home_q1 IS NOT NULL THEN 0.5::DOUBLE END AS fg_pct FROM games, (VALUES ('EVEN'), ('ODD'), ('T1'), ('T2')) v(t) WHERE season = {SEASON} OR game_id::BIGINT <= 150),
-    box AS ({_BOX_SQL}), ev AS ({_EVBOX_SQL}), logged AS (SELECT DISTINCT gameid FROM gamelog)
-    SELECT b.gameid, b.team, coalesce(x.fg_pct, b.fg_pct, CASE WHEN l.gameid IS NULL THEN e.fg_pct END) AS fg_pct, coalesce(x.reb::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.reb END::DOUBLE) AS reb, x.ast::DOUBLE AS ast,
-        coalesce(x.stl::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.stl END::DOUBLE) AS stl, coalesce(x.blk::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.blk END::DOUBLE) AS blk, coalesce(x.tov::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.tov END::DOUBLE) AS tov, coalesce(x.pf::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.pf END::DOUBLE) AS pf
-    FROM base b LEFT JOIN box x ON b.gameid = x.gameid AND b.team = x.team LEFT JOIN ev e ON b.gameid = e.gameid AND b.team = e.team LEFT JOIN logged l ON b.gameid = l.gameid""")
-def _game_radar(g: DataFrame, log: DataFrame, plays: DataFrame) -> DataFrame:
-    return _radar_of(g.filter((F.col("season") == SEASON) | (F.col("game_id").cast("long") <= 150)), log, plays)
-
-
-def _radar_of(g: DataFrame, log: DataFrame, plays: DataFrame) -> DataFrame:
-    none = [F.lit(None).cast("double").alias(c) for c in games.RADAR if c != "fg_pct"]
-    base = g.select(F.col("game_id").alias("gameid"), F.explode(F.array(*map(F.lit, ("EVEN", "ODD", "T1", "T2")))).alias("team"), F.when(F.col("home_q1").isNotNull(), 0.5).alias("fg_pct"), *none)
-    return games.game_radar(base, log, plays, TIES)
-
-
-_add("game_radar_every_game", "games", "gamelog", "plays", sql=f"""WITH base AS (SELECT game_id AS gameid, t AS team, CASE WHEN home_q1 IS NOT NULL THEN 0.5::DOUBLE END AS fg_pct FROM games, (VALUES ('EVEN'), ('ODD'), ('T1'), ('T2')) v(t)),
-    box AS ({_BOX_SQL}), ev AS ({_EVBOX_SQL}), logged AS (SELECT DISTINCT gameid FROM gamelog)
-    SELECT b.gameid, b.team, coalesce(x.fg_pct, b.fg_pct, CASE WHEN l.gameid IS NULL THEN e.fg_pct END) AS fg_pct, coalesce(x.reb::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.reb END::DOUBLE) AS reb, x.ast::DOUBLE AS ast,
-        coalesce(x.stl::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.stl END::DOUBLE) AS stl, coalesce(x.blk::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.blk END::DOUBLE) AS blk, coalesce(x.tov::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.tov END::DOUBLE) AS tov, coalesce(x.pf::DOUBLE, CASE WHEN l.gameid IS NULL THEN e.pf END::DOUBLE) AS pf
-    FROM base b LEFT JOIN box x ON b.gameid = x.gameid AND b.team = x.team LEFT JOIN ev e ON b.gameid = e.gameid AND b.team = e.team LEFT JOIN logged l ON b.gameid = l.gameid""")(_radar_of)
-
-
 _CLOCK_SQL = """WITH e AS (SELECT *, event_type IN ('Rebound', 'Turnover', 'Made Shot') AS reset, event_type IN ('Made Shot', 'Missed Shot') AS shot FROM plays WHERE event_type IN ('Made Shot', 'Missed Shot', 'Rebound', 'Turnover')),
 s AS (SELECT *, coalesce(sum(reset::INT) OVER w, 0) AS seg, last_value(CASE WHEN reset THEN clock_seconds END IGNORE NULLS) OVER w AS rc FROM e WINDOW w AS (PARTITION BY gameid ORDER BY eventnum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, first_value(CASE WHEN shot THEN clock_seconds END IGNORE NULLS) OVER (PARTITION BY gameid, seg ORDER BY eventnum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fs FROM s),
@@ -177,26 +157,16 @@ _add("team_list", "team_seasons", sql="SELECT DISTINCT abbreviation AS team_code
 _add("team_splits", "team_splits", sql=f"SELECT * FROM team_splits WHERE team_abbr = '{TEAM}' AND season = {SEASON}")(lambda s: teams.team_splits(s, TEAM.lower(), SEASON))
 _add("standings", "team_seasons", sql=f"""WITH r AS (SELECT *, {_conf()} AS conference FROM team_seasons WHERE season = {SEASON} QUALIFY row_number() OVER (PARTITION BY abbreviation ORDER BY w DESC NULLS FIRST, playoffs) = 1)
     SELECT abbreviation, w, l, CASE WHEN w + l <> 0 THEN round_even(w::DOUBLE / (w + l), 4) ELSE 0.0 END AS win_pct, conference, (CASE WHEN conference = '' THEN row_number() OVER (ORDER BY w DESC NULLS LAST, abbreviation) ELSE row_number() OVER (PARTITION BY conference ORDER BY w DESC NULLS LAST, abbreviation) END)::INTEGER AS conference_rank FROM r""")(lambda t: teams.standings(t, SEASON))
-_add("team_stats", "team_seasons", sql=f"SELECT abbreviation, g, {_DEC(_DIV('pts', 'g'), 3)} AS off_pts FROM team_seasons WHERE season = {SEASON} QUALIFY row_number() OVER (PARTITION BY abbreviation ORDER BY g DESC NULLS FIRST, playoffs) = 1")(lambda t: teams.team_stats(t, SEASON))
 _add("team_ratios", "team_seasons", sql=f"SELECT abbreviation, {_DEC(_DIV('ast', 'tov'), 3)} AS ast_tov, {_DEC(_DIV('stl', 'pf'), 3)} AS stl_pf FROM team_seasons WHERE season = {SEASON} AND playoffs IS NOT TRUE")(lambda t: teams.team_ratios(t, SEASON))
-_add("team_trend", "team_splits", sql=f"SELECT season, games, pts FROM team_splits WHERE team_abbr = '{TEAM}' AND split_type = 'total'")(lambda s: teams.team_trend(s, TEAM))
-_RADAR_SQL = f"""SELECT * FROM (SELECT abbreviation, CASE WHEN playoffs IS NOT TRUE THEN 1 ELSE 2 END AS priority, g, {", ".join(f"{_DEC(_DIV(c, 'g'), 3)} AS {c}" for c in ("ast", "stl", "tov", "pf"))} FROM team_seasons WHERE season = {SEASON}
-    UNION ALL SELECT team_abbr, 3, games, NULL, NULL, NULL, NULL FROM team_splits WHERE season = {SEASON} AND split_type = 'total') QUALIFY row_number() OVER (PARTITION BY abbreviation ORDER BY priority, g DESC NULLS FIRST) = 1"""
-_add("team_radar_fallback", "team_seasons", "team_splits", sql=_RADAR_SQL)(lambda t, s: teams.team_radar(t, s, SEASON))
-_AXIS = lambda c: f"least(greatest({f'({teams.AXES[c]}::DOUBLE - {c})' if c in teams.INVERTED else c} / {teams.AXES[c]}::DOUBLE * 100, 0.0), 100.0)"
-_add("team_radar_normalised", "team_seasons", "team_splits", sql=f"SELECT abbreviation, {', '.join(f'{_DEC(f'coalesce(CASE WHEN {c} IS NOT NULL THEN {_AXIS(c)} END, 0.0)', 1)} AS {c}' for c in teams.AXES)} FROM ({_RADAR_SQL})")(lambda t, s: teams.radar_scaled(teams.team_radar(t, s, SEASON)))
-_add("league_radar_avg", "team_seasons", sql=f"SELECT {', '.join(f'{_DEC(_DIV(f"sum({c})", f"count({c})"), 2)} AS {c}' for c in ('pts', 'ast', 'stl', 'tov', 'pf'))} FROM team_seasons WHERE season = {SEASON} AND playoffs IS NOT TRUE")(lambda t: teams.league_average(t, SEASON))
 
 # Charts
 _add("scoring_distribution", "season_facts", sql=f"SELECT min(x) AS min, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS max, count(*) AS total FROM (SELECT pts / g AS x FROM season_facts WHERE season = {SEASON} AND g >= 1)")(lambda f: charts.scoring_distribution(f, SEASON))
 _STINT = lambda least: f"(SELECT * FROM season_facts WHERE season = {SEASON} AND team NOT IN ('TOT', '2TM', '3TM', '4TM') AND g >= {least} QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY g DESC NULLS FIRST, team, pos) = 1)"
 _add("per_game_leaderboard", "season_facts", sql=f"SELECT player_id, team, g, {', '.join(f'{_DEC(_DIV(c, "g"), 3)} AS {c}' for c in charts.PER_GAME)} FROM {_STINT(0)} ORDER BY pts DESC NULLS LAST, player_id LIMIT 50".replace("ORDER BY pts DESC", f"ORDER BY {_DEC(_DIV('pts', 'g'), 3)} DESC"))(lambda f: charts.leaderboard(f, "per_game", SEASON))
-_add("advanced_leaderboard", "season_facts", sql=f"SELECT player_id, team, g, per, ws, usg_percent, mp FROM {_STINT(2)} ORDER BY per DESC NULLS LAST, player_id LIMIT 50")(lambda f: charts.leaderboard(f, "advanced", SEASON, min_games=2))
-_add("shooting_zones", "season_facts", sql=f"SELECT player_id, mp, {_DEC(_DIV('x3p', 'fga'), 3)} AS x3p_share, {_DEC(_DIV('fta', 'fga'), 3)} AS fta_share FROM {_STINT(2)} ORDER BY mp DESC NULLS FIRST, player_id LIMIT 50")(lambda f: charts.shooting_zones(f, SEASON, min_games=2))
 _add("player_ratios", "season_facts", sql=f"SELECT player_id, {_DEC(_DIV('ast', 'tov'), 2)} AS ast_tov, {_DEC(_DIV('stl', 'pf'), 2)} AS stl_pf FROM {_STINT(0)}")(lambda f: charts.player_ratios(f, SEASON))
 
 # Context
-_BY_SEASON = lambda f: f.groupBy("player_id", "season").agg(*(ex.rnd(REG.get(m).expr(), 6).alias(m) for m in NAMES))
+_BY_SEASON = lambda f: f.groupBy("player_id", "season").agg(*(ex.rnd(metrics.metric(m).expr(), 6).alias(m) for m in NAMES))
 _BY_SEASON_SQL = f"SELECT player_id, season, {', '.join(f'{_RND(_METRIC_SQL[m], 6)} AS {m}' for m in NAMES)} FROM season_facts GROUP BY 1, 2"
 
 
@@ -208,7 +178,7 @@ def _similar_sql(near: str) -> str:
     SELECT z.player_id, round_even(({dot("t", "z")}) / (sqrt({dot("t", "t")}) * sqrt({dot("z", "z")})), 4) AS similarity FROM z, t WHERE z.player_id <> t.player_id ORDER BY similarity DESC, player_id LIMIT 10"""
 
 
-_many = lambda f: metrics.evaluate_many(catalog.load_season(f, SEASON), [REG.get(m) for m in NAMES])
+_many = lambda f: metrics.evaluate_many(catalog.load_season(f, SEASON), [metrics.metric(m) for m in NAMES])
 _add("similar_players", "season_facts", sql=_similar_sql("true"))(lambda f: context.similar_players(_many(f), PLAYER, list(NAMES)))
 _add("similar_players_position", "season_facts", "players", sql=_similar_sql(f"player_id IN (SELECT p.player_id FROM players p, (SELECT trim(split_part(position, ',', 1)) AS token FROM players WHERE player_id = '{PLAYER}') x WHERE contains(p.position, x.token))"))(
     lambda f, p: context.similar_players(_many(f), PLAYER, list(NAMES), bios=p, same_position=True))
@@ -229,14 +199,6 @@ _add("metric_trend", "season_facts", sql=f"""WITH p AS (SELECT player_id, season
 # Careers
 _CAREER = "(SELECT * FROM season_facts WHERE team NOT IN ('TOT', '2TM', '3TM', '4TM') QUALIFY row_number() OVER (PARTITION BY player_id, season ORDER BY g DESC NULLS FIRST, team, pos) = 1)"
 _add("career_seasons", "season_facts", sql=f"SELECT * FROM {_CAREER}")(growth.career_seasons)
-_add("career_per_game", "season_facts", sql=f"SELECT player_id, season, team, g, {', '.join(f'{_DEC(_DIV(c, "g"), 2)} AS {c}_pg' for c in ('pts', 'trb', 'ast'))} FROM {_CAREER}")(growth.career_per_game)
-_add("career_summary", "season_facts", sql=f"SELECT count(*) AS seasons, {', '.join(f'round_even(sum({c}), 0)::BIGINT AS {c}' for c in ('g', 'pts', 'trb', 'ast', 'stl', 'blk'))}, sum(ws) AS ws FROM season_facts WHERE player_id = '{PLAYER}'")(lambda f: growth.career_summary(f, PLAYER))
-_add("position_breakdown", "season_facts", sql=f"SELECT pos, count(*) AS seasons, sum(g)::BIGINT AS total_games, {_DEC('avg(' + _DIV('pts', 'g') + ')', 2)} AS ppg, {_DEC('avg(' + _DIV('ast', 'g') + ')', 2)} AS apg, {_DEC(_DIV('sum(pts) * 36', 'sum(mp)'), 2)} AS pts_per_36 FROM season_facts WHERE player_id = '{PLAYER}' GROUP BY pos")(lambda f: growth.position_breakdown(f, PLAYER))
-_TEAM_OF = lambda f: f.withColumn("team", F.when(F.col("team") == "2-HIGH", F.lit(TEAM)).otherwise(F.col("team")))
-_add("growth_seasons", "season_facts", "team_seasons", sql=f"""WITH f AS (SELECT * REPLACE (CASE WHEN team = '2-HIGH' THEN '{TEAM}' ELSE team END AS team) FROM season_facts WHERE player_id = '{PLAYER}'),
-    c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY player_id, season ORDER BY g DESC NULLS FIRST, team, pos) = 1), t AS (SELECT abbreviation, season, pts FROM team_seasons WHERE playoffs IS NOT TRUE)
-    SELECT c.season, c.team, c.pos, c.g, c.pts, {_RND(_DIV("c.pts", "c.g"), 2)} AS ppg, CASE WHEN c.pts > 0 AND t.pts > 0 THEN {_RND("100 * c.pts / t.pts", 2)} END AS scoring_share FROM c LEFT JOIN t ON c.team = t.abbreviation AND c.season = t.season""")(
-    lambda f, t: growth.growth_seasons(_TEAM_OF(f), t, PLAYER))
 _add("growth_milestones", "season_facts", sql=f"""WITH c AS (SELECT * FROM {_CAREER}), m AS (
     SELECT player_id, 0 AS place, 'debut' AS kind, min(season) AS season, NULL AS v FROM c GROUP BY 1
     UNION ALL SELECT player_id, 1, 'peak_scoring', season, pts FROM c QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY pts DESC, season) = 1
@@ -246,3 +208,5 @@ _add("growth_milestones", "season_facts", sql=f"""WITH c AS (SELECT * FROM {_CAR
     UNION ALL SELECT player_id, 6, 'current', max(season), NULL FROM c GROUP BY 1),
     p AS (SELECT player_id, season, pos, lag(pos) OVER (PARTITION BY player_id ORDER BY season) AS was FROM c)
     SELECT player_id, place, kind, season::INTEGER AS season, v::VARCHAR AS value FROM m UNION ALL SELECT player_id, 5, 'position_change', season::INTEGER, pos FROM p WHERE pos <> was""")(lambda f: growth.milestones(growth.career_seasons(f)))
+
+from . import registered_fields  # noqa: E402, F401  more queries, which use the names above

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from py4j.java_gateway import is_instance_of
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Above this many ids, a broadcast semi join replaces IN (SRC-11).
 ID_JOIN_FROM = 500
-#: Names of text columns that a browse search looks at, in this order of preference (FLT-10).
-SEARCH_COLUMNS = ("player_name", "full_name", "player", "team_name", "team", "abbreviation", "team_abbr", "name", "c_name", "s_name", "p_name", "r_name", "n_name")
+#: Names of text columns; a browse search looks at the first of a table's columns that is one (FLT-10).
+SEARCH_COLUMNS = ("player_name", "full_name", "player", "team", "team_abbr", "team_name", "abbreviation", "game_id", "gameid", "position", "pos", "season_type", "split_type")
 
 
 @dataclass(frozen=True)
@@ -112,20 +114,84 @@ def search(df: DataFrame, name: str, columns: list[str], order: list[str], limit
     return df.filter(hit).orderBy(*(F.col(c).asc_nulls_last() for c in order)).limit(max(1, min(limit, 100)))
 
 
-def browse(df: DataFrame, key: list[str], search_text: str | None = None, sort: str | None = None, descending: bool = False, page: int = 1, size: int = 50) -> DataFrame:
-    """SYS-01, SRT-05/07, FLT-10: unknown sort columns are ignored; the key makes pages disjoint."""
+def browse(df: DataFrame, key: list[str], search_text: str | None = None, sort: str | None = None, descending: bool = False, page: int = 1, size: int = 50, more_columns: tuple[str, ...] = ()) -> DataFrame:
+    """SYS-01, SRT-05/07, FLT-10: unknown sort columns are ignored; the key makes pages disjoint. more_columns:
+    names that a search may look at besides SEARCH_COLUMNS."""
     size, page = max(1, min(size, 500)), max(1, page)
-    col = next((c for c in df.columns if c in SEARCH_COLUMNS), None)
-    if search_text and col:
-        df = df.filter(F.col(col).ilike(f"%{search_text}%"))
+    df = searched(df, search_text, more_columns)
     order = [F.col(k).asc_nulls_last() for k in key]
     if sort in df.columns:
         order.insert(0, F.col(sort).desc_nulls_first() if descending else F.col(sort).asc_nulls_last())
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def total_pages(total: int, size: int) -> int:
-    return -(-total // size)
+def searched(df: DataFrame, text: str | None, more_columns: tuple[str, ...] = ()) -> DataFrame:
+    """FLT-10: rows whose first text column has the text; all rows if there is no text or no such column."""
+    col = next((c for c in df.columns if c in SEARCH_COLUMNS or c in more_columns), None)
+    return df.filter(F.col(col).ilike(f"%{text.strip()}%")) if text and text.strip() and col else df
+
+
+def page_totals(df: DataFrame, search_text: str | None = None, size: int = 50, more_columns: tuple[str, ...] = ()) -> DataFrame:
+    """SRT-07, MATH-06: one row with the rows that a search finds and their pages."""
+    size = max(1, min(size, 500))
+    return searched(df, search_text, more_columns).agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).cast("long").alias("total_pages"))
+
+
+def table_columns(df: DataFrame) -> DataFrame:
+    """SRC-19: names and types in order."""
+    rows = [(i + 1, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, data_type string")
+
+
+def gamelog_with_games(log: DataFrame, games: DataFrame) -> DataFrame:
+    """JOIN-01: every row of the game log, with what its game has; the log's own season stays."""
+    context = games.select("game_id", "season_type", "game_date", "home_team_abbr", "away_team_abbr", "home_pts", "away_pts")
+    return log.join(context, log.gameid == context.game_id, "left").drop("game_id")
+
+
+def season_stats_with_bios(facts: DataFrame, players: DataFrame) -> DataFrame:
+    """JOIN-02: every row of the season, with the player's bio; its position is bio_position."""
+    return facts.join(players.withColumnRenamed("position", "bio_position"), "player_id", "left")
+
+
+def list_teams(mapping: DataFrame, active_only: bool = True) -> DataFrame:
+    """SRC-17: an unknown is_active counts as inactive."""
+    rows = mapping.filter("is_active") if active_only else mapping
+    return rows.select(F.col("team_code").alias("team_abbr"), "team_name", "is_active").orderBy("team_abbr")
+
+
+#: Sources of metrics: the table that each reads, and its entity column (SRC-12).
+METRIC_SOURCES = {"season_facts": "player_id", "gamelog": "br_player_id"}
+
+
+def metric_input(tables: dict[str, DataFrame], source: str, season: int, ids: list | None = None) -> tuple[DataFrame, str]:
+    """SRC-12: the rows that a metric of this source needs, and their entity column; no ids means all."""
+    if source not in METRIC_SOURCES:
+        raise ValueError(f"no source {source}; known: {', '.join(available_sources())}")
+    rows, key = load_season(tables[source], season), METRIC_SOURCES[source]
+    return (load_by_ids(rows, key, ids) if ids else rows), key
+
+
+def available_sources() -> list[str]:
+    """SRC-13."""
+    return sorted(METRIC_SOURCES)
+
+
+def player_bios(players: DataFrame, ids: list) -> DataFrame:
+    """SRC-13: no ids, no rows."""
+    return load_by_ids(players, "player_id", ids) if ids else players.limit(0)
+
+
+def split_ids(text: str, digits_only: bool = False) -> list[str]:
+    """STR-09: the parts of a comma list, without blanks."""
+    parts = [p.strip() for p in text.split(",")]
+    return [p for p in parts if p and (p.isdigit() or not digits_only)]
+
+
+def unknown_names(asked: list[str], known: list[str]) -> list[str]:
+    """SET-02: what was asked for and doesn't exist, in order."""
+    have = set(known)
+    return [n for n in dict.fromkeys(asked) if n not in have]
 
 
 def table_counts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -144,16 +210,25 @@ def drift(df: DataFrame, schema: TableSchema) -> list[str]:
     return found + [f"{schema.name}: {c} is {types.get(c)}, not {t}" for c, t in schema.types.items() if types.get(c) != t]
 
 
-_WRITES = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|replace)\b", re.I)
+#: Statements that are refused (SYS-04).
+WRITES = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "MERGE", "VACUUM")
+_REFUSED = re.compile(rf"\b({'|'.join(WRITES)})\b", re.I)
+_log = logging.getLogger("statforge.queries")
 
 
-def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """SRC-01, SYS-04: only a query. Keywords first, then the parsed plan must not be a command."""
-    if not sql or not sql.strip() or _WRITES.search(sql):
+def read_only(spark: SparkSession, sql: str, query_id: str | None = None) -> DataFrame:
+    """SRC-01, SYS-04: only a query. Statements' names are refused wherever they stand, and the parsed plan must hold
+    no command. Each call has an id, which its jobs carry as a tag and which is logged (SYS-06)."""
+    if not sql or not sql.strip().removeprefix("(").strip():
+        raise ValueError("no SQL")
+    if _REFUSED.search(sql):
         raise ValueError("only SELECT is allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     if is_instance_of(spark.sparkContext._gateway, plan, "org.apache.spark.sql.catalyst.plans.logical.Command"):
         raise ValueError("only SELECT is allowed")
+    query_id = query_id or uuid.uuid4().hex[:12]
+    spark.addTag(query_id)
+    _log.info("query %s: %s", query_id, sql.strip()[:200])
     return spark.sql(sql)
 
 

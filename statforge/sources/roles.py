@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 _Q = "l_quantity"
 _WHEN = lambda cond: f"sum(CASE WHEN {cond} THEN {_Q} ELSE 0.0 END)"
 
+#: Stand-ins for rates that the tables don't have: remainders of sums, which are exact.
+_RATES = {"ts_percent": 41, "x3p_ar": 43, "f_tr": 47, "orb_percent": 53, "drb_percent": 59, "trb_percent": 61, "ast_percent": 67, "stl_percent": 71, "blk_percent": 73, "tov_percent": 79, "ows": 7, "dws": 11, "ws_48": 13, "obpm": 19, "dbpm": 23, "bpm": 29, "vorp": 5}
+_SHARE = lambda a, b: f"{a} / nullif({b}, 0.0)"
+_MORE = ", ".join([
+    "CAST(year(o_orderdate) - 1970 AS INT) AS age", "count(DISTINCT CASE WHEN l_linenumber = 1 THEN o_orderkey END) AS gs", f"{_WHEN("l_returnflag = 'R' AND l_linestatus <> 'F'")} AS drb",
+    f"{_SHARE(_WHEN('l_linenumber <= 2'), _WHEN('l_linenumber <= 4'))} AS fg_percent", f"{_SHARE(_WHEN('l_linenumber = 1'), _WHEN('l_linenumber <= 3'))} AS x3p_percent",
+    f"{_SHARE(_WHEN("l_linenumber = 5 AND l_returnflag <> 'R'"), _WHEN('l_linenumber = 5'))} AS ft_percent", f"{_SHARE(_WHEN('l_linenumber <= 3'), _WHEN('l_linenumber <= 4'))} AS e_fg_percent",
+    *(f"sum({_Q}) % {m} AS {c}" for c, m in _RATES.items()),
+])
+
 SEASON_FACTS = f"""
 SELECT CAST(l_suppkey AS STRING) AS player_id, year(o_orderdate) AS season, o_orderpriority AS team, p_type AS pos,
     count(DISTINCT o_orderkey) AS g, {_WHEN("l_linestatus = 'F'")} AS mp,
@@ -17,7 +27,7 @@ SELECT CAST(l_suppkey AS STRING) AS player_id, year(o_orderdate) AS season, o_or
     {_WHEN("l_linenumber = 5 AND l_returnflag <> 'R'")} AS ft, {_WHEN("l_linenumber = 5")} AS fta,
     {_WHEN("l_returnflag = 'R' AND l_linestatus = 'F'")} AS orb, {_WHEN("l_returnflag = 'R'")} AS trb, {_WHEN("l_returnflag = 'A'")} AS ast,
     {_WHEN("l_linenumber = 6")} AS stl, {_WHEN("l_linenumber = 7")} AS blk, {_WHEN("l_linenumber = 3")} AS tov, {_WHEN("l_linenumber = 4")} AS pf,
-    sum({_Q}) AS pts, sum({_Q}) % 37 AS usg_percent, sum({_Q}) % 31 AS per, sum({_Q}) % 17 AS ws
+    sum({_Q}) AS pts, sum({_Q}) % 37 AS usg_percent, sum({_Q}) % 31 AS per, sum({_Q}) % 17 AS ws, {_MORE}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2, 3, 4"""
 
@@ -27,24 +37,30 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 
 GAMELOG = """
 SELECT CAST(l_orderkey AS STRING) AS gameid, CAST(l_linenumber AS STRING) AS br_player_id, year(o_orderdate) AS season, l_shipdate AS created_at,
-    CASE WHEN l_suppkey % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS team, l_quantity AS pts,
+    CASE WHEN l_suppkey % 2 = 0 THEN h.n_name ELSE a.n_name END AS team, concat('Player ', CAST(l_linenumber AS STRING)) AS player_name, l_quantity AS pts,
     CASE WHEN l_returnflag = 'R' THEN l_quantity END AS reb, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 2.0 END AS trb, l_linenumber * 1.0 AS ast,
     CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END AS stl, l_quantity % 3 AS blk, l_quantity % 5 AS tov, l_quantity % 7 AS pf, l_quantity % 11 AS fgm, l_quantity % 11 + l_linenumber AS fga,
-    l_partkey, l_suppkey, l_extendedprice
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+    CASE WHEN l_linenumber > 2 THEN l_quantity % 2 END AS oreb, l_quantity % 2 + 1 AS orb, l_quantity % 4 AS drb, CAST(NULL AS DOUBLE) AS dreb, l_quantity % 6 AS tpm, l_quantity % 6 + 1 AS tpa,
+    CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity % 8 END AS ftm, l_quantity % 8 AS ft, l_quantity % 8 + l_linenumber % 2 AS fta, l_partkey, l_suppkey, l_extendedprice
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey"""
+
+#: A third of the games has no team values, and another third lacks rebounds.
+_SIDES = ", ".join(f"CASE WHEN o_orderkey % 3 <> {0 if c in ('reb', 'oreb', 'dreb') else 1} THEN CAST((o_orderkey + {i}) % {m} AS DOUBLE)END AS {side}_{c}"
+    for i, side in enumerate(("home", "away")) for c, m in {"reb": 51, "ast": 31, "stl": 13, "blk": 11, "tov": 17, "pf": 23, "oreb": 14, "dreb": 37, "fgm": 43, "fga": 97, "fg3m": 19, "fga3": 41, "ftm": 29, "fta": 32}.items())
+_SIDES += ", " + ", ".join(f"CASE WHEN o_orderkey % 3 = 2 THEN ((o_orderkey + {i}) % {m}) / {m}.0E0 END AS {side}_{c}" for i, side in enumerate(("home", "away")) for c, m in {"fg_pct": 64, "fg3_pct": 32, "ft_pct": 128}.items())
 
-GAMES = """
+GAMES = f"""
 SELECT CAST(o_orderkey AS STRING) AS game_id, year(o_orderdate) AS season, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Playoffs' ELSE 'Regular' END AS season_type,
     CAST(o_orderdate AS DATE) AS game_date, h.n_name AS home_team_abbr, a.n_name AS away_team_abbr, o_totalprice AS home_pts, o_totalprice / 2 AS away_pts,
-    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 4 END AS home_q1, o_orderstatus AS game_status
+    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 4 END AS home_q1, o_orderstatus AS game_status, {_SIDES}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey"""
 
 EVENTS = """
 SELECT CAST(user_id AS STRING) AS gameid, 2024 AS season, event_id AS eventnum, CAST(day(ts) AS INT) AS period, 86400.0 - (hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) AS clock_seconds,
     CASE event_type WHEN 'purchase' THEN 'Made Shot' WHEN 'click' THEN 'Missed Shot' WHEN 'view' THEN 'Rebound' WHEN 'error' THEN 'Turnover' ELSE 'Free Throw' END AS event_type,
-    props AS subtype, concat('T', event_id % 5) AS team, concat('P', event_id % 17) AS player, CAST(event_id % 17 AS STRING) AS br_player_id,
+    props AS subtype, CASE event_id % 5 WHEN 0 THEN h.n_name WHEN 1 THEN a.n_name ELSE concat('T', event_id % 5) END AS team, concat('P', event_id % 17) AS player, CAST(event_id % 17 AS STRING) AS br_player_id,
     CASE WHEN event_id % 3 = 0 THEN concat('3-pt shot (Assist by P', event_id % 13, ')') WHEN event_id % 3 = 1 THEN 'make, offensive' ELSE 'layup' END AS description
-FROM events"""
+FROM events LEFT JOIN orders ON user_id = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation h ON c_nationkey = h.n_nationkey LEFT JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey"""
 
 TEAM_SEASONS = """
 SELECT n_name AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1-URGENT' AS playoffs, count(*) AS g,
@@ -53,14 +69,45 @@ SELECT n_name AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY 1, 2, 3"""
 
-TEAM_SPLITS = """
-SELECT n_name AS team_abbr, year(o_orderdate) AS season, o_orderstatus AS split_type, count(*) AS games, sum(o_custkey % 97) AS pts
+_SPLIT = "CAST(sum(o_custkey % 41) AS DOUBLE) / count(*) - 20 AS plus_minus, " + ", ".join(f"CAST(sum(o_custkey % {m}) AS DOUBLE) / count(*) AS {c}" for c, m in {"reb": 43, "ast": 29, "stl": 7, "blk": 5}.items()) + ", " + ", ".join(f"CAST(sum(o_custkey % {m}) AS DOUBLE) / (count(*) * {m}) AS {c}" for c, m in {"fg_pct": 3, "fg3_pct": 5, "ft_pct": 9}.items())
+
+TEAM_SPLITS = f"""
+SELECT n_name AS team_abbr, year(o_orderdate) AS season, o_orderstatus AS split_type, count(*) AS games, sum(o_custkey % 97) AS pts, {_SPLIT}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3
 UNION ALL
-SELECT n_name, year(o_orderdate), 'total', count(*), sum(o_custkey % 97)
+SELECT n_name, year(o_orderdate), 'total', count(*), sum(o_custkey % 97), {_SPLIT}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""
 
+_PER = lambda c, m: f"CAST(sum(o_custkey % {m}) AS DOUBLE) / count(*) AS {c}"
+_PER_GAME = {"pts": 97, "opp_pts": 89, "trb": 43, "ast": 29, "stl": 7, "blk": 5, "tov": 13, "pf": 11, "fta": 31}
+_SUMMED = {"pw": 17, "pl": 19, "mov": 23, "srs": 37, "o_rtg": 101, "d_rtg": 103, "n_rtg": 107, "pace": 109, "ts_percent": 41, "e_fg_percent": 53, "tov_percent": 59, "orb_percent": 61, "x3p_ar": 67}
+_BY_TEAM = "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
+TEAM_PER_GAME = f"""
+SELECT n_name AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1-URGENT' AS playoffs, count(*) AS g, {", ".join(_PER(f"{c}_per_game", m) for c, m in _PER_GAME.items())},
+    {", ".join(f"CAST(sum(o_custkey % {m}) AS DOUBLE) / (count(*) * {m}) AS {c}" for c, m in {"fg_percent": 3, "x3p_percent": 5, "ft_percent": 9}.items())}
+{_BY_TEAM} GROUP BY 1, 2, 3"""
+
+TEAM_SUMMARIES = f"""
+SELECT n_name AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1-URGENT' AS playoffs, {", ".join(_PER(c, m) for c, m in _SUMMED.items())}
+{_BY_TEAM} WHERE n_nationkey % 5 <> 0 GROUP BY 1, 2, 3"""
+
+TEAM_MAPPING = "SELECT n_name AS team_code, concat('Team ', n_name) AS team_name, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE n_nationkey % 4 <> 1 END AS is_active FROM nation"
+
+#: Points of the teams that players of season_facts play for.
+TEAM_TOTALS = f"SELECT o_orderpriority AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1-URGENT' AS playoffs, count(DISTINCT o_orderkey) AS g, sum({_Q}) AS pts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"
+
+_ZONES = ("x0_3", "x3_10", "x10_16", "x16_3p", "x3p")
+PLAYER_SHOOTING = f"""
+SELECT CAST(l_suppkey AS STRING) AS player, year(o_orderdate) AS season, o_orderpriority AS team, count(DISTINCT o_orderkey) AS g, {_WHEN("l_linestatus = 'F'")} AS mp,
+    {_SHARE(_WHEN("l_linenumber <= 2"), _WHEN("l_linenumber <= 4"))} AS fg_percent, sum({_Q}) % 23 AS avg_dist_fga,
+    {", ".join(f"{_SHARE(_WHEN(f'l_linenumber = {i + 1}'), f'sum({_Q})')} AS percent_fga_from_{z}_range" for i, z in enumerate(_ZONES))},
+    {", ".join(f"{_SHARE(_WHEN(f"l_linenumber = {i + 1} AND l_returnflag = 'N'"), _WHEN(f'l_linenumber = {i + 1}'))} AS fg_percent_from_{z}_range" for i, z in enumerate(_ZONES))},
+    {", ".join(f"sum({_Q}) % {m} AS {c}" for c, m in {"percent_assisted_x2p_fg": 31, "percent_assisted_x3p_fg": 37, "percent_dunks_of_fga": 41, "num_of_dunks": 43, "percent_corner_3s_of_3pa": 47, "corner_3_point_percent": 53}.items())}
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""
+
 ROLES = {"season_facts": SEASON_FACTS, "players": PLAYERS, "gamelog": GAMELOG, "games": GAMES, "plays": EVENTS, "team_seasons": TEAM_SEASONS, "team_splits": TEAM_SPLITS}
+ROLES |= {"team_per_game": TEAM_PER_GAME, "team_summaries": TEAM_SUMMARIES, "team_mapping": TEAM_MAPPING, "team_totals": TEAM_TOTALS, "player_shooting": PLAYER_SHOOTING}
 _TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region", "customer", "events")
 
 
@@ -77,5 +124,6 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_roles(sql: str, *names: str) -> str:
     """DuckDB SQL over canonical tables."""
+    sql = sql.lstrip()
     ctes = ", ".join(f"{n} AS ({ROLES[n].replace('AS STRING', 'AS VARCHAR')})" for n in names)
-    return f"WITH {ctes}{', ' + sql[5:] if sql.lstrip().upper().startswith('WITH ') else ' ' + sql}"
+    return f"WITH {ctes}{', ' + sql[5:] if sql.upper().startswith('WITH ') else ' ' + sql}"

@@ -1,5 +1,6 @@
 """Edge frames of the plans, guards and exports."""
 
+import json
 import os
 from datetime import UTC, datetime
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from statforge import registered
 from statforge.functions import exprs as ex
-from statforge.operators import metrics
-from statforge.plans import charts, context, export, games, growth, teams
+from statforge.operators import boxscore, metrics
+from statforge.plans import charts, context, export, games, growth, system, teams
 from statforge.sources import catalog
 from statforge.sources.roles import role
 
@@ -36,10 +37,12 @@ def test_guards(spark):
     for bad in ("2000", 1800, True):
         with pytest.raises(ValueError):
             catalog.require_season(bad)
-    for bad in ("", "DELETE FROM x", "SHOW TABLES", "CREATE TABLE t (a INT)"):
+    for bad in ("", "  ( ", "DELETE FROM x", "SHOW TABLES", "CREATE TABLE t (a INT)", "VACUUM t", "SELECT 1; DROP TABLE x"):
         with pytest.raises(ValueError):
             catalog.read_only(spark, bad)
-    assert catalog.read_only(spark, "SELECT 2 AS a").first().a == 2
+    assert catalog.read_only(spark, "SELECT 2 AS a", "query-9").first().a == 2 and "query-9" in spark.getTags()
+    assert catalog.read_only(spark, "SELECT replace('axa', 'x', 'y') AS a").first().a == "aya"
+    spark.clearTags()
     with pytest.raises(ValueError):
         catalog.in_list("a", [])
     df = spark.createDataFrame([(1, "x")], "season int, team string")
@@ -93,39 +96,143 @@ def test_similar_edge_cases(spark):
     assert context.similar_players(df, "nobody", ["x", "y"]).collect() == []
 
 
+def per_game(spark, *rows):
+    """Rows of (abbreviation, playoffs, g, points); the other values follow from the points."""
+    columns = [c for c in teams.PER_GAME.values() if c != "pts_per_game"]
+    data = [(a, 1, p, g, pts, *(None if pts is None else pts / (i + 2) for i in range(len(columns)))) for a, p, g, pts in rows]
+    return spark.createDataFrame(data, "abbreviation string, season int, playoffs boolean, g int, pts_per_game double, " + ", ".join(f"{c} double" for c in columns))
+
+
 def test_radar_fallback(spark):
-    s = "abbreviation string, season int, playoffs boolean, g int, w int, l int, pts int, ast int, stl int, tov int, pf int"
-    df = spark.createDataFrame([("A", 1, True, 9, 1, 1, 9, 9, 9, 9, 9), ("A", 1, False, 3, 1, 2, 9, 9, 9, 9, 9), ("B", 1, True, 2, 2, 0, 9, 4, 4, 4, 4), ("D", 1, None, 0, None, 0, None, 1, 1, 1, 1)], s)
-    sp = spark.createDataFrame([("A", 1, "total", 9, 9), ("C", 1, "total", 7, 9)], "team_abbr string, season int, split_type string, games int, pts int")
-    got = {r.abbreviation: (r.priority, r.g, r.ast) for r in teams.team_radar(df, sp, 1).collect()}
-    assert got == {"A": (1, 3, 3.0), "B": (2, 2, 2.0), "C": (3, 7, None), "D": (1, 0, None)}
-    assert {r.abbreviation: r.ast for r in teams.radar_scaled(teams.team_radar(df, sp, 1)).collect()}["C"] == 0.0
+    df = per_game(spark, ("A", True, 9, 90.0), ("A", False, 3, 60.0), ("B", True, 2, 40.0), ("D", None, 1, None))
+    more = spark.createDataFrame([("A", 1, False, 99.0, 0.25), ("B", 1, False, 98.0, 0.5), ("D", 1, None, 97.0, 60.0)], "abbreviation string, season int, playoffs boolean, pace double, x3p_ar double")
+    sp = spark.createDataFrame([("A", 1, "total", 9, 1.0), ("C", 1, "total", 7, 8.0)], "team_abbr string, season int, split_type string, games int, pts double")
+    sp = sp.select("*", *(F.lit(0.5).alias(c) for c in ("reb", "ast", "stl", "blk", "fg_pct", "fg3_pct", "ft_pct")))
+    radar = teams.team_radar(df, more, sp, 1)
+    got = {r.abbreviation: (r.priority, r.g, r.pts, r.pace) for r in radar.collect()}
+    assert got == {"A": (1, 3, 60.0, 99.0), "B": (2, 2, 40.0, None), "C": (3, 7, 8.0, None), "D": (1, 1, None, None)}
+    scaled = {r.abbreviation: r for r in teams.radar_scaled(radar).collect()}
+    tov = 60.0 / (2 + [c for c in teams.PER_GAME.values() if c != "pts_per_game"].index("tov_per_game"))
+    assert (scaled["A"].x3p_ar, scaled["A"].tov, scaled["C"].fg_pct, scaled["D"].pts, scaled["D"].tov) == (25.0, round(20 - tov, 1), 50.0, 0.0, 0.0)
+    pair = {r.metric: (r.team1, r.team2, round(r.axis_max, 6), r.winner) for r in teams.team_comparison(radar, "a", "B").collect()}
+    assert pair["pts"] == (60.0, 40.0, 78.0, 1) and pair["tov"][3] == 2 and pair["pace"] == (99.0, None, 128.7, None) and len(pair) == 13
+    with pytest.raises(LookupError):
+        teams.team_comparison(radar, "A", "Z")
+    assert teams.league_average(df.filter("playoffs"), more, 1).first().pts == 65.0 and teams.league_average(df, more, 1).first().pts == 60.0
+
+
+def test_standings(spark):
+    s = "abbreviation string, season int, playoffs boolean, g int, w int, l int"
+    df = spark.createDataFrame([("A", 1, True, 9, 1, 1), ("A", 1, False, 3, 1, 2), ("B", 1, True, 2, 2, 0), ("D", 1, None, 0, None, 0)], s)
     rank = {r.abbreviation: (r.win_pct, r.conference_rank) for r in teams.standings(df, 1).collect()}
     assert rank["B"] == (1.0, 1) and rank["D"][0] == 0.0
-    assert teams.league_average(df.filter("playoffs"), 1).first().pts == 9.0
 
 
 def test_game_radar_sources(spark):
-    base = spark.createDataFrame([("g", "A", 0.5, None), ("g", "B", None, None), ("h", "A", 0.4, None)], "gameid string, team string, fg_pct double, reb double").select("gameid", "team", "fg_pct", *(F.lit(None).cast("double").alias(c) for c in games.RADAR if c != "fg_pct"))
-    log = spark.createDataFrame([("g", "1", 1, "A", 10.0, 4.0, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 4.0)], "gameid string, br_player_id string, created_at int, team string, pts double, reb double, trb double, ast double, stl double, blk double, tov double, pf double, fgm double, fga double")
-    ev = spark.createDataFrame([("h", 1, 1, 1.0, "Rebound", "", "A", "P", None, ""), ("g", 1, 1, 1.0, "Rebound", "", "B", "P", None, "")], "gameid string, eventnum int, period int, clock_seconds double, event_type string, subtype string, team string, player string, br_player_id string, description string")
-    got = {(r.gameid, r.team): (r.fg_pct, r.reb) for r in games.game_radar(base, log, ev).collect()}
-    assert got == {("g", "A"): (0.5, 4.0), ("g", "B"): (None, None), ("h", "A"): (0.4, 1.0)}
-
-
-def test_exports_repeat(spark):
+    """The log wins where it has a value, events fill only games without a log that lack something."""
+    sides = [f"{side}_{c} double" for side in ("home", "away") for c in ("pts", "reb", "fg_pct")]
+    games_ = spark.createDataFrame([("g", "A", "B", 9.0, None, 0.5, 8.0, 3.0, 0.4), ("h", "A", "B", 7.0, None, 0.4, 6.0, 2.0, None)], f"game_id string, home_team_abbr string, away_team_abbr string, {', '.join(sides)}")
+    log = spark.createDataFrame([("g", "1", 1, "A", 10.0, None, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 4.0, 5.0)], "gameid string, br_player_id string, created_at int, team string, pts double, reb double, trb double, ast double, stl double, blk double, tov double, pf double, fgm double, fga double, orb double")
+    ev = spark.createDataFrame([("h", 1, 1, 1.0, "Rebound", "", "A", "P", None, ""), ("g", 1, 1, 1.0, "Rebound", "", "B", "P", None, ""), ("h", 2, 1, 1.0, "Made Shot", "", "A", "P", None, "3pt")], "gameid string, eventnum int, period int, clock_seconds double, event_type string, subtype string, team string, player string, br_player_id string, description string")
+    log = log.withColumn("fta", F.lit(None).cast("double"))
+    got = {(r.gameid, r.side): r for r in games.game_radar(games_, log, ev).collect()}
+    assert len(got) == 4 and set(games.RADAR) < set(got["g", "home"].asDict())
+    a = got["g", "home"]
+    assert (a.pts, a.reb, a.oreb, a.fg_pct, a.fgm, a.fg3m, a.dreb) == (10.0, 4.0, 5.0, 0.5, 2.0, None, None)
+    assert (got["g", "away"].reb, got["g", "away"].ast) == (3.0, None)
+    b = got["h", "home"]
+    assert (b.pts, b.reb, b.fg3m, b.fgm, b.fg3_pct, b.ast) == (7.0, 1.0, 1.0, None, 1.0, None)
+    axes = {(r.gameid, r.metric): (r.home, r.away, r.winner) for r in games.radar_axes(games.game_radar(games_, log, ev)).collect()}
+    assert axes["g", "pts"] == (10.0, 8.0, 1) and axes["g", "fg_pct"] == (50.0, 40.0, 1) and axes["h", "blk"] == (0.0, None, None)
+
+
+def test_performance_prefers_the_log(spark):
+    e = lambda n, player, pid, period, kind="Made Shot": ("g", n, period, 1.0, kind, "", "A", player, pid, f"shot {n}")
+    ev = spark.createDataFrame([e(1, "Al Long", "7", 1), e(2, "Al Long", "7", 2), e(3, "Bo Day", None, 1, "Missed Shot")], "gameid string, eventnum int, period int, clock_seconds double, event_type string, subtype string, team string, player string, br_player_id string, description string")
+    log = spark.createDataFrame([("g", "7", "Al Long", "A", 30.0, 1.0, 2.0, 0.0, 0.0), ("g", "8", "Z. Day", "A", 4.0, 1.0, 0.0, 0.0, 0.0)], "gameid string, br_player_id string, player_name string, team string, pts double, reb double, ast double, stl double, blk double")
+    got = {(r.player, r.period): (r.matched_id, r.log_pts, r.pts) for r in boxscore.performance(ev, log).collect()}
+    assert got == {("Al Long", 1): ("7", 30.0, 2), ("Al Long", 2): ("7", 30.0, 2), ("Bo Day", 1): ("8", 4.0, 0)}
+    flat = {r.player: [(x.period, x.detail) for x in r.made_shots] for r in boxscore.flat_details(boxscore.player_periods(ev, with_details=True)).collect()}
+    assert flat == {"Al Long": [(1, "shot 1"), (2, "shot 2")], "Bo Day": []}
+
+
+def test_growth_merge(spark):
+    names = ["age", "gs", "mp", "trb", "ast", "stl", "blk", "tov", "pf", *growth.PERCENTAGES, "per", "ts_percent", "usg_percent", "ws", "bpm", "vorp"]
+    rows = [("p", 2000, "A", "PG", 4, 10.0), ("p", 2000, "TOT", "PG", 9, 99.0), ("p", 2001, "B", "X", 0, None)]
+    df = spark.createDataFrame(rows, "player_id string, season int, team string, pos string, g int, pts double").select("*", *(F.lit(2.0).alias(c) for c in names))
+    totals = spark.createDataFrame([("A", 2000, False, 5, 40.0), ("A", 2000, True, 9, 80.0)], "abbreviation string, season int, playoffs boolean, g int, pts double")
+    got = [(r.season, r.pts_per_game, r.trb_per_game, r.pos_name, r.scoring_share) for r in growth.growth_seasons(df, totals, "p").collect()]
+    assert got == [(2000, 2.5, 0.5, "Point Guard", 25.0), (2001, None, None, "X", None)]
+    bio = spark.createDataFrame([("p", "Pat")], "player_id string, player_name string")
+    assert growth.career_summary(df, bio, "p").first().total_points == 10 and growth.career_summary(df, bio, "q").collect() == []
+    one = growth.position_breakdown(df, "p").collect()
+    assert [(r.pos, r.games_share) for r in one] == [("PG", 100.0), ("X", 0.0)] and growth.position_axes(growth.position_breakdown(df, "nobody")).first().ppg == 30.0
+
+
+def test_status(spark):
+    day = lambda d: datetime(2024, 5, d, tzinfo=UTC).date()
+    tables = {
+        "games": spark.createDataFrame([(f"g{i:02}", day(i + 1), "A", "B", 1, 2) for i in range(12)], "game_id string, game_date date, home_team_abbr string, away_team_abbr string, home_pts int, away_pts int"),
+        "team_mapping": spark.createDataFrame([("A", True), ("B", None)], "team_code string, is_active boolean"),
+        "team_splits": spark.createDataFrame([("A", 2000, "total", 5, None, 1.0)], "team_abbr string, season int, split_type string, games int, pts double, plus_minus double"),
+    }
+    got = system.status_summary(spark, tables, 2000)
+    assert (got["total_tables"], got["total_records"], got["active_teams"], got["last_game_date"]) == (3, 15, 1, "2024-05-12")
+    assert [g["date"] for g in got["recent_games"]] == [f"2024-05-{d:02}" for d in range(12, 2, -1)] and got["top_scorers"] == [{"team": "A", "pts": 0.0, "games": 5, "plus_minus": 1.0}]
+    broken = system.status_summary(spark, tables | {"team_mapping": spark.range(1)}, 2000)
+    assert broken["active_teams"] == 0 and len(broken["recent_games"]) == 10
+    assert system.guard({"fine": lambda: True, "broken": lambda: 1 / 0}) == {"fine": True, "broken": False}
+    assert [system.uptime_text(s) for s in (5, 65, 3700)] == ["5s", "1m 5s", "1h 1m 40s"] and system.monitor_stats(spark)["metrics_registered"] == 11
+    with system.tagged(spark, "request-1"):
+        assert "request-1" in spark.getTags()
+    assert "request-1" not in spark.getTags()
+
+
+def test_sources(spark):
+    facts = spark.createDataFrame([("a", 2000), ("b", 2000), ("b", 2001)], "player_id string, season int")
+    rows, key = catalog.metric_input({"season_facts": facts}, "season_facts", 2000, ["b"])
+    assert key == "player_id" and [r.player_id for r in rows.collect()] == ["b"] and catalog.metric_input({"season_facts": facts}, "season_facts", 2000, [])[0].count() == 2
+    with pytest.raises(ValueError, match="gamelog"):
+        catalog.metric_input({}, "nope", 2000)
+    assert catalog.player_bios(facts, []).collect() == [] and catalog.split_ids(" 1, x,,2 ") == ["1", "x", "2"] and catalog.split_ids("1,x,2", digits_only=True) == ["1", "2"]
+    assert catalog.unknown_names(["x", "ft_rate", "x", "y"], metrics.metric_names()) == ["x", "y"]
+    text = spark.createDataFrame([("k", "left"), ("l", "right")], "note string, split_type string")
+    assert catalog.page_totals(text, "IGH", 50).first().total == 1 and catalog.page_totals(text, "k", 1).first().total_pages == 0
+    assert catalog.page_totals(text.drop("split_type"), "k", 1).first().total_pages == 2
+    assert [r.column_name for r in catalog.table_columns(text).orderBy("ordinal").collect()] == ["note", "split_type"]
+
+
+def test_limits(spark):
+    log = spark.range(250).select(F.concat(F.lit("g"), "id").alias("game_id"), F.lit("2024-01-01").cast("date").alias("game_date"), F.lit(1).alias("home_q1"), F.lit("A").alias("home_team_abbr"), F.lit("B").alias("away_team_abbr"), F.lit(2000).alias("season"))
+    assert games.games_page(log, size=999).count() == 200 and games.quarter_recent(log, "a", 999).count() == 100
+
+
+def test_small_expressions(spark):
+    assert one(spark, ex.lookup(F.col("s"), ex.TEAM_CODES), s="BKN") == "BRK" and one(spark, ex.lookup(F.col("s"), ex.TEAM_CODES), s="LAL") == "LAL"
+    for day, season in (("2024-09-30", 2024), ("2024-10-01", 2025)):
+        assert one(spark, ex.season_of(F.col("s").cast("date")), s=day) == season
+    assert [one(spark, ex.winner(F.col("a"), F.col("b"), low), a=1.0, b=2.0) for low in (False, True)] == [2, 1] and one(spark, ex.winner(F.col("a"), F.col("a")), a=1.0) is None
+
+
+def test_exports_repeat(spark, tmp_path):
     ranked = metrics.rank(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "player_id string, value double"))
     at = datetime(2024, 5, 1, tzinfo=UTC)
     assert export.rankings_json(ranked, "m", 2000, 1, at) == export.rankings_json(ranked, "m", 2000, 1, at)
     assert export.rankings_csv(ranked, 5)[0] == "rank,player_id,value,percentile\n1,b,2.0,100.0\n2,a,1.0,0.0\n"
     vs = spark.createDataFrame([("x", 1.0, None)], "metric string, p1 double, p2 double")
     assert export.vs_csv(vs)[0] == "metric,p1,p2\nx,1.0,\n"
+    text, digest = export.vs_json(vs, "p", "q", 2000, at)
+    assert json.loads(text)["metrics"] == {"x": {"p1": 1.0, "p2": None}} and export.vs_json(vs, "p", "q", 2000, at)[1] == digest
+    values = spark.createDataFrame([("b", 2.0, None), ("a", 1.0, 3.0)], "player_id string, m double, n double")
+    assert json.loads(export.player_json(values, "b", 2000, at)[0])["metrics"] == {"m": 2.0} and json.loads(export.player_json(values, "zz", 2000, at)[0])["metrics"] == {}
+    export.league_files(values, str(tmp_path / "league"))
+    assert [r.player_id for r in spark.read.json(str(tmp_path / "league")).orderBy("player_id").collect()] == ["a", "b"]
 
 
 def test_milestones(spark):
     rows = [("p", 1, "A", "G", 5, 10.0, 20.0, 1.0), ("p", 2, "A", "F", 5, 30.0, 26.0, 2.0), ("p", 3, "A", "F", 5, 30.0, 27.0, None)]
     df = spark.createDataFrame(rows, "player_id string, season int, team string, pos string, g int, pts double, per double, ws double")
-    got = [(r.season, r.kind) for r in growth.milestones(df).collect()]
+    got = [(r.season, r.kind) for r in growth.milestones(df).orderBy("season", "place").collect()]
     assert got == [(1, "debut"), (2, "peak_scoring"), (2, "peak_ws"), (2, "breakout"), (2, "position_change"), (3, "peak_per"), (3, "current")]
 
 
