@@ -2,8 +2,9 @@
 
 A page becomes a row of text blocks. A linear classifier over block features gives each block a cost
 for being called content and one for being called boilerplate; they are capacities to the two
-terminals. Neighbouring blocks are tied by capacities that fall with their distance in the DOM. The
-minimum cut, from augmenting paths, labels the blocks with the least total cost.
+terminals. Neighbouring blocks are tied by capacities that fall with their distance in the DOM, and so
+are blocks of one parent with others between them. The minimum cut, from blocking flows, labels the
+blocks with the least total cost: what tells of itself what it is decides about what doesn't.
 """
 
 from __future__ import annotations
@@ -40,15 +41,18 @@ CONTENT_WORDS = frozenset("article articlebody content post entry story main bod
 BIAS, BOILER, CONTENT, PAGE_HEADER, LINKS, LONG, SHORT, PARAGRAPH, HEADING = -4, -60, 24, -40, -30, 12, -4, 8, 4
 #: Capacity between neighbours at DOM distance 0, and what each step takes from it.
 TIE, STEP = 9, 3
+#: Capacity between blocks next to each other among their parent's, if other blocks come between.
+SIBLINGS = 4
 
 
 class Block:
-    """depth: open elements around it; shared: how many of them, from the root, the block before has as well."""
+    """depth: open elements around it; shared: how many of them, from the root, the block before has as well;
+    home: the numbers of the element that holds its own element, and of the one that holds that."""
 
-    __slots__ = ("boiler", "content", "depth", "header", "links", "shared", "size", "tag", "text")
+    __slots__ = ("boiler", "content", "depth", "header", "home", "links", "shared", "size", "tag", "text")
 
-    def __init__(self, text, links, depth, shared, boiler, content, header, tag):
-        self.text, self.links, self.depth, self.shared, self.boiler, self.content, self.header, self.tag = text, links, depth, shared, boiler, content, header, tag
+    def __init__(self, text, links, depth, shared, home, boiler, content, header, tag):
+        self.text, self.links, self.depth, self.shared, self.home, self.boiler, self.content, self.header, self.tag = text, links, depth, shared, home, boiler, content, header, tag
         self.size = len(text)
 
 
@@ -79,9 +83,9 @@ def _kind(tag: str, attrs: str) -> tuple[int, int, int]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, comments and markup are gone."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, and the sums of the kinds so far
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, the sums of the kinds so far, and the element's number
     parts: list[str] = []
-    link = linked = shared = 0
+    link = linked = shared = opened = 0
     unclosed: set[str] = set()
 
     def flush():
@@ -93,8 +97,9 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                top = stack[-1] if stack else ("", 0, 0, 0)
-                out.append(Block(text, min(linked, len(text)), len(stack), shared, top[1], top[2], top[3], top[0]))
+                top = stack[-1] if stack else ("", 0, 0, 0, 0)
+                home = stack[-2][4] if len(stack) > 1 else 0, stack[-3][4] if len(stack) > 2 else 0
+                out.append(Block(text, min(linked, len(text)), len(stack), shared, home, top[1], top[2], top[3], top[0]))
                 shared = len(stack)
         linked = 0
 
@@ -147,13 +152,14 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         shared = min(shared, len(stack))
         if tag in ("body", "article", "main") and any(x[0] == "head" for x in stack):
-            shared = min(shared, next(i for i, x in enumerate([*stack, ("", 0, 0, 0)]) if x[0] != "html"))
+            shared = min(shared, next(i for i, x in enumerate([*stack, ("", 0, 0, 0, 0)]) if x[0] != "html"))
             stack = [x for x in stack if x[0] == "html"]
         b, c, h = _kind(tag, m[4])
-        top = stack[-1] if stack else ("", 0, 0, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0, 0)
+        opened += 1
         if c and tag in CONTENT_TAGS:
             h = -top[3]  # a header inside an article is the article's own
-        stack.append((tag, top[1] + b, top[2] + c, top[3] + (h if not (h > 0 and top[2]) else 0)))
+        stack.append((tag, top[1] + b, top[2] + c, top[3] + (h if not (h > 0 and top[2]) else 0), opened))
     if at < len(page):
         add(page[at:])
     flush()
@@ -174,63 +180,103 @@ def distance(a: Block, b: Block) -> int:
     return max(a.depth, b.depth) - b.shared
 
 
+def ties_of(found: list[Block]) -> list[tuple[int, int, int]]:
+    """Smoothness edges (i, j, capacity): neighbours by their distance; and over what lies between, blocks of one
+    home, and blocks of one tag at one depth whose homes are siblings."""
+    out = [(i, i + 1, TIE - STEP * distance(found[i], found[i + 1])) for i in range(len(found) - 1)]
+    last: dict[tuple, int] = {}
+    for i, b in enumerate(found):
+        keys = (b.home[0],), (b.tag, b.depth, b.home[1])
+        before = {j for k in keys if (j := last.get(k)) is not None and j < i - 1}
+        out += [(j, i, SIBLINGS) for j in before]
+        last.update(dict.fromkeys(keys, i))
+    return [t for t in out if t[2] > 0]
+
+
 def minimum_cut(costs: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut. costs > 0: capacity from the source;
-    < 0: to the sink. ties: (i, j, capacity), both ways. Paths are found breadth first."""
+    < 0: to the sink. ties: (i, j, capacity), both ways.
+
+    In each phase the nodes get their distances from the source, and paths that lengthen by one step at a
+    time fill until none is left; a node's edges are looked at once in a phase."""
     n = len(costs)
     left = [max(c, 0) for c in costs]
     room = [max(-c, 0) for c in costs]
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    near: list[list[int]] = [[] for _ in range(n)]  # edge e leads to ends[e]; e ^ 1 leads back
+    ends: list[int] = []
+    free: list[int] = []
     for i, j, c in ties:
         if c > 0:
-            near[i][j] = near[i].get(j, 0) + c
-            near[j][i] = near[j].get(i, 0) + c
+            near[i].append(len(ends))
+            near[j].append(len(ends) + 1)
+            ends += [j, i]
+            free += [c, c]
     while True:
-        come = dict.fromkeys((i for i in range(n) if left[i]), -1)
-        queue, goal = deque(come), None
-        while queue:
-            i = queue.popleft()
-            if room[i]:
-                goal = i
+        level = [-1] * n
+        queue = [i for i in range(n) if left[i]]
+        for i in queue:
+            level[i] = 0
+        reached = False
+        for i in queue:
+            reached = reached or room[i] > 0
+            for e in near[i]:
+                if free[e] and level[ends[e]] < 0:
+                    level[ends[e]] = level[i] + 1
+                    queue.append(ends[e])
+        if not reached:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for start in queue:
+            if level[start]:
                 break
-            for j, c in near[i].items():
-                if c and j not in come:
-                    come[j] = i
-                    queue.append(j)
-        if goal is None:
-            return [i in come for i in range(n)]
-        path, i = [], goal
-        while come[i] >= 0:
-            path.append((come[i], i))
-            i = come[i]
-        flow = min(left[i], room[goal], *(near[a][b] for a, b in path)) if path else min(left[i], room[goal])
-        left[i] -= flow
-        room[goal] -= flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] += flow
+            path: list[int] = []
+            i = start
+            while left[start]:
+                if room[i]:
+                    flow = min(left[start], room[i], *(free[e] for e in path)) if path else min(left[start], room[i])
+                    left[start] -= flow
+                    room[i] -= flow
+                    for e in path:
+                        free[e] -= flow
+                        free[e ^ 1] += flow
+                    path, i = [], start
+                    continue
+                while at[i] < len(near[i]):
+                    e = near[i][at[i]]
+                    if free[e] and level[ends[e]] == level[i] + 1:
+                        break
+                    at[i] += 1
+                else:
+                    if not path:
+                        break
+                    i = ends[path.pop() ^ 1]
+                    at[i] += 1
+                    continue
+                path.append(e)
+                i = ends[e]
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """True for content, by the minimum cut."""
+    costs = [capacity(b) for b in found]
+    if not any(c > 0 for c in costs):
+        return [False] * len(found)
+    return minimum_cut(costs, ties_of(found)) if any(c < 0 for c in costs) else [True] * len(found)
 
 
 def main_text(page: str | None) -> str:
     """The main text: content blocks joined by two line ends; empty if there are none."""
     found = blocks_of(page) if page else []
-    costs = [capacity(b) for b in found]
-    if any(c > 0 for c in costs):
-        if any(c < 0 for c in costs):
-            ties = [(i, i + 1, TIE - STEP * distance(found[i], found[i + 1])) for i in range(len(found) - 1)]
-            keep = minimum_cut(costs, ties)
-        else:
-            keep = [True] * len(found)
-    else:
-        keep = [False] * len(found)
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row.
 
-    A null or empty page, or one without content, has an empty text. Repeated rows and null ids are
-    treated like any other; an empty table gives no rows. Other columns are ignored."""
+    A null or empty page, or one without content, has an empty text. Malformed markup is read as far as it
+    goes: what isn't closed ends with the page, and elements that go with what they hold do so only if they
+    are closed. Very long pages are taken whole. Repeated rows and null ids are treated like any other; an
+    empty table gives no rows. Other columns are ignored."""
 
     def extract(batches):
         for batch in batches:
