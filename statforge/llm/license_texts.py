@@ -49,3 +49,26 @@ NOTICES = {
     "MIT": "Released under the MIT License.",
     "MIT (licensed)": "Licensed under the MIT License.",
 }
+
+#: SHA-256 of the canonical forms of longer licences, whole, or up to the end of their terms and conditions.
+DIGESTS = {
+    "Apache-2.0": "890175f2e81dae03626a98e35f6e227b9af3421ef35bfb554592a71ed676eaa9",
+    "Apache-2.0 (terms)": "a07acaafbbd3efc89d910f8dc1c26425d3f82b06862987646e0b48edb9ca7c27",
+    "Artistic-1.0-Perl": "698ed693149f86edbe1d0e774a55f8f4e126b3ad65eef3ce26cf88e86d7f7970",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "6e351e5fc9bf60ba1b91b50d0e5a325521dd64f969cf262a2fc93cbbf7047656",
+    "GFDL-1.3": "68317d5a5d1566744f98c79d9b5c852f37fd35a564321a3e1d67c6e85b2f2d4d",
+    "GPL-1.0": "c99c820668a8e870b9ab2d3fde5095f0fc8d8fce7728a0dac7c485018d22649e",
+    "GPL-1.0 (terms)": "ae5d2ab6f0f0f9507e89deea86ac06bed22205f840c80316d04c2cf1c73f251d",
+    "GPL-2.0": "d1fa61212ae86f10c1b0ea5c8db2b3512d73899ca35873143cc967722492e2b6",
+    "GPL-2.0 (terms)": "1e95e2d233ff8561dbfd49ec57a5544482a8cc2f9016994498703cf747ecfce1",
+    "GPL-3.0": "e062d7afd5abe9c5675d9147fe3d36e8d8fd995979f3686038eef96b5c07ea80",
+    "GPL-3.0 (terms)": "46e99e25e92b66359c6331c636ec7a0dc3b95e7daa4f0ed054dbc24be1a87cd4",
+    "LGPL-2.0": "a888d77e6cc8e53e11ee3ed23bccf3baaabdb48b46cd0cd50afaae864da4e6b3",
+    "LGPL-2.0 (terms)": "ee00b0b43667799dc552a96dce9a9ff56093ac70d61c154d972f50660201f887",
+    "LGPL-2.1": "f8b1d38ac8ea665fe831af3585b7a2308e9b913f9b67be6f8b9716d7bb485690",
+    "LGPL-2.1 (terms)": "148e6979390d985bdd83fe6868101f4c9960e9978dac9c2c3175ea129fdad619",
+    "LGPL-3.0": "b9d017245d5b6307f6fc2b6dc02be9744eb7e632f313cf7b809a2cd3996db0f6",
+    "MPL-1.1": "ea86b8706eaa54ae6772e73b8999c32089d18d7d1f9daa08fae518eaecfcbc61",
+    "MPL-2.0": "50bee64b2a602a124fade3ae9610b3f3c9bce8184489f1c5a76646a64c53f7c5",
+}
