@@ -6,8 +6,10 @@ allowed) takes what it has, and its siblings take over the shortage in proportio
 node's children together can't fill was never given to the node: it went to the node's own siblings.
 A leaf then takes whole epochs and, of the next one, the prefix of a seeded order that fits.
 
-The order is that of MD5 digests. Running sums are taken in two steps, over slices of the digest
-range and then inside each slice, so that a hot leaf is many small windows.
+The order is that of MD5 digests. Running sums are taken digit by digit: over the sixteen values of the
+first hexadecimal digit of a leaf's digests, over those of the second below each first one, and so on,
+and then inside the slice that all DIGITS of them leave, so that a hot leaf is many small windows and no
+window has more than sixteen rows but the last.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from .scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The hexadecimal digits of the digest that number a slice: 16 ** 3 slices for each leaf.
-DIGITS = 3
+#: The hexadecimal digits of the digest that number a slice: 16 ** 4 slices for each leaf.
+DIGITS = 4
+#: Weights by level and name that the registered query mixes to; "*": all other names.
+TARGETS = {"domain": {"d0": 3, "d1": 2, "*": 1}, "lang": {"en": 4, "de": 2, "*": 1}, "source": {"src0": 5, "src5": 3, "src9": 2, "*": 1}}
 
 
 def default_domain(source: Column) -> Column:
@@ -88,9 +92,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     budgets = budgets.withColumn("whole", whole).withColumn("rest", F.col("share") - F.col("whole") * F.col("tokens"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     placed = rows.join(budgets, levels).withColumn("digest", digest).withColumn("slice", F.substring("digest", 1, DIGITS))
-    slices = placed.groupBy(*levels, "slice").agg(F.sum("n_tokens").alias("tokens_in"))
-    ahead = F.coalesce(F.sum("tokens_in").over(Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slices = slices.select(*levels, "slice", ahead.cast("long").alias("ahead"))
+    slices = _ahead(placed.groupBy(*levels, "slice").agg(F.sum("n_tokens").alias("tokens_in")), levels)
     inside = F.sum("n_tokens").over(Window.partitionBy(*levels, "slice").orderBy("digest").rangeBetween(Window.unboundedPreceding, 0))
     out = placed.withColumn("inside", inside).join(slices, [*levels, "slice"])
     fits = (F.col("rest") > 0) & (F.col("ahead") + F.col("inside") <= F.col("rest"))
@@ -98,21 +100,40 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", *levels, "n_tokens", F.col("share").alias("leaf_budget"), taken.alias("n_epochs"))
 
 
-def sql(table: str = "documents", budget_percent: int = 90, max_epochs: int = 2, seed: int = 7) -> str:
-    """The same for DuckDB, with equal weights: doc_id, domain, lang, source, n_tokens, leaf_budget, n_epochs."""
+def _ahead(slices: DataFrame, levels: list[str]) -> DataFrame:
+    """slices(*levels, slice, tokens_in) with ahead, the tokens in all slices of the leaf before."""
+    out, tree = slices, slices.select(*levels, F.col("slice").alias("prefix"), "tokens_in")
+    total = F.lit(0).cast("long")
+    for n in range(DIGITS - 1, -1, -1):
+        w = Window.partitionBy(*levels, "above").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        tree = tree.withColumn("above", F.substring("prefix", 1, n))
+        before = tree.select(*levels, F.col("prefix").alias(f"prefix{n}"), F.coalesce(F.sum("tokens_in").over(w), F.lit(0)).alias(f"before{n}"))
+        out = out.withColumn(f"prefix{n}", F.substring("slice", 1, n + 1)).join(before, [*levels, f"prefix{n}"])
+        total = total + F.col(f"before{n}")
+        tree = tree.groupBy(*levels, F.col("above").alias("prefix")).agg(F.sum("tokens_in").alias("tokens_in"))
+    return out.select(*levels, "slice", total.cast("long").alias("ahead"))
+
+
+def sql(table: str = "documents", budget_percent: int = 90, max_epochs: int = 2, seed: int = 7, weights: dict[str, dict[str, int]] | None = None) -> str:
+    """The same for DuckDB: doc_id, domain, lang, source, n_tokens, leaf_budget, n_epochs."""
+
+    def weight(level: str) -> str:
+        mine = (weights or {}).get(level, {})
+        cases = "".join(f" WHEN '{name}' THEN {w}" for name, w in sorted(mine.items()) if name != "*")
+        return f"(CASE c.{level}{cases} ELSE {mine.get('*', 1)} END)" if cases else str(mine.get("*", 1))
 
     def fill(name: str, keys: list[str], child: str, above: str) -> str:
         cols, part = ", ".join([*keys, child]), f"PARTITION BY {', '.join(keys)}" if keys else ""
         on = " AND ".join(f"c.{k} = a.{k}" for k in keys) or "true"
         return f"""
     {name}_c AS (SELECT {cols}, sum(tokens * {max_epochs})::BIGINT AS cap FROM leaves GROUP BY {cols}),
-    {name}_r AS (SELECT {", ".join(f"c.{k}" for k in [*keys, child])}, c.cap, a.budget, CASE WHEN c.cap > 0 THEN c.cap / 1 END AS ratio FROM {name}_c c JOIN {above} a ON {on}),
+    {name}_r AS (SELECT {", ".join(f"c.{k}" for k in [*keys, child])}, c.cap, a.budget, {weight(child)} AS weight, CASE WHEN c.cap > 0 AND {weight(child)} > 0 THEN c.cap / {weight(child)} END AS ratio FROM {name}_c c JOIN {above} a ON {on}),
     {name}_w AS (SELECT *, coalesce(sum(CASE WHEN ratio IS NOT NULL THEN cap ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
-        sum(CASE WHEN ratio IS NOT NULL THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS onward, row_number() OVER w AS place
+        sum(CASE WHEN ratio IS NOT NULL THEN weight ELSE 0 END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS onward, row_number() OVER w AS place
         FROM {name}_r WINDOW w AS ({part} ORDER BY ratio ASC NULLS LAST, {child})),
     {name}_l AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN (budget - before) / onward END AS level FROM {name}_w),
     {name}_f AS (SELECT *, min(CASE WHEN level <= ratio THEN place END) OVER ({part}) AS first_place, arg_min(level, CASE WHEN level <= ratio THEN place END) OVER ({part}) AS first_level FROM {name}_l),
-    {name} AS (SELECT {cols}, (CASE WHEN ratio IS NULL THEN 0 WHEN first_place IS NULL OR place < first_place THEN cap ELSE greatest(0, least(cap, floor(first_level))) END)::BIGINT AS budget FROM {name}_f)"""
+    {name} AS (SELECT {cols}, (CASE WHEN ratio IS NULL THEN 0 WHEN first_place IS NULL OR place < first_place THEN cap ELSE greatest(0, least(cap, floor(weight * first_level))) END)::BIGINT AS budget FROM {name}_f)"""
 
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM {table}),

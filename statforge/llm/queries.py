@@ -26,7 +26,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=mixing.TARGETS)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_mixing": mixing.sql(), "op5_license_scan": licenses.oracle_sql(), "op10_exact_top_k": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_mixing": mixing.sql(weights=mixing.TARGETS), "op5_license_scan": licenses.oracle_sql(), "op10_exact_top_k": OP10_SQL}
