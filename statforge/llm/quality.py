@@ -58,12 +58,12 @@ def _lines(buf: np.ndarray, offs: np.ndarray, wstarts: np.ndarray) -> tuple[np.n
     ends[last] = offs[doc[last] + 1]
     worded = np.searchsorted(wstarts, ends) > np.searchsorted(wstarts, starts)
     starts, ends, doc = starts[worded], ends[worded], doc[worded]
-    key = np.sort(tc.mix(tc.span_codes(buf, starts, ends) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     n_lines = np.bincount(doc, minlength=n_docs)
-    if not len(key):
+    if not len(doc):
         return n_lines, n_lines.copy()
-    order = np.lexsort((tc.span_codes(buf, starts, ends), doc))
-    codes, doc = tc.span_codes(buf, starts, ends)[order], doc[order]
+    codes = tc.span_codes(buf, starts, ends)
+    order = np.lexsort((codes, doc))
+    codes, doc = codes[order], doc[order]
     again = np.zeros(len(doc), bool)
     again[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
     return n_lines, np.bincount(doc[again], minlength=n_docs)
@@ -166,12 +166,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), **options) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns.
+    """The rows of docs that quality_rules keeps, with all their columns; nulls, repeated rows and empty
+    tables as there.
 
-    The fences are written first: their size is then known to Spark, which broadcasts them if they
-    are small and shuffles otherwise. Texts are counted twice rather than stored.
+    Rows are written with their counts first, so that each text is counted once; the fences come from what
+    is written. Their size is known to Spark as well, which broadcasts them if they are small and shuffles
+    otherwise.
     """
     groups = list(groups)
-    small = docs.select(F.col(text_col).alias("__text"), *groups)
-    fences = materialise(thresholds(with_counts(small, "__text").drop("__text"), groups, **options), "fences")
-    return judged(with_counts(docs, text_col), fences, groups).filter("__kept").select(*docs.columns)
+    counted = materialise(with_counts(docs, text_col), "counted")
+    fences = materialise(thresholds(counted, groups, **options), "fences")
+    return judged(counted, fences, groups).filter("__kept").select(*docs.columns)
