@@ -70,4 +70,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 1 <= anchor <= min_words <= 250:
         raise ValueError("1 <= anchor <= min_words <= 250")
-    return rp.repeated(docs, id_col, text_col, rp.Words(), lambda parts, buckets: rp.Rule(min_words, anchor, True, parts, buckets), subtree, _finish, SCHEMA, "substring")[0]
+    return rp.repeated(docs, id_col, text_col, rp.Words(), lambda parts, buckets: rp.Rule(min_words, anchor, True, parts, buckets), subtree, _finish, SCHEMA, "substring", two_rounds=True)[0]
