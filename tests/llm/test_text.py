@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 
 from statforge.llm import bpe, htmlcut, licenses, mixing, quality, topk, warczip
-from statforge.llm.license_texts import LICENSES
+from statforge.llm.license_texts import LICENSES, NOTICES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,6 +126,39 @@ def test_minimum_cut_is_minimal():
         assert price(htmlcut.minimum_cut(costs, ties)) == best
 
 
+def without_hints(r):
+    """A page of blocks of which few tell of themselves what they are."""
+    words = lambda n: " ".join(r.choice("abcdefgh") * r.randint(2, 7) for _ in range(n))
+    kinds = [lambda: f"<p>{words(40)}</p>", lambda: f"<p>{words(5)}</p>", lambda: f"<div>{words(3)}</div>", lambda: f"<div>{words(8)}</div>", lambda: f"<li><a href=x>{words(3)}</a></li>", lambda: f"<div><div><span>{words(10)}</span></div></div>", lambda: f"<h2>{words(2)}</h2>"]
+    return "<html><body><div>" + "".join(r.choice(kinds)() for _ in range(r.randint(2, 10))) + "</div></body></html>"
+
+
+def test_html_cut_decides_what_blocks_dont():
+    """Over generated pages: the labels are those of a cheapest cut, and ties change many of them."""
+    r, changed, every = random.Random(7), 0, 0
+    for _ in range(300):
+        found = htmlcut.blocks_of(without_hints(r))
+        costs, ties, keep = [htmlcut.capacity(b) for b in found], htmlcut.ties_of(found), htmlcut.labels(found)
+        price = lambda side: sum(abs(c) for c, s in zip(costs, side, strict=True) if (c > 0) != s and c) + sum(c for i, j, c in ties if side[i] != side[j])  # noqa: B023, E731
+        assert price(keep) == min(price([bool(m >> i & 1) for i in range(len(found))]) for m in range(1 << len(found)))
+        changed += sum(k != (c > 0) for k, c in zip(keep, costs, strict=True))
+        every += len(found)
+    assert changed > every // 20
+
+
+def test_html_long_pages():
+    import time
+
+    long, short = "word " * 40, "two words"
+    page = "<html><body>" + "".join(f"<div><p>{long if i % 3 else short} {i}</p></div><div class='ad'>x</div>" for i in range(5000)) + "</body></html>"
+    began = time.process_time()
+    found = htmlcut.blocks_of(page)
+    middle = time.process_time()
+    keep = htmlcut.labels(found)
+    assert len(found) == 10_000 and time.process_time() - middle < 1 and middle - began < 5
+    assert sum(keep) == 5000 and not any(k for k, b in zip(keep, found, strict=True) if b.text == "x")
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.n_chars, r.n_chars == len(r.text)) for r in htmlcut.extract_main_text(df).collect())
@@ -190,6 +223,18 @@ def test_mixing_budgets(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_mixing_equals_sql(spark):
+    """Weights on all three levels; a leaf whose digests fall into many slices."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, None if i == 3 else "w " * (i % 9), ("en", "de", None)[i % 3], f"src{i % 7}" if i % 2 else "src9") for i in range(3000)] + [(1, "w", "en", "src1"), (None, "w w", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    key = lambda r: tuple(map(str, r))
+    got = sorted(map(key, mixing.mix_sources(df, weights=mixing.TARGETS).collect()))
+    assert got == sorted(map(key, con.execute(mixing.sql(weights=mixing.TARGETS)).fetchall()))
+
+
 def test_mixing_stage_keeps_what_is_taken(spark, tmp_path):
     import corpus_pipeline as c
 
@@ -209,13 +254,25 @@ def test_water_fill(spark):
 
 def test_licenses(spark):
     mit = LICENSES["MIT"]
-    rows = [(1, "Copyright (c) 2020 Me\n" + mit.upper().replace(",", "")), (2, mit.replace("sublicense", "sublicence") + "\n"), (3, "text\nReleased under the MIT License.\nlicensed under CC-BY-NC 4.0"), (4, None), (None, mit), (5, mit + " more"), (6, "")]
+    rows = [(1, "Copyright (c) 2020 Me\n" + mit.upper().replace(",", "")), (2, mit.replace("sublicense", "sublicence") + "\n"), (3, "text\n\tReleased under  the MIT Licence!\nlicensed under CC-BY-NC 4.0"), (4, None), (None, mit), (5, mit + " more"), (6, ""), (7, "Made under the Toy deal."), (7, "word " * 100_000), (8, "conversion of it"), (9, "convof it")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
-    got = {r.doc_id: (r.license_id, r.notice_ids) for r in licenses.license_scan(df).collect()}
-    assert got == {1: ("MIT", None), 2: ("MIT", None), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, None), None: ("MIT", None), 5: (None, None), 6: (None, None)}
+    out = licenses.license_scan(df, notices=NOTICES | {"Toy": "made under the TOY deal"}).collect()
+    got = {(r.doc_id, r.license_id, r.notice_ids) for r in out}
+    assert got == {(1, "MIT", None), (2, "MIT", None), (3, None, "CC-BY-NC-4.0,MIT"), (4, None, None), (None, "MIT", None), (5, None, None), (6, None, None), (7, None, "Toy"), (7, None, None), (8, None, None), (9, None, None)}
+    assert len(out) == len(rows) and len({r.digest for r in out if r.doc_id in (8, 9)}) == 2
     assert licenses.license_scan(df.limit(0)).collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_licenses_by_digest(spark):
+    read = lambda name: open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()  # noqa: E731, SIM115
+    gpl = read("GPL-3")
+    one_line = " ".join(read("MPL-2.0").split())
+    rows = [(1, gpl), (2, gpl.replace("  ", " ").upper()), (3, one_line), (4, read("Apache-2.0") + "x"), (5, "Copyright 2024 A. Body\n" + read("LGPL-2.1"))]
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-3.0", 3: "MPL-2.0", 4: None, 5: "LGPL-2.1"}
+
+
 def test_top_k(spark):
     r = random.Random(4)
     vec = lambda: [r.choice([-1.0, 0.5, 0.25, r.gauss(0, 1)]) for _ in range(6)]
@@ -235,30 +292,52 @@ def test_top_k(spark):
 
 
 def test_top_k_of_repeated_rows(spark):
+    """Rows that share an id are queries of their own, and candidates of each other."""
     r = random.Random(8)
-    same = [2.0] * 6
-    rows = [(100, same)] * 4 + [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(1, 90)]
+    same, other = [2.0] * 6, [-1.0] * 6
+    rows = [(100, same)] * 3 + [(100, other), (200, None)] + [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(1, 90)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
-    got = sorted((x.rank, x.vec_id, x.score) for x in topk.exact_top_k(df, k=10, every=100).collect())
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.exact_top_k(df, k=10, every=100).collect())
     import math
 
-    score = lambda v: sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(same, v, strict=True))
-    best = sorted((-score(v), i) for i, v in rows if i != 100)[:10]
-    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    whole = lambda v: [math.floor(1024 * a) for a in v]
+    want = []
+    for n, (i, q) in enumerate(rows):
+        if i == 100:
+            best = sorted((-sum(a * b for a, b in zip(whole(q), whole(v), strict=True)), j) for m, (j, v) in enumerate(rows) if m != n and v)[:10]
+            want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 40
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2 ** 53 are ranked by their true values, and beyond 64 bits come back as the nearest number."""
+    rows = [(100, [1e17, 3.0]), (1, [1e17, 3.0]), (2, [1e17, 3.001]), (3, [-1e17, 0.0]), (4, [1e306, 0.0]), (5, [2.0**45 / 1024, 1.0]), (200, [2.0**25, 2.0**-10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = [(x.query_id, x.vec_id, x.score) for x in sorted(topk.exact_top_k(df, k=10, every=100).collect(), key=lambda x: (x.query_id, x.rank))]
+    most = 2**63 - 1
+    assert [g for g in got if g[0] == 100] == [(100, 2, most), (100, 1, most), (100, 200, most), (100, 5, most), (100, 3, -most - 1)]
+    assert (200, 5, 2**35 * 2**45 + 1024) not in got and (200, 5, most) in got
 
 
-def test_top_k_stops_early():
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_top_k_bounds_go_from_block_to_block(blocks):
     import numpy as np
 
     r = np.random.default_rng(0)
-    x = r.integers(-50, 50, (4000, 8))
+    x = r.integers(-50, 50, (4000, 8)).astype(float)
     x[:30] = 900 + r.integers(0, 50, (30, 8))
-    q = np.abs(r.integers(1, 50, (20, 8)))
-    found, early = topk.block_top_k(np.arange(4000), x, np.arange(10_000, 10_020), q, 10)
-    assert early == 20
-    for (_, ids, scores), v in zip(sorted(found, key=lambda f: f[0][0]), q, strict=True):
-        s = x @ v
-        assert ids.tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist() and (np.diff(scores) <= 0).all()
+    rows = np.arange(0, 4000, 200)
+    q = np.abs(x[rows]) + 1
+    q[0] = -q[0]
+    best, reads = topk.Best(q, 10), []
+    for ids in np.array_split(np.arange(4000), blocks):
+        here = np.flatnonzero(np.isin(rows, ids))
+        reads.append(topk.block_top_k(ids, x[ids], (rows[here] - ids[0], here), best))
+    assert (reads[-1] < 1).all() and reads[-1].mean() <= reads[0].mean()
+    for j in range(len(q)):
+        s = x @ q[j]
+        s[rows[j]] = -np.inf
+        assert best.ids[best.query == j].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
 
 
 SF = "/root/testdata/sf0.001"
