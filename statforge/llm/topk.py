@@ -190,14 +190,23 @@ def every_score(ids: np.ndarray, x: np.ndarray, own, best: Best) -> None:
         best.add(np.full(len(rows), j), ids[rows], scores[rows])
 
 
+def sortable(n: int) -> str:
+    """A text in whose order whole numbers of any size come (below 10,000 digits)."""
+    digits = str(abs(n))
+    if n >= 0:
+        return f"1{len(digits):04}{digits}"
+    return f"0{9999 - len(digits):04}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
 def _search(k: int):
     """(candidate block, query block) rows -> the best of each query, over all blocks that this task has met."""
 
     def out(rows, query_ids, best):
         limit = np.iinfo(np.int64)
         scores = np.array([min(max(int(s), limit.min), limit.max) for s in best.scores.tolist()], np.int64)
+        true = [sortable(int(s)) if s != n else None for s, n in zip(best.scores.tolist(), scores.tolist(), strict=True)]
         at = best.query
-        return pa.RecordBatch.from_pydict({"query_id": query_ids[at], "row_block": rows[at, 0], "row_place": rows[at, 1], "vec_id": best.ids, "score": scores, "order": np.array([str(int(s)) for s in best.scores.tolist()], object)})
+        return pa.RecordBatch.from_pydict({"query_id": query_ids[at], "row_block": rows[at, 0], "row_place": rows[at, 1], "vec_id": best.ids, "score": scores, "true": pa.array(true, pa.string())})
 
     def search(batches):
         held: OrderedDict = OrderedDict()
@@ -255,6 +264,6 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         every_run = queries.withColumn("q_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
         pairs = meets.join(every_run, (F.col("name") == F.col("q_block")) & (F.col("run") == F.col("q_run")))
     pairs = pairs.select("block", "dims", "ids", "values", "q_block", "q_rows", "q_ids", "q_values")
-    best = pairs.mapInArrow(_search(k), "query_id long, row_block long, row_place long, vec_id long, score long, order string")
-    rank = F.row_number().over(Window.partitionBy("query_id", "row_block", "row_place").orderBy(F.desc("score"), F.desc(F.col("order").cast("decimal(38,0)")), "vec_id"))
+    best = pairs.mapInArrow(_search(k), "query_id long, row_block long, row_place long, vec_id long, score long, true string")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row_block", "row_place").orderBy(F.desc("score"), F.desc_nulls_last("true"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
