@@ -9,21 +9,24 @@ from .scratch import materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, component): the smallest node that each node with an edge can reach.
+    """(a, b) -> (node, component): the smallest node that each node with an edge can reach. Edges with a null
+    end, and those of a node with itself, say nothing; no edges give no rows.
 
     Every round turns each node's neighbours into a star around the smallest of them, which halves
-    the longest path or so; a node with very many neighbours is only ever aggregated and joined on,
-    never collected. Rounds end when nothing changes. Each round is written, so lineage stays short.
+    the longest path or so. A node with very many neighbours is only ever aggregated, by parts, and joined
+    on: what a node is joined with is written first, so that both sides of the join are plain tables and
+    Spark can split such a node's rows among tasks. Rounds end when nothing changes.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges = materialise(edges, "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.filter("u != v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -33,8 +33,8 @@ from .scratch import materialise
 
 SIGNATURE, EDGE, DOC, GROUPED = 0, 1, 2, 3
 _SLICE = 1 << 20
-#: Documents of a block, and of a group in it.
-BLOCK, GROUP = 1024, 32
+#: Documents and shingles of a block, at most unless one document has more, and documents of a group in it.
+BLOCK, SHINGLES, GROUP = 1024, 1 << 20, 16
 #: Documents with one signature that are compared by bitmaps, of a task and of all; where there are
 #: more, all of them are taken to be of one family, which its resolution puts right.
 LOCAL, MOST = 64, 512
@@ -328,6 +328,18 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
+def by_likeness(code: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """An order in which similar sets are near each other: by their smallest elements under two hashes. Sets of
+    similarity s have equal ones with probability s, so that groups of neighbours have small unions."""
+    full = np.flatnonzero(np.diff(offs))
+    keys = []
+    for salt in (0x1B56C4E9, 0x7F4A7C15):
+        least = np.full(len(offs) - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+        least[full] = np.minimum.reduceat(tc.mix(code + np.uint64(salt)), offs[full]) if len(full) else 0
+        keys.append(least)
+    return np.lexsort((keys[1], keys[0]))
+
+
 def linked(code: np.ndarray, offs: np.ndarray, percent: int, forest: Forest) -> int:
     """Join every pair of sets that links, by a token-group matrix; the number of groups opened."""
     n = len(offs) - 1
@@ -384,12 +396,12 @@ def _resolver(rule: Jaccard):
         for lo, hi in zip(heads, [*heads[1:], len(doc)], strict=True):
             buf, offs = tc.buffer_of(pa.array([texts[i] for i in order[lo:hi]], pa.large_binary()))
             code, soffs = shingles(buf, offs, rule)
-            by_size = np.argsort(np.diff(soffs), kind="stable")  # similar documents are side by side
-            sizes = np.diff(soffs)[by_size]
-            take = np.repeat(soffs[by_size] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            alike = by_likeness(code, soffs)
+            sizes = np.diff(soffs)[alike]
+            take = np.repeat(soffs[alike] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
             forest = Forest(hi - lo)
             linked(code[take], np.concatenate(([0], np.cumsum(sizes))), rule.percent, forest)
-            ids = doc[lo:hi][by_size]
+            ids = doc[lo:hi][alike]
             a.append(ids)
             b.append(ids[forest.roots()])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -417,6 +429,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * intersection >= percent * union of their sets of `words`-word
     shingles. A text with fewer words is one shingle; a null text or one without words has none and
     links with nothing, so that it is its own component. component_id is the smallest doc_id reachable.
+    Very long texts are taken whole.
     Rows with null ids come back with n_shingles and a null component_id and link with nothing. Rows
     that share an id are one node: each has the size of its own text. Empty table: no rows. Other
     columns are ignored. No pair is dropped, whatever the size of a group.
@@ -441,11 +454,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = grouped.join(maps, "doc").select("group", "doc", "n", "map").repartition(deal, "group").sortWithinPartitions("group")
     edges = grouped.mapInArrow(_bounded(percent), "a long, b long").unionByName(found.filter(F.col("kind") == EDGE).select("a", "b"))
     family = materialise(_families(edges.distinct(), reps), "families")
-    size = family.groupBy("family").agg(F.count("*").alias("members"))
-    small_cells = F.pmod(F.xxhash64("family"), F.greatest(F.lit(1), F.lit(max(1, family.count() // BLOCK))).cast("long"))
-    placed = family.join(size, "family")
-    big = F.col("members") > BLOCK
-    blocks = F.ceil(F.col("members") / BLOCK)
+    weighed = family.join(reps.filter("doc = rep").select("doc", "n"), "doc")
+    size = materialise(weighed.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"), F.count("*").alias("members"), F.sum("n").alias("held")), "sizes")
+    small = size.filter("blocks = 1").agg(F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("held") / SHINGLES)).alias("cells")).first()["cells"]
+    small_cells = F.pmod(F.xxhash64("family"), F.lit(max(1, small or 1)).cast("long"))
+    placed = family.join(size.select("family", "blocks"), "family")
+    big, blocks = F.col("blocks") > 1, F.col("blocks")
     # The first document of a large family goes into each of its blocks.
     block = F.when(~big, F.array(F.lit(-1).cast("long"))).when(F.col("doc") == F.col("family"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks)))
     placed = placed.select("doc", "family", F.when(big, F.xxhash64("family")).otherwise(small_cells).alias("cell"), F.explode(block).alias("block"))
@@ -456,9 +470,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = placed.filter("block >= 0")
     if large.limit(1).count():
         links = links.unionByName(_across_blocks(large, links, texts, rule))
-    classes = reps.filter("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    joined = connected_components(links.unionByName(classes))
-    out = sized.join(joined, sized.doc == joined.node, "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    # Components are of representatives; the other documents of a class take theirs. Rows that share an id but differ
+    # are in several classes, which that id connects.
+    several = reps.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("most != b").select("doc", "b")
+    twice = reps.join(several, "doc").select(F.col("rep").alias("a"), "b")
+    joined = materialise(connected_components(links.unionByName(twice)), "components")
+    home = reps.join(joined, reps.rep == joined.node, "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = sized.join(home, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     nameless = rows.filter("doc is null").mapInArrow(_only_sizes(rule), "doc long, n long").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
 
