@@ -4,12 +4,13 @@ Each task writes one archive or more into the shared folder: a ZIP file whose me
 archive/data.warc.gz (one gzip member per record) and indexes/index.cdxj (one line per record, with
 offset and length). The reader parses the end record, the ZIP64 records and the central directory
 itself, finds where stored members begin, and reads single records by seek and read; nothing is
-extracted. Files are opened through pyarrow's file systems, by the scheme of the shared folder.
+extracted. Archives are written from front to back as they grow. Files are opened through pyarrow's
+file systems, by the scheme of the shared folder.
 """
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
 import struct
 import uuid
@@ -29,6 +30,12 @@ ARCHIVE_BYTES, LINES = 128 << 20, 2000
 LEAST_PAYLOAD = 1000
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file as Spark names it, and the name there."""
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
+
+
 def _header(fields: list[tuple[str, object]], block: bytes) -> bytes:
     lines = [f"{k}: {v}" for k, v in fields if v is not None] + [f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -122,6 +129,13 @@ def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def check(fields: dict[str, str], block: bytes) -> None:
+    """A response's digest and length are those of its block; a revisit has no block."""
+    whole = fields["WARC-Type"] == "response"
+    if whole and (hashlib.sha1(block).hexdigest() != fields["WARC-Payload-Digest"].removeprefix("sha1:") or len(block) != int(fields["X-Payload-Length"])) or not whole and block:
+        raise ValueError(f"record {fields['WARC-Record-ID']} is broken")
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write every page as a record; (path, size) of the archives.
 
@@ -136,22 +150,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     typed = typed.select("page", "url", "payload", "digest", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches):
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
-        writer, buffer, done = None, None, []
+        writer, out, name, done = None, None, "", []
 
         def finish():
             writer.close()
-            path = f"{root}/{uuid.uuid4().hex}.wacz"
-            with store.open_output_stream(path) as out:
-                out.write(buffer.getbuffer())
-            done.append((f"{folder}/{path.rsplit('/', 1)[1]}", buffer.tell()))
+            done.append((f"{folder}/{name}", out.tell()))
+            out.close()
 
         for batch in batches:
             for page, url, payload, digest, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if writer is None:
-                    buffer = io.BytesIO()
-                    writer = ArchiveWriter(buffer)
+                    name = f"{uuid.uuid4().hex}.wacz"
+                    out = store.open_output_stream(f"{root}/{name}")
+                    writer = ArchiveWriter(out)
                 writer.add(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py())
                 if writer.at >= ARCHIVE_BYTES:
                     finish()
@@ -168,12 +181,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
 
     First the directories and indexes are read, then the records, dealt out by ranges of the index.
-    A revisit has no payload of its own (null); its digest and length are those of the full one."""
+    A revisit has no payload of its own (null); its digest and length are those of the full one. A record
+    whose block is not what its header says is an error."""
 
     def index(batches):
         for batch in batches:
             for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                store, name = fs.FileSystem.from_uri(path)
+                store, name = store_of(path)
                 with store.open_input_file(name) as f:
                     members = directory(f, size)
                     base, _ = members[DATA]
@@ -187,7 +201,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def records(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                store, name = fs.FileSystem.from_uri(row["path"])
+                store, name = store_of(row["path"])
                 out: dict[str, list] = {k: [] for k in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")}
                 with store.open_input_file(name) as f:
                     for offset, length in zip(row["offsets"], row["lengths"], strict=True):
@@ -195,6 +209,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         fields, block = read_record(f.read(length))
                         number = lambda v: None if v is None or v[10:-1] == "None" else int(v[10:-1])
                         kind = fields["WARC-Type"]
+                        check(fields, block)
                         out["page_id"].append(number(fields["WARC-Record-ID"]))
                         out["url"].append(fields.get("WARC-Target-URI"))
                         out["record_type"].append(kind)

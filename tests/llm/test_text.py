@@ -193,6 +193,44 @@ def test_zip_directory():
     assert raw[off : off + n] == data
 
 
+def test_warc_records_are_checked(tmp_path):
+    class Stream(io.RawIOBase):  # as an object store's: no seeking
+        def __init__(self):
+            self.data = b""
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.data += bytes(b)
+            return len(b)
+
+    out = Stream()
+    w = warczip.ArchiveWriter(out)
+    w.add(1, None, b"fine", hashlib.sha1(b"fine").hexdigest(), None)
+    w.add(2, "u", b"wrong", hashlib.sha1(b"other").hexdigest(), None)
+    w.add(3, "u", b"again", hashlib.sha1(b"again").hexdigest(), 1)
+    w.close()
+    members = warczip.directory(io.BytesIO(out.data), len(out.data))
+    (base, _), (at, n) = members[warczip.DATA], members[warczip.INDEX]
+    import json
+
+    lines = [json.loads(x) for x in out.data[at : at + n].decode().splitlines()]
+    records = [warczip.read_record(out.data[base + x["offset"] :][: x["length"]]) for x in lines]
+    warczip.check(*records[0])
+    warczip.check(*records[2])
+    with pytest.raises(ValueError):
+        warczip.check(*records[1])
+    assert warczip.store_of("file:///x/y")[1] == "/x/y" and "s3" in warczip.store_of("s3a://bucket/key?region=us-east-1")[0].type_name
+
+
+def test_warc_of_long_and_repeated_pages(spark):
+    long = "päge " * 400_000
+    df = spark.createDataFrame([(1, "u", long), (2, "u", long), (2, "u", long), (3, "u", "")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warczip.warc_round_trip(df).collect())
+    assert got == [(1, 2_400_000, "revisit", 2), (2, 2_400_000, "response", None), (2, 2_400_000, "response", None), (3, 0, "response", None)]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a\r\nX: y", big, "x"), (2, None, big, "x"), (7, "u", big, "x"), (3, "u", "é" * 499, "x"), (4, "u", "é" * 499, "x"), (5, "u", None, "x"), (None, "u", "z" * 2000, "x"), (None, "u", big, "x")]
