@@ -87,8 +87,7 @@ def assisted_by(text: Column) -> Column:
     """The name after "assist by " or "assisted by ", cut at the first "(", "." or "," (STR-05)."""
     name = strip(F.regexp_extract(text, r"(?is)assist(?:ed)? by (.*)$", 1))
     for mark in "(.,":
-        at = F.instr(name, mark)
-        name = strip(F.when(at > 1, F.substring(name, F.lit(1), at - 1)).otherwise(name))
+        name = strip(F.regexp_replace(name, rf"(?s)^([^{mark}]+)[{mark}].*$", "$1"))  # a mark at the front cuts nothing
     return F.nullif(name, F.lit(""))
 
 

@@ -27,6 +27,7 @@ def test_text_helpers(spark):
     assert t(ex.substituted_in, "SUB: Al Bo FOR Cy") == "Al Bo"
     assert t(ex.assisted_by, "shot (Assist by A. Player)") == "A"
     assert t(ex.assisted_by, "no help") is None
+    assert t(ex.assisted_by, "x Assisted by (B(c), d") == "(B(c)" and t(ex.assisted_by, "assist by  D, E. (f)") == "D"
     assert t(ex.last_name, "Gary Payton II") == "payton"
     assert t(ex.clock_text, "PT11M09.00S") == "11:09"
     assert one(spark, ex.season_label(F.lit(2000)), s="x") == "1999-00"
