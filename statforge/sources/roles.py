@@ -111,12 +111,15 @@ ROLES |= {"team_per_game": TEAM_PER_GAME, "team_summaries": TEAM_SUMMARIES, "tea
 _TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region", "customer", "events")
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One canonical table as a lazy DataFrame."""
+def role(spark: SparkSession, sf_dir: str, name: str, season: int | None = None) -> DataFrame:
+    """One canonical table as a lazy DataFrame. `season`: only what comes from its orders, by a range of dates that
+    reaches the scan, as year(o_orderdate) doesn't; for roles whose rows have their orders' season."""
     import re
 
     sql = ROLES[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"(FROM|JOIN) {t}\b", sql)}
+    if season is not None and "orders" in used:
+        used["orders"] = used["orders"].filter(f"o_orderdate >= timestamp'{season}-01-01' AND o_orderdate < timestamp'{season + 1}-01-01'")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b(?! AS)", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)
