@@ -41,6 +41,29 @@ def test_quality_counts(spark):
         assert x.base_failed == (b[0] < 20 or 100 * b[4] > 30 * b[0]) and not (x.base_failed and x.kept)
 
 
+def test_quality_of_long_and_repeated_rows(spark):
+    """One text of a megabyte; rows that are there twice are judged alike; a small group has its language's fences."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(80), "en", "s") for i in range(220)] + [(1, "x y", "en", "s")] * 2 + [(500, text(180_000), "en", "rare"), (501, " ".join(w.upper() for w in text(90).split()), "en", "rare"), (None, text(70), None, None)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(x.n_words == 180_000 and x.kept for x in got if x.doc_id == 500)
+    assert [x.kept for x in got if x.doc_id == 501] == [False] and sorted((x.n_words, x.kept) for x in got if x.doc_id == 1) == [(2, False), (2, False), (80, True)]
+    assert [x.kept for x in got if x.doc_id is None] == [True]
+
+
+def test_lines_that_look_alike(spark):
+    """Lines of structured bytes, which polynomial fingerprints modulo a power of two take for equal."""
+    one = "ab"
+    while len(one) < 2048:
+        one += one.translate({97: "b", 98: "a"})
+    two = one.translate({97: "b", 98: "a"})
+    rows = [(1, f"{one}\n{two}", "en", "s"), (2, f"{one}\n{one}", "en", "s"), (3, " ".join([one, *"cdefghi", two, *"cdefghi"]), "en", "s")]
+    got = {x.doc_id: (x.n_dup_lines, x.n_repeat_words) for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {1: (0, 0), 2: (1, 0), 3: (0, 0)}
+
+
 def test_quality_verdicts(spark):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(800)]
@@ -66,7 +89,7 @@ def test_bpe(spark):
         enc = bpe.Encoder(f.read().splitlines(), P.PATTERN)
     ref = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
     r, tokens = random.Random(1), list(enc.ranks)
-    texts = ["", "a" * 5000, " " * 3000 + "x", "<|endoftext|>", "   \r\n x", "don't WE'LL 12³ ½ Ⅷ"]
+    texts = ["", "a" * 5000, "it'\u017f so 'S 'ſ\u212a I'\u212a \u0130'T x'\u0131", " " * 3000 + "x", "<|endoftext|>", "   \r\n x", "don't WE'LL 12³ ½ Ⅷ"]
     for i in range(4000):
         if i % 2:
             texts.append("".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x80, 0x800), r.randrange(0x800, 0xD000), r.randrange(0x1F300, 0x1F600), r.randrange(32)])) for _ in range(r.randint(0, 30))))
@@ -76,9 +99,12 @@ def test_bpe(spark):
         ids = enc.encode(t).tolist()
         assert ids == ref.encode_ordinary(t), t
         assert enc.decode(ids) == t.encode()
-    df = spark.createDataFrame([(i, t, b"") for i, t in enumerate([*texts[:8], None])], "doc_id long, text string, ids binary")
-    got = {x.doc_id: x for x in bpe.encode_texts(df, path, P.PATTERN).collect()}
-    assert bytes(got[8].ids) == b"" and all(bytes(got[i].decoded) == t.encode() for i, t in enumerate(texts[:8]))
+    twice = [(8, "the same row", b"")] * 2
+    df = spark.createDataFrame([(i, t, b"") for i, t in enumerate(texts[:8])] + [(9, None, b""), (None, "w " * 200_000, b""), *twice], "doc_id long, text string, ids binary")
+    rows = bpe.encode_texts(df, path, P.PATTERN).collect()
+    got = {x.doc_id: x for x in rows}
+    assert len(rows) == 12 and len({bytes(x.ids) for x in rows if x.doc_id == 8}) == 1 and bytes(got[None].decoded) == b"w " * 200_000
+    assert bytes(got[9].ids) == b"" and all(bytes(got[i].decoded) == t.encode() for i, t in enumerate(texts[:8]))
     assert bpe.encode_texts(df.limit(0), path, P.PATTERN).collect() == []
 
 
