@@ -584,10 +584,10 @@ def unit_reducer(rule: Rule):
 
     def out(rest, spans):
         yield from spans_out(spans, rule)
-        open_ = [c[rest[7] == 0] for c in rest] if rule.elsewhere else rest
-        keys = row_keys(open_[2], open_[3].view(np.int64))
+        # A unit that stands for several places is asked for as well: others may have some of its windows.
+        keys = row_keys(rest[2], rest[3].view(np.int64))
         order = np.argsort(keys, kind="stable")
-        columns = [c[order] for c in (keys, open_[4], open_[5].astype(np.int64), open_[6].astype(np.int64))]
+        columns = [c[order] for c in (keys, rest[4], rest[5].astype(np.int64), rest[6].astype(np.int64))]
         yield from rows_by(ASK, (columns[0] % np.uint64(rule.parts)).astype(np.int64), columns, _ASK_COLUMNS)
 
     @tc.trimmed
