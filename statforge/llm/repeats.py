@@ -41,6 +41,8 @@ _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binar
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of suffix rows that a task sorts at once and of a group that it loads, and bytes of text of a part.
 FLUSH, GROUP, PART = 24 << 20, 32 << 20, 4 << 20
+#: Symbols of a long text that are taken at once.
+SEGMENT = 1 << 20
 #: Units of the first round that a task settles at once, and that a bucket may have to be looked at as one.
 UNITS, BUCKET = 600_000, 3_000_000
 _SLICE = 1 << 18
@@ -344,6 +346,19 @@ def units(symbols: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray
     return np.searchsorted(offs, s, "right") - 1, s, e, a, code[a], tc.mix(g + ((e - s) * 256 + (a - s)).astype(np.uint64))
 
 
+def all_units(symbols, letters: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """units() of a slice; a long text is taken in segments, each with the windows that begin in it. That cuts units,
+    but leaves every window in one of them."""
+    if len(offs) != 2 or len(letters) <= SEGMENT + rule.width:
+        return units(symbols.letters(letters), offs, rule)
+    found = []
+    for lo in range(0, len(letters) - rule.width + 1, SEGMENT):
+        part = symbols.letters(letters[lo : lo + SEGMENT + rule.width - 1])
+        d, s, e, a, code, g = units(part, np.array([0, len(part)]), rule)
+        found.append((d, s + lo, e + lo, a + lo, code, g))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def suffix_table(symbols: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, rule: Rule) -> np.ndarray:
     """The rows of units (see Suffixes); symbols as numbers above 0 or as bytes."""
     width, before = rule.width, rule.before
@@ -369,9 +384,8 @@ class Bytes:
     dtype = np.uint8
 
     def slices(self, buf, offs):
-        """(codes to choose anchors by, symbols, first and past byte of each symbol, offsets) of a slice."""
-        at = np.arange(len(buf) + 1)
-        return tc.byte_symbols(buf), buf, at[:-1], at[1:], offs
+        """(symbols, first and past byte of each symbol where that isn't its place, offsets) of a slice."""
+        return buf, None, None, offs
 
     def put(self, x: Suffixes, rule: Rule, *source) -> bytes:
         return x.table[spanned(x.lo, x.hi, rule)].tobytes()
@@ -382,6 +396,7 @@ class Bytes:
         return table
 
     def letters(self, column: np.ndarray) -> np.ndarray:
+        """64-bit codes of symbols, by which anchors are chosen."""
         return tc.byte_symbols(column)
 
 
@@ -392,8 +407,7 @@ class Words:
 
     def slices(self, buf, offs):
         starts, ends, woffs = tc.words(buf, offs)
-        codes = tc.span_codes(buf, starts, ends)
-        return codes, codes, starts, ends, woffs
+        return tc.span_codes(buf, starts, ends), starts, ends, woffs
 
     def put(self, x: Suffixes, rule: Rule, held: bytes, begin, end) -> bytes:
         texts = [held[i:j] for i, j in zip(begin[x.unit].tolist(), end[x.unit].tolist(), strict=True)]
@@ -479,12 +493,16 @@ def scanner(symbols, rule: Rule):
             doc = ids(batch, "doc")
             keys = row_keys(doc, salts(batch))
             for lo, _, buf, offs in tc.batches(batch, "text", _SLICE):
-                codes, letters, starts, ends, soffs = symbols.slices(buf, offs)
-                d, s, e, a, code, _ = units(codes, soffs, rule)
-                if len(d):
-                    table = suffix_table(letters, s, e, a, rule)
-                    found.append((table, buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, _order(doc[lo + d], rule), s - soffs[d], keys[lo + d], starts[s], ends[e + rule.width - 1]))
-                    size += table.nbytes + len(buf)
+                letters, starts, ends, soffs = symbols.slices(buf, offs)
+                d, s, e, a, code, _ = all_units(symbols, letters, soffs, rule)
+                text = buf.tobytes()
+                for some in _portions(len(d), rule, symbols):
+                    i = slice(*some)
+                    found.append(_rows(letters, text, starts, ends, s[i], e[i], a[i], rule, code[i], _order(doc[lo + d[i]], rule), s[i] - soffs[d[i]], keys[lo + d[i]]))
+                    size += found[-1][0].nbytes + len(text)
+                    if size > FLUSH and some[1] < len(d):
+                        yield from to_batches(flushed(found, rule, symbols))
+                        size = 0
                 if size > FLUSH:
                     yield from to_batches(flushed(found, rule, symbols))
                     size = 0
@@ -494,6 +512,18 @@ def scanner(symbols, rule: Rule):
     return scan
 
 
+def _portions(n: int, rule: Rule, symbols):
+    """Ranges of n units whose rows may be made at once."""
+    step = max(1, FLUSH // ((rule.width + rule.before) * np.dtype(symbols.dtype).itemsize))
+    return [(i, min(n, i + step)) for i in range(0, n, step)]
+
+
+def _rows(letters, text: bytes, starts, ends, s, e, a, rule: Rule, code, doc, at, keys):
+    """What flushed() takes, of units of one slice."""
+    begin, past = (s, e + rule.width) if starts is None else (starts[s], ends[e + rule.width - 1])
+    return suffix_table(letters, s, e, a, rule), text, (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, doc, at, keys, begin, past
+
+
 def _order(doc: np.ndarray, rule: Rule) -> np.ndarray:
     """Documents count only if the rule asks which is smaller."""
     return np.zeros(len(doc), np.int64) if rule.elsewhere else doc
@@ -553,8 +583,8 @@ def unit_scanner(symbols, rule: Rule):
         for batch in batches:
             doc, salt = ids(batch, "doc"), salts(batch).view(np.uint64) & np.uint64(0xFFFFFFFF)
             for lo, _, buf, offs in tc.batches(batch, "text", _SLICE):
-                codes, _, _, _, soffs = symbols.slices(buf, offs)
-                d, s, e, a, code, g = units(codes, soffs, rule)
+                letters, _, _, soffs = symbols.slices(buf, offs)
+                d, s, e, a, code, g = all_units(symbols, letters, soffs, rule)
                 small = lambda c: c.astype(np.uint8)
                 found.append((code >> np.uint64(24), g, doc[lo + d], salt[lo + d], s - soffs[d], small(e - s), small(a - s), np.zeros(len(d), np.uint8)))
                 size += len(d)
@@ -622,12 +652,16 @@ def asker(symbols, rule: Rule):
             key, at, more, back = (np.concatenate(c) for c in zip(*(unpack(b.as_py(), _ASK_COLUMNS) for b in asks.column("blob")), strict=True))
             doc, keys = ids(docs, "doc"), docs.column("key").to_numpy().view(np.uint64)
             buf, offs = tc.buffer_of(pa.array(unzipped(docs.column("z")), pa.large_binary()))
-            codes, letters, starts, ends, soffs = symbols.slices(buf, offs)
+            letters, starts, ends, soffs = symbols.slices(buf, offs)
             row, s, both = places_of(keys, soffs, [key, at, more * 256 + back])
-            e, a = s + both // 256, s + both % 256
-            code = tc.mix(tc.Windows(codes, 16).at(a, rule.k))
-            found = [(suffix_table(letters, s, e, a, rule), buf.tobytes(), (a - e).astype(np.uint8), (a - s).astype(np.uint8), code, _order(doc[row], rule), s - soffs[row], keys[row], starts[s], ends[e + rule.width - 1])]
-            out = list(to_batches(flushed(found, rule, symbols)))
+            e, a, text = s + both // 256, s + both % 256, buf.tobytes()
+            for i in (slice(*some) for some in _portions(len(s), rule, symbols)):
+                # The k-gram's fingerprint, as units() has it.
+                code = np.zeros(len(s[i]), np.uint64)
+                for j in range(rule.k):
+                    code = code * np.uint64(tc.BASE) + symbols.letters(letters[a[i] + j])
+                found = [_rows(letters, text, starts, ends, s[i], e[i], a[i], rule, tc.mix(code), _order(doc[row[i]], rule), s[i] - soffs[row[i]], keys[row[i]])]
+                out += to_batches(flushed(found, rule, symbols))
         return pa.Table.from_batches(out, schema=_ARROW)
 
     return ask

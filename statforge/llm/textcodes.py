@@ -21,7 +21,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def span_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A fingerprint of every byte range: eight bytes at a time go through mix(), which is not linear, so that no
     pattern of bytes makes unlike ranges alike; long ranges have a digest."""
     size = ends - starts
-    code = mix(size.astype(np.uint64) + U64(_BASE))
+    code = mix(size.astype(np.uint64) + U64(BASE))
     padded = np.concatenate((buf, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
     todo = np.flatnonzero((size > 0) & (size <= LONG))
@@ -116,7 +116,7 @@ class Windows:
         self.table, size = {1: symbols}, 1
         while size * 2 <= top and len(symbols) >= size * 2:
             have = self.table[size]
-            self.table[size * 2] = have[:-size] * U64(pow(_BASE, size, 2**64)) + have[size:]
+            self.table[size * 2] = have[:-size] * U64(pow(BASE, size, 2**64)) + have[size:]
             size *= 2
         self.top = top
 
@@ -135,7 +135,7 @@ class Windows:
         out, off = None, 0
         for size in self._pieces(length):
             part = get(size, off)
-            out = part if out is None else out * U64(pow(_BASE, size, 2**64)) + part
+            out = part if out is None else out * U64(pow(BASE, size, 2**64)) + part
             off += size
         return out
 

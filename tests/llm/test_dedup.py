@@ -9,6 +9,7 @@ import re
 import pytest
 
 from statforge.llm import jaccard, repeats, suffix_dedup
+from statforge.llm import substring_dedup as substring_dedup_module
 from statforge.llm.jaccard import ngram_jaccard_join
 from statforge.llm.substring_dedup import substring_dedup
 from statforge.llm.suffix_dedup import suffix_array_dedup
@@ -100,21 +101,54 @@ def test_dedup_edges(spark):
         suffix_array_dedup(df, carry=("doc_id",))
 
 
-@pytest.mark.parametrize("group", [40_000, 2000])
-def test_groups_beyond_memory(spark, monkeypatch, group):
-    """Buckets are split by longer prefixes, and then window by window, without a change of the result."""
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_groups_are_bounded():
     docs = mixed_docs(2)
     rule = repeats.Rule(50, 20, False, 3, 2)
     blobs = rows_of(docs, rule, repeats.Bytes())
     sizes = [sum(map(len, parts)) for bucket in blobs.values() for parts, small in repeats.prefix_groups(bucket, rule, repeats.Bytes(), 20) if small]
     assert sizes and max(sizes) <= 20
-    reduced = repeats.reducer(rule, repeats.Bytes(), suffix_dedup.family, False)
-    out = list(reduced(repeats.to_batches((repeats.ENTRY, k, b) for k, some in blobs.items() for b in some)))
-    kinds = {k for b in out for k in b.column(0).to_pylist()}
-    assert (repeats.WINDOW in kinds) == (group == 2000)
-    assert removed(suffix_array_dedup(frame(spark, docs, 3)), "n_removed") == {d: x[1] for d, x in brute_bytes(docs).items()}
-    assert removed(substring_dedup(frame(spark, docs, 3)), "n_removed") == {d: x[1] for d, x in brute_words(docs).items()}
+
+
+def locally(docs, words, two_rounds):
+    """n_removed of every document, by the functions of the Spark plan without Spark, so that limits can be patched."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    rule = repeats.Rule(35, 8, True, 1, 7) if words else repeats.Rule(50, 20, False, 1, 7)
+    symbols, solve = (repeats.Words(), substring_dedup_module.subtree) if words else (repeats.Bytes(), suffix_dedup.family)
+    batches = [pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in part], pa.int64()), "salt": pa.array([0] * len(part), pa.int64()), "text": pa.array([x for _, x in part], pa.string())}) for part in (docs[i::3] for i in range(3))]
+    kind = lambda rows, k: [b.filter(pa.array(np.asarray(b.column(0)) == k)) for b in rows]
+    keys = repeats.row_keys(np.array([d for d, _ in docs]), np.zeros(len(docs), np.int64))
+    spans, windows = [], []
+    if two_rounds:
+        units = [b for batch in batches for b in repeats.unit_scanner(symbols, rule)(iter([batch]))]
+        hints = list(repeats.unit_reducer(rule)(iter(units)))
+        spans += kind(hints, repeats.SPAN)
+        table = pa.table({"doc": pa.array([d for d, _ in docs], pa.int64()), "key": pa.array(keys.view(np.int64)), "z": pa.array([zstandard.ZstdCompressor().compress((x or "").encode()) for _, x in docs], pa.binary())})
+        rows = repeats.asker(symbols, rule)(None, table, pa.Table.from_batches(kind(hints, repeats.ASK), schema=repeats._ARROW)).to_batches()
+    else:
+        rows = [b for batch in batches for b in repeats.scanner(symbols, rule)(iter([batch]))]
+    out = list(repeats.reducer(rule, symbols, solve, False)(iter(rows)))
+    windows = kind(out, repeats.WINDOW)
+    spans += kind(out, repeats.SPAN) + list(repeats.window_reducer(rule)(iter(windows)))
+    finish = substring_dedup_module._finish if words else suffix_dedup._finish
+    done = finish(pa.array([d for d, _ in docs], pa.int64()), keys, [(x or "").encode() for _, x in docs], repeats.read_spans(pa.Table.from_batches(spans, schema=repeats._ARROW)))
+    return dict(zip(done.column("doc_id").to_pylist(), done.column("n_removed").to_pylist(), strict=True)), sum(b.num_rows for b in windows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SEGMENT": 70, "FLUSH": 9000}, {"GROUP": 40_000}, {"GROUP": 2000}, {"UNITS": 50, "BUCKET": 200}])
+@pytest.mark.parametrize("words", [True, False])
+@pytest.mark.parametrize("two_rounds", [True, False])
+def test_limits_change_nothing(monkeypatch, limits, words, two_rounds):
+    """Long texts in segments, rows in portions, buckets split by longer prefixes or window by window, units in passes."""
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 300)
+    docs = mixed_docs(5, 80)
+    got, windows = locally(docs, words, two_rounds)
+    assert got == {d: x[1] for d, x in (brute_words if words else brute_bytes)(docs).items()}
+    assert (windows > 0) == (limits.get("GROUP") == 2000)
 
 
 def removed(df, column):
