@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlcut, jaccard, licenses, mixing, quality, substring_dedup, suffix_dedup, topk, warczip
+from . import bpe, filter_audit, htmlcut, jaccard, licenses, mixing, quality, resampling, substring_dedup, suffix_dedup, token_counts, topk, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,8 +57,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), token_counts.public_words())
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     found = [op1_ngram_jaccard_join, op2_warc, op3_html_extraction, op4_mixing, op5_license_scan, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_suffix_array_dedup, op10_exact_top_k]
+    found += [op11_filter_audit, op12_token_counts, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
@@ -79,4 +92,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_mixing": mixing.sql(weights=mixing.TARGETS), "op5_license_scan": licenses.oracle_sql(), "op10_exact_top_k": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_mixing": mixing.sql(weights=mixing.TARGETS), "op5_license_scan": licenses.oracle_sql(), "op10_exact_top_k": OP10_SQL,
+        "op11_filter_audit": filter_audit.SQL, "op13_importance_resampling": resampling.sql()}
