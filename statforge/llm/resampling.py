@@ -92,12 +92,16 @@ def feature_buckets(buf: np.ndarray, offs: np.ndarray, longest: int, buckets: in
     return np.concatenate(docs), np.concatenate(codes), np.diff(woffs)
 
 
+def _is_word(byte: int) -> bool:
+    return bool(_WORD[tc.LOWER[byte]])
+
+
 def _portions(text: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
     """(portion, words of the portion before that it begins with again) of a long text."""
-    at, again = 0, 0
+    at = end = again = 0
     while True:
-        end = at + PORTION
-        while end < len(text) and _WORD[tc.LOWER[text[end]]]:
+        end += PORTION  # beyond the portion before, however far back this one begins
+        while end < len(text) and _is_word(text[end]):
             end += 1
         yield text[at:end], again
         if end >= len(text):
@@ -105,11 +109,11 @@ def _portions(text: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
         # Runs that cross the seam begin in the last longest - 1 words of this portion.
         at, again = end, 0
         while again < longest - 1:
-            while at > 0 and not _WORD[tc.LOWER[text[at - 1]]]:
+            while at > 0 and not _is_word(text[at - 1]):
                 at -= 1
             if not at:
                 break
-            while at > 0 and _WORD[tc.LOWER[text[at - 1]]]:
+            while at > 0 and _is_word(text[at - 1]):
                 at -= 1
             again += 1
 

@@ -21,16 +21,19 @@ from . import textcodes as tc
 
 #: Bytes that one call of the encoder gets, and texts are taken in portions of.
 BATCH_BYTES = 1 << 20
-#: Parts with a known length that a worker keeps, before it starts anew.
-MEMO = 1 << 18
+#: Parts with a known length that a worker keeps, twice: when so many are new, those not met since the last time go.
+MEMO = 1 << 19
 #: Longer parts are cut further and not memoised.
 LONG = 4096
 
 #: Whitespace is safe, and so is the end of a run of letters before a mark that no contraction or special string holds.
 _PARTS = re.compile(r"[A-Za-z]+(?=[.,;:!?])|[^\x20\x09-\x0D]+")
 _MARKS = ".,;:!?、。！，：；？"
-#: Inside a long part: a letter or digit beside such a mark, and ASCII digits beside ASCII letters or digits.
-_INSIDE = re.compile(rf"(?<=[^\W_])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[^\W_])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+#: Letters and digits that stay single letters and digits in lower case and under NFC, as not all do: ASCII, kana,
+#: ideographs, Hangul.
+_PLAIN = "0-9A-Za-z\u3041-\u3096\u30a1-\u30fa\u3400-\u9fff\uac00-\ud7a3"
+#: Inside a long part: such a one beside a mark, and ASCII digits beside ASCII letters or digits.
+_INSIDE = re.compile(rf"(?<=[{_PLAIN}])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[{_PLAIN}])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 #: For sentence pieces: one space between letters or digits, which the next part's own prefix stands for.
 _SPACE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
@@ -70,6 +73,7 @@ class WordCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def _encode(self, parts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -102,6 +106,7 @@ class WordCounter:
             for p in long:
                 del known[p]
             if len(known) > MEMO:
+                self.older = dict(known)
                 known.clear()
             waiting.clear()
             new.clear()
@@ -109,10 +114,21 @@ class WordCounter:
 
         for i, text in enumerate(texts):
             for parts in self.parts(text):
-                missing = [p for p in parts if p not in known and p not in new]
-                new.update(dict.fromkeys(missing))
-                size += sum(map(len, missing))
-                waiting.append((i, parts))
+                found = list(map(known.get, parts))
+                missing = [p for p, n in zip(parts, found, strict=True) if n is None] if None in found else ()
+                out[i] += sum(found) if not missing else sum(n for n in found if n is not None)
+                rest = []
+                for p in missing:
+                    if (n := self.older.get(p)) is not None:
+                        known[p] = n
+                        out[i] += n
+                        continue
+                    rest.append(p)
+                    if p not in new:
+                        new[p] = None
+                        size += len(p)
+                if rest:
+                    waiting.append((i, rest))
                 if size >= BATCH_BYTES:
                     settle()
         settle()
