@@ -1,6 +1,8 @@
 """Possession and box scores against sequential models."""
 
+import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,14 +75,109 @@ def test_match_gamelog(spark):
     assert got == {"Al Long Jr.": "2", "Bo Day": "7", "Cy Kim": "8", "": None}
 
 
-def test_streaming_variant(spark, tmp_path):
+def test_possession_in_chunks(spark):
+    """Chunks of any size, numbers with gaps, a game without an id and one with a single long possession."""
+    rows = [(*r[:1], r[1] * 3 - 50, *r[2:]) for r in random_events(11)]
+    rows += [(None, n, 1, float(n % 7 + 1), k, *[None] * 5) for n, k in enumerate(["Missed Shot"] * 40 + ["Rebound"] + ["Missed Shot"] * 40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", __era string").drop("__era").repartition(3)
+    for keep in (True, False):
+        want = sorted(model([r for r in rows if r[0]], keep) + [("~", *x[1:]) for x in model([("~", *r[1:]) for r in rows if r[0] is None], keep)])
+        for chunk in (1, 2, 7, 64, 4096):
+            out = possession.shots_with_elapsed(df, keep, chunk)
+            assert out.columns == [*df.columns, "elapsed"]
+            got = out.select(F.coalesce("gameid", F.lit("~")), "eventnum", "elapsed").collect()
+            assert sorted(map(tuple, got)) == want, (keep, chunk)
+    assert possession.shots_with_elapsed(df.limit(0), True).count() == 0
+
+
+def test_possession_has_no_window_over_a_game(spark, capsys):
+    possession.shots_with_elapsed(spark.createDataFrame(random_events(1), SCHEMA), True).explain("formatted")
+    plan = capsys.readouterr().out
+    specs = [line for line in plan.splitlines() if "windowspecdefinition(" in line]
+    over_a_game = [line for line in specs if "windowspecdefinition(__game" in line and "__chunk#" not in line.split("windowspecdefinition(", 1)[1].split("ASC")[0]]
+    assert specs and not over_a_game
+
+
+EVENT = "gameid string, eventnum long, clock_seconds double, event_type string, team string, player string, ts timestamp"
+
+
+def stream_of(spark, tmp_path, **options):
+    """A running query over a folder, and a function that adds a file of rows (game, number, clock, kind, minute)."""
     from statforge.streaming.late_clock import stream_shots
 
-    rows = [(*r[:2], r[3], r[4], r[6], r[7]) for r in random_events(4)]
-    df = spark.createDataFrame(rows, "gameid string, eventnum long, clock_seconds double, event_type string, team string, player string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream_shots(stream).writeStream.format("memory").queryName("shots").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.gameid, r.eventnum, r.elapsed) for r in spark.table("shots").collect())
-    assert got == model(random_events(4), False)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    name = f"shots_{tmp_path.name}".replace("-", "_")
+    q = stream_shots(stream, lateness="2 minutes", **options).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).start()
+    start = datetime.datetime(2024, 1, 1)
+    sent = []
+
+    def taken():
+        if "ttl_ms" not in options:
+            return q.processAllAvailable()
+        # With processing time there is always another batch, for time goes on.
+        until = time.monotonic() + 60
+        while sum(p["numInputRows"] for p in q.recentProgress) < sum(sent) and time.monotonic() < until:
+            time.sleep(0.2)
+
+    def add(*rows):
+        sent.append(len(rows))
+        made = [(g, n, c, k, "A", "x", start + datetime.timedelta(minutes=m)) for g, n, c, k, m in rows]
+        spark.createDataFrame(made, EVENT).coalesce(1).write.mode("append").parquet(str(folder))
+        taken()
+        return sorted((r.gameid, r.eventnum, r.elapsed) for r in spark.table(name).collect())
+
+    return q, add
+
+
+def state_rows(q):
+    return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_stream_orders_rows_and_ends_state(spark, tmp_path):
+    q, add = stream_of(spark, tmp_path, idle_ms=10 * 60_000)
+    try:
+        assert add(("g", 1, 100.0, "Rebound", 0), ("g", 4, 70.0, "Missed Shot", 3)) == []
+        # Number 3 comes after number 4, but before the watermark has passed either; number 2 comes too late.
+        add(("g", 3, 90.0, "Turnover", 2.5))
+        got = add(("h", 1, 50.0, "Missed Shot", 6))
+        assert got == [("g", 4, 20.0)]
+        assert add(("g", 2, 95.0, "Made Shot", 1), ("h", 2, 40.0, "Rebound", 6.5)) == got
+        kept = state_rows(q)
+        # An hour later both games' state has gone: a shot finds no start.
+        add(("x", 1, 1.0, "Rebound", 60))
+        add(("x", 2, 1.0, "Rebound", 61))
+        assert state_rows(q) < kept or kept == 0
+        add(("g", 9, 10.0, "Missed Shot", 62), ("x", 3, 9.0, "Rebound", 63))
+        last = add(("x", 4, 1.0, "Rebound", 90))
+        assert ("g", 9, 0.0) in last and ("h", 1, 0.0) in last
+    finally:
+        q.stop()
+
+
+def test_stream_by_processing_time(spark, tmp_path):
+    q, add = stream_of(spark, tmp_path, ttl_ms=3_600_000, keep_first_shot=True)
+    try:
+        rows = [r for r in random_events(4) if r[4] != "Foul"]
+        half = len(rows) // 2
+        add(*((*r[:2], r[3], r[4], 0) for r in rows[:half]))
+        got = add(*((*r[:2], r[3], r[4], 0) for r in rows[half:]))
+        assert got == model(rows, True)
+    finally:
+        q.stop()
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Rows in any order within the lateness: the same shots as the whole table gives."""
+    q, add = stream_of(spark, tmp_path)
+    try:
+        rows = random_events(5)
+        random.Random(1).shuffle(rows)
+        for i in range(3):
+            add(*((*r[:2], r[3], r[4], r[1] / 60) for r in rows[i::3]))
+        got = add(("end", 1, 1.0, "Rebound", 500))
+        got = add(("end", 2, 1.0, "Rebound", 501))
+        assert got == model(rows, False)
+    finally:
+        q.stop()
