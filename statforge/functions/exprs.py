@@ -5,6 +5,7 @@ MATH-*, STR-*, NUL-*, DATE-*, PRJ-05..08 of the survey. Everything is a Column:
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,9 +123,15 @@ def winner(a: Column, b: Column, lower: bool = False) -> Column:
     return F.when(a > b, 1).when(b > a, 2)
 
 
-def five_numbers(name: str) -> list[Column]:
-    """Box plot with linear interpolation, zeros without values (AGG-11)."""
-    q = F.percentile(F.col(name), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def five_numbers(name: str, rank_error: float | None = None) -> list[Column]:
+    """Box plot with linear interpolation, zeros without values (AGG-11). rank_error: quartiles are values of the
+    column whose ranks are off by at most that share of the rows, from a sketch that merges; without it they are
+    exact, and all distinct values meet in one task."""
+    quarters = [0.25, 0.5, 0.75]
+    if rank_error is None:
+        q = F.percentile(F.col(name), F.array(*map(F.lit, quarters)))
+    else:
+        q = F.percentile_approx(name, quarters, F.lit(math.ceil(1 / rank_error)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return [zero(F.min(name)).alias("min"), zero(q[0]).alias("q1"), zero(q[1]).alias("median"), zero(q[2]).alias("q3"), zero(F.max(name)).alias("max")]
 

@@ -23,11 +23,11 @@ def one_stint(facts: DataFrame, season: int, min_games: int = 0, key: str = "pla
     return first_by(rows, [key], [pg_desc("g"), pg_asc("team"), pg_asc("pos")])
 
 
-def scoring_distribution(facts: DataFrame, season: int, min_games: int = 1) -> DataFrame:
+def scoring_distribution(facts: DataFrame, season: int, min_games: int = 1, rank_error: float | None = None) -> DataFrame:
     """CHRT-01: a box plot of points per game; total counts rows. Quartiles are exact: what meets in one task is
-    one row for each distinct value of one season."""
+    one row for each distinct value of one season. With rank_error they come from a sketch (see five_numbers)."""
     rows = facts.filter((F.col("season") == season) & F.col("g").isNotNull() & (F.col("g") >= min_games)).select((F.col("pts") / F.col("g")).alias("ppg"))
-    return rows.agg(*five_numbers("ppg"), F.count("*").alias("total"))
+    return rows.agg(*five_numbers("ppg", rank_error), F.count("*").alias("total"))
 
 
 def per_game_leaders(facts: DataFrame, season: int, sort: str = "pts", limit: int = 50) -> DataFrame:

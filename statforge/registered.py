@@ -215,4 +215,4 @@ _add("growth_milestones", "season_facts", sql=f"""WITH c AS (SELECT * FROM {_CAR
     p AS (SELECT player_id, season, pos, lag(pos) OVER (PARTITION BY player_id ORDER BY season) AS was FROM c)
     SELECT player_id, place, kind, season::INTEGER AS season, v::VARCHAR AS value FROM m UNION ALL SELECT player_id, 5, 'position_change', season::INTEGER, pos FROM p WHERE pos <> was""")(lambda f: growth.milestones(growth.career_seasons(f)))
 
-from . import registered_fields  # noqa: E402, F401  more queries, which use the names above
+from . import registered_fields, registered_layouts  # noqa: E402, F401  more queries, which use the names above

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 import re
+import threading
 import uuid
 from dataclasses import dataclass, field
 
 from py4j.java_gateway import is_instance_of
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Above this many ids, a broadcast semi join replaces IN (SRC-11).
@@ -165,11 +166,14 @@ METRIC_SOURCES = {"season_facts": "player_id", "gamelog": "br_player_id"}
 
 
 def metric_input(tables: dict[str, DataFrame], source: str, season: int, ids: list | None = None) -> tuple[DataFrame, str]:
-    """SRC-12: the rows that a metric of this source needs, and their entity column; no ids means all."""
+    """SRC-12: the rows that a metric of this source needs, and their entity column; None means all ids, an empty list
+    none of them."""
     if source not in METRIC_SOURCES:
         raise ValueError(f"no source {source}; known: {', '.join(available_sources())}")
     rows, key = load_season(tables[source], season), METRIC_SOURCES[source]
-    return (load_by_ids(rows, key, ids) if ids else rows), key
+    if ids is None:
+        return rows, key
+    return (load_by_ids(rows, key, ids) if ids else rows.limit(0)), key
 
 
 def available_sources() -> list[str]:
@@ -210,10 +214,35 @@ def drift(df: DataFrame, schema: TableSchema) -> list[str]:
     return found + [f"{schema.name}: {c} is {types.get(c)}, not {t}" for c, t in schema.types.items() if types.get(c) != t]
 
 
+def watched(df: DataFrame, schema: TableSchema, approx_error: float = 0.02) -> tuple[DataFrame, Observation]:
+    """SYS-03 on values, without a pass of its own: df as it is, and what any one action on it will have seen. The
+    observation has `rows`, `null_<c>` for the schema's key columns, `bad_<c>` (values that are no <type>, for columns
+    of other types than the contract's) and `distinct_keys`, approximate to `approx_error`; a table's keys are its
+    season and entity."""
+    seen = Observation(f"{schema.name}-{uuid.uuid4().hex[:8]}")
+    keys = [c for c in (schema.season_col, schema.entity_col) if c and c in df.columns]
+    types = dict(df.dtypes)
+    found = [F.count(F.lit(1)).alias("rows")]
+    found += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in keys]
+    wrong = {c: t for c, t in schema.types.items() if c in types and types[c] != t}
+    found += [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"bad_{c}") for c, t in wrong.items()]
+    if keys:
+        found.append(F.approx_count_distinct(F.struct(*keys), approx_error).alias("distinct_keys"))
+    return df.observe(seen, *found), seen
+
+
+def value_drift(seen: Observation, schema: TableSchema) -> list[str]:
+    """What watched() saw against the contract, once an action has run: NULL keys and values of another type."""
+    got = seen.get
+    nulls = [f"{schema.name}: {n} rows without {c.removeprefix('null_')}" for c, n in got.items() if c.startswith("null_") and n]
+    return nulls + [f"{schema.name}: {n} values of {c.removeprefix('bad_')} are no {schema.types[c.removeprefix('bad_')]}" for c, n in got.items() if c.startswith("bad_") and n]
+
+
 #: Statements that are refused (SYS-04).
 WRITES = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "MERGE", "VACUUM")
 _REFUSED = re.compile(rf"\b({'|'.join(WRITES)})\b", re.I)
 _log = logging.getLogger("statforge.queries")
+_tags = threading.local()
 
 
 def read_only(spark: SparkSession, sql: str, query_id: str | None = None) -> DataFrame:
@@ -227,7 +256,11 @@ def read_only(spark: SparkSession, sql: str, query_id: str | None = None) -> Dat
     if is_instance_of(spark.sparkContext._gateway, plan, "org.apache.spark.sql.catalyst.plans.logical.Command"):
         raise ValueError("only SELECT is allowed")
     query_id = query_id or uuid.uuid4().hex[:12]
+    # A lazy result's jobs come later: they carry the tag until this thread's next query takes its place.
+    if getattr(_tags, "last", None) in spark.getTags():
+        spark.removeTag(_tags.last)
     spark.addTag(query_id)
+    _tags.last = query_id
     _log.info("query %s: %s", query_id, sql.strip()[:200])
     return spark.sql(sql)
 

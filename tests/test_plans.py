@@ -42,7 +42,8 @@ def test_guards(spark):
         with pytest.raises(ValueError):
             catalog.read_only(spark, bad)
     assert catalog.read_only(spark, "SELECT 2 AS a", "query-9").first().a == 2 and "query-9" in spark.getTags()
-    assert catalog.read_only(spark, "SELECT replace('axa', 'x', 'y') AS a").first().a == "aya"
+    assert catalog.read_only(spark, "SELECT replace('axa', 'x', 'y') AS a", "query-10").first().a == "aya"
+    assert {"query-9", "query-10"} & set(spark.getTags()) == {"query-10"}
     spark.clearTags()
     with pytest.raises(ValueError):
         catalog.in_list("a", [])
@@ -192,7 +193,8 @@ def test_status(spark):
 def test_sources(spark):
     facts = spark.createDataFrame([("a", 2000), ("b", 2000), ("b", 2001)], "player_id string, season int")
     rows, key = catalog.metric_input({"season_facts": facts}, "season_facts", 2000, ["b"])
-    assert key == "player_id" and [r.player_id for r in rows.collect()] == ["b"] and catalog.metric_input({"season_facts": facts}, "season_facts", 2000, [])[0].count() == 2
+    assert key == "player_id" and [r.player_id for r in rows.collect()] == ["b"] and catalog.metric_input({"season_facts": facts}, "season_facts", 2000, [])[0].count() == 0
+    assert catalog.metric_input({"season_facts": facts}, "season_facts", 2000)[0].count() == 2
     with pytest.raises(ValueError, match="gamelog"):
         catalog.metric_input({}, "nope", 2000)
     assert catalog.player_bios(facts, []).collect() == [] and catalog.split_ids(" 1, x,,2 ") == ["1", "x", "2"] and catalog.split_ids("1,x,2", digits_only=True) == ["1", "2"]
