@@ -24,21 +24,27 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_HINT = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HINT = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements that go with all they hold, if they are closed; markup inside is like any other.
-_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg math object canvas select button".split()}
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "template svg select button annotation annotation-xml".split()}
 #: Tags that leave a block as it is, tags without an end, and tags that close an open one.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-#: Tags and words in class or id that speak for boilerplate or for content.
+#: Tags and names in class, id, role or itemprop that speak for boilerplate or for content. A doubtful
+#: name may as well be what an article is about. A name of several words speaks if all its other words are plain.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head fieldset".split())
-BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu navbar nav navigation toolbar topbar footer masthead comment comments commentlist disqus respond reply replies discussion form search skip copyright legal tags tagcloud".split())
+BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar breadcrumb breadcrumbs pagination pager menu navbar nav navigation topbar footer masthead comment comments commentlist disqus complementary contentinfo".split())
+DOUBTFUL_WORDS = frozenset("banner promotion promoted notification notifications alert overlay subscription signup login widget widgets related recommended recommendations share sharing social toolbar respond reply replies discussion form search skip copyright legal tags tagcloud".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article articlebody content post entry story main body".split())
+PLAIN_WORDS = frozenset("page site global primary secondary top bottom left right list box bar wrap wrapper container inner outer block area section item items link links icon icons unit slot row col column columns text posts stories articles panel module group button buttons btn count header title js".split())
 #: Weights of the classifier, in capacity units: bias, then the features of a block.
 BIAS, BOILER, CONTENT, PAGE_HEADER, LINKS, LONG, SHORT, PARAGRAPH, HEADING = -4, -60, 24, -40, -30, 12, -4, 8, 4
+#: A doubtful name, inside an article and elsewhere: within one it doesn't outweigh a paragraph.
+DOUBTFUL, DOUBTFUL_OUTSIDE = -30, -60
 #: Capacity between neighbours at DOM distance 0, and what each step takes from it.
 TIE, STEP = 9, 3
 #: Capacity between blocks next to each other among their parent's, if other blocks come between.
@@ -49,41 +55,52 @@ class Block:
     """depth: open elements around it; shared: how many of them, from the root, the block before has as well;
     home: the numbers of the element that holds its own element, and of the one that holds that."""
 
-    __slots__ = ("boiler", "content", "depth", "header", "home", "links", "shared", "size", "tag", "text")
+    __slots__ = ("boiler", "content", "depth", "doubtful", "header", "home", "links", "shared", "size", "tag", "text")
 
-    def __init__(self, text, links, depth, shared, home, boiler, content, header, tag):
-        self.text, self.links, self.depth, self.shared, self.home, self.boiler, self.content, self.header, self.tag = text, links, depth, shared, home, boiler, content, header, tag
+    def __init__(self, text, links, depth, shared, home, kinds, tag):
+        self.text, self.links, self.depth, self.shared, self.home, self.tag = text, links, depth, shared, home, tag
+        self.boiler, self.doubtful, self.content, self.header = kinds
         self.size = len(text)
 
 
-def _kind(tag: str, attrs: str) -> tuple[int, int, int]:
-    """(boilerplate, content, page header) of a container."""
+def _names(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a name speaks for boilerplate, doubtfully so, for content, or for a header."""
+    boiler = doubtful = content = header = False
+    for m in _HINT.finditer(attrs):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in _WORDS.findall(name)} | {name.lower()}
+            parts = {w for w in words if not w.isdigit()} - ({name.lower()} if len(words) > 1 else set())
+            whole = name.lower()
+            spoken = lambda known, among: whole in known or bool(parts & known) and parts <= among  # noqa: B023, E731
+            if spoken(BOILER_WORDS, BOILER_WORDS | DOUBTFUL_WORDS | CONTENT_WORDS | PLAIN_WORDS):
+                boiler = True
+            elif spoken(DOUBTFUL_WORDS, DOUBTFUL_WORDS | CONTENT_WORDS | PLAIN_WORDS):
+                doubtful = True
+            elif spoken(CONTENT_WORDS, CONTENT_WORDS | PLAIN_WORDS):
+                content = True
+            elif whole == "header" or "header" in parts and parts <= PLAIN_WORDS:
+                header = True
+    return boiler, doubtful, content, header
+
+
+def _kind(tag: str, attrs: str) -> tuple[int, int, int, int]:
+    """(boilerplate, doubtful, content, page header) of a container. A heading's names are its anchors, and those of
+    the whole page say nothing."""
     if tag in BOILER_TAGS:
-        return 1, 0, 0
+        return 1, 0, 0, 0
     if tag in CONTENT_TAGS:
-        return 0, 1, 0
-    boiler = content = header = 0
-    if tag == "header":
-        header = 1
-    if attrs and ("=" in attrs):
-        for m in _HINT.finditer(attrs):
-            for w in _WORDS.findall(m[1] or m[2] or m[3] or ""):
-                w = w.lower()
-                if w in BOILER_WORDS:
-                    boiler = 1
-                elif w in CONTENT_WORDS:
-                    content = 1
-                elif w == "header":
-                    header = 1
-    if tag in ("body", "html"):
-        boiler = 0
-    return boiler, 0 if boiler else content, header
+        return 0, 0, 1, 0
+    if tag in ("body", "html") or tag[0] == "h" and tag[1:].isdigit() or "=" not in attrs:
+        return 0, 0, 0, int(tag == "header")
+    boiler, doubtful, content, header = _names(attrs)
+    return int(boiler), int(doubtful), int(content and not boiler and not doubtful), int(header or tag == "header")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, comments and markup are gone."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, the sums of the kinds so far, and the element's number
+    none = ("", 0, 0, 0, 0, 0)
+    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, the sums of the kinds so far, and the element's number
     parts: list[str] = []
     link = linked = shared = opened = 0
     unclosed: set[str] = set()
@@ -97,9 +114,9 @@ def blocks_of(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                top = stack[-1] if stack else ("", 0, 0, 0, 0)
-                home = stack[-2][4] if len(stack) > 1 else 0, stack[-3][4] if len(stack) > 2 else 0
-                out.append(Block(text, min(linked, len(text)), len(stack), shared, home, top[1], top[2], top[3], top[0]))
+                top = stack[-1] if stack else none
+                home = stack[-2][5] if len(stack) > 1 else 0, stack[-3][5] if len(stack) > 2 else 0
+                out.append(Block(text, min(linked, len(text)), len(stack), shared, home, top[1:5], top[0]))
                 shared = len(stack)
         linked = 0
 
@@ -121,9 +138,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = name.lower()
         if tag in _SKIPPED and not m[2]:
-            if tag not in ("svg", "math", "button"):
+            if tag in ("template", "select"):
                 flush()
-            empty = tag in ("svg", "math") and m[4].endswith("/")
+            empty = tag == "svg" and m[4].endswith("/")
             end = None if empty or tag in unclosed else _SKIPPED[tag].search(page, at)
             if end:
                 at = end.end()
@@ -152,14 +169,14 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         shared = min(shared, len(stack))
         if tag in ("body", "article", "main") and any(x[0] == "head" for x in stack):
-            shared = min(shared, next(i for i, x in enumerate([*stack, ("", 0, 0, 0, 0)]) if x[0] != "html"))
+            shared = min(shared, next(i for i, x in enumerate([*stack, none]) if x[0] != "html"))
             stack = [x for x in stack if x[0] == "html"]
-        b, c, h = _kind(tag, m[4])
-        top = stack[-1] if stack else ("", 0, 0, 0, 0)
+        b, d, c, h = _kind(tag, m[4])
+        top = stack[-1] if stack else none
         opened += 1
         if c and tag in CONTENT_TAGS:
-            h = -top[3]  # a header inside an article is the article's own
-        stack.append((tag, top[1] + b, top[2] + c, top[3] + (h if not (h > 0 and top[2]) else 0), opened))
+            h = -top[4]  # a header inside an article is the article's own
+        stack.append((tag, top[1] + b, top[2] + d, top[3] + c, top[4] + (h if not (h > 0 and top[3]) else 0), opened))
     if at < len(page):
         add(page[at:])
     flush()
@@ -169,6 +186,7 @@ def blocks_of(page: str) -> list[Block]:
 def capacity(b: Block) -> int:
     """Above 0: a cost for calling the block boilerplate. Below: for calling it content."""
     out = BIAS + (BOILER if b.boiler else 0) + (CONTENT if b.content else 0) + (PAGE_HEADER if b.header > 0 else 0)
+    out += (DOUBTFUL if b.content else DOUBTFUL_OUTSIDE) if b.doubtful else 0
     out += LINKS if b.links * 2 > b.size else 0
     out += LONG if b.size >= 120 else SHORT if b.size < 25 else 0
     out += PARAGRAPH if b.tag in ("p", "blockquote", "pre") else HEADING if b.tag in ("h1", "h2", "h3", "h4") else 0
@@ -273,7 +291,8 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row.
 
-    A null or empty page, or one without content, has an empty text. Malformed markup is read as far as it
+    A null or empty page, or one without content, has an empty text. Formulas, objects, canvases and what stands for
+    scripts are text like any other. Malformed markup is read as far as it
     goes: what isn't closed ends with the page, and elements that go with what they hold do so only if they
     are closed. Very long pages are taken whole. Repeated rows and null ids are treated like any other; an
     empty table gives no rows. Other columns are ignored."""

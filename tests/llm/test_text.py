@@ -134,13 +134,72 @@ def test_html_depth(depth):
     assert htmlcut.main_text(page) == "\n\n".join([long.strip(), caption, long.strip()])
 
 
-@pytest.mark.parametrize("skipped", ["<svg/>", "<math />", "<svg width='1'/>", "<button>", "<select>", "<object>", "<canvas>", "<noscript>", "<template>", "<svg>", "<button>no</button>", "<noscript>no</noscript>"])
+@pytest.mark.parametrize("skipped", ["<svg/>", "<math />", "<svg width='1'/>", "<button>", "<select>", "<object>", "<canvas>", "<noscript>", "<template>", "<svg>", "<button>no</button>", "<template>no</template>"])
 def test_html_skips_only_what_is_closed(skipped):
     long = "word " * 40
     page = f"<html><body>{'<div>' * 6}<p>{long}</p>{skipped}<p>{long}</p>{'</div>' * 6}</body></html>"
     assert htmlcut.main_text(page) == "\n\n".join([long.strip()] * 2)
 
 
+PROSE = "A sentence of an article that goes on for a while, says one thing after another, and is long enough to be told from a caption or a label."
+
+
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        (f'<section id="search-algorithms"><h2>Search</h2><p>{PROSE}</p><p>Short one.</p></section>', ["Search", PROSE, "Short one."]),
+        (f'<div class="related-work"><p>{PROSE}</p></div>', [PROSE]),
+        ('<p class="lead share-price">The share price fell by two.</p>', ["The share price fell by two."]),
+        ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as known</p>", ["Energy is E=mc2 as known"]),
+        ("<p>See <object data=x>the figure</object> and <canvas>the chart</canvas>.</p>", ["See the figure and the chart."]),
+        (f"<noscript><p>{PROSE}</p></noscript>", [PROSE]),
+        (f'<h2 id="comments">On comments</h2><p>{PROSE}</p>', ["On comments", PROSE]),
+        (f'<section id="discussion"><p>{PROSE}</p></section>', [PROSE]),
+        (f'<div class="form-follows-function"><p>{PROSE}</p></div>', [PROSE]),
+        # These go, inside an article as well.
+        (f'<div class="comments-area"><p>{PROSE}</p></div>', []),
+        (f'<section id="comments"><p>{PROSE}</p></section>', []),
+        (f'<div class="ad-slot"><p>{PROSE}</p></div>', []),
+        (f'<div class="cookieNotice"><p>{PROSE}</p></div>', []),
+        ('<div class="share-buttons">Share this</div><div class="related"><ul><li><a href=x>One more</a></li></ul></div>', []),
+        (f'<div role="complementary"><p>{PROSE}</p></div><form class=x><p>{PROSE}</p></form>', []),
+        (f'<div class="widget social"><a href=x>{PROSE}</a></div>', []),
+    ],
+)
+def test_html_names_inside_an_article(inside, want):
+    first, last = PROSE.replace("sentence", "start"), PROSE.replace("sentence", "close")
+    page = f"<html><body class='has-sidebar post'><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{first}</p>{inside}<p>{last}</p></article><footer>Us</footer></body></html>"
+    assert htmlcut.main_text(page).split("\n\n") == ["Title", first, *want, last]
+
+
+def made_page(r):
+    """A page and its article's blocks, as they were put together."""
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "ab", "c"]) for _ in range(n)) + r.choice([".", "!", "?"])
+    name = lambda: r.choice(["", f' id="{r.choice(["search-methods", "form-of-words", "related-work", "legal-history", "tags-and-trees", "share-of-votes", "login-trouble"])}"', f' class="{r.choice(["lead", "has-sidebar", "no-comments", "intro text", "wide"])}"'])
+    want, body = [], []
+    for _ in range(r.randint(2, 8)):
+        text = words(r.randint(6, 60))
+        kind = r.choice(["p", "p", "p", "section", "quote", "list", "heading"])
+        if kind == "list":
+            items = [words(r.randint(5, 12)) for _ in range(r.randint(1, 4))]
+            body.append(f"<ul{name()}>" + "".join(f"<li>{x}" + r.choice(["</li>", "", "\n"]) for x in items) + "</ul>")
+            want += items
+        else:
+            body.append({"p": f"<p{name()}>{text}</p>", "section": f"<section{name()}>\n<p>{text}</p></section>", "quote": f"<blockquote{name()}>{text}</blockquote>", "heading": f"<h2{name()}>{text}</h2>"}[kind])
+            want.append(text)
+        if r.random() < 0.3:
+            body.append(r.choice([f'<aside>{words(30)}</aside>', f'<div class="advert">{words(9)}</div>', f'<form><p>{words(40)}</p></form>', f"<script>{words(5)}</script>", f'<div class="comment-list"><p>{words(50)}</p></div>', f"<!-- {words(4)} -->", f"<style>{words(3)}</style>"]))
+    around = lambda: "".join(r.choice([f"<nav><ul><li><a href=x>{words(2)}</a></ul></nav>", f'<div class="sidebar"><p>{words(40)}</p></div>', f'<div id="cookie-banner">{words(20)}</div>', f"<footer>{words(5)}</footer>", f'<header><a href="/">{words(2)}</a></header>', f'<section class="comments"><p>{words(60)}</p></section>']) for _ in range(r.randint(0, 3)))
+    return f"<!doctype html><html><head><title>{words(3)}</title></head><body>{around()}<{r.choice(['article', 'main'])}>{''.join(body)}</article></main>{around()}</body></html>", want
+
+
+def test_html_of_made_pages():
+    r = random.Random(12)
+    for _ in range(400):
+        page, want = made_page(r)
+        assert htmlcut.main_text(page) == "\n\n".join(want), page
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(200):
