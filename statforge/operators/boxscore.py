@@ -110,18 +110,30 @@ def flat_details(periods: DataFrame) -> DataFrame:
     return periods.groupBy("gameid", "team", "player").agg(*(in_order(c) for c in DETAILS))
 
 
-def performance(events: DataFrame, log: DataFrame) -> DataFrame:
-    """GAME-05, AGG-15/16: periods with details, and each player's row of the game log (FUZZ-01): its id and points
-    are preferred where there is one."""
-    periods = player_periods(events, with_details=True)
+def performance(events: DataFrame, log: DataFrame, with_details: bool = True) -> DataFrame:
+    """GAME-05, AGG-15/16: periods, with details on demand, and beside them each player's row of the game log (FUZZ-01):
+    its id, matched_id, and the whole record, log_pts and so on; preferred_totals() takes it."""
+    periods = player_periods(events, with_details)
     ids = events.filter("br_player_id is not null").groupBy("gameid", "player", F.coalesce("team", F.lit("")).alias("team")).agg(F.min("br_player_id").alias("br_player_id"))
     who = periods.select("gameid", "player", "team").distinct().join(ids, ["gameid", "player", "team"], "left")
     log = one_vocabulary(log)
     matched = match_gamelog(who, log).select("gameid", "player", "team", "matched_id")
-    own = log.select("gameid", F.col("br_player_id").alias("matched_id"), F.col("pts").alias("log_pts"), F.col("reb").alias("log_reb"), F.col("ast").alias("log_ast"))
+    has = lambda s: F.col(s) if s in log.columns else F.lit(None).cast("double")
+    own = log.select("gameid", F.col("br_player_id").alias("matched_id"), *(has(s).alias(f"log_{s}") for s in STATS))
     return periods.join(matched, ["gameid", "player", "team"], "left").join(own, ["gameid", "matched_id"], "left")
 
 
+def preferred_totals(played: DataFrame) -> DataFrame:
+    """AGG-16: totals of each player from performance(). A player with a row in the game log has that record, the whole
+    of it, with 0 for what it lacks; any other the sums over periods. from_log says which."""
+    mine = [F.sum(s).alias(s) for s in STATS]
+    record = [F.max(f"log_{s}").alias(f"log_{s}") for s in STATS]  # the same in each period
+    out = played.groupBy("gameid", "team", "player").agg(F.max("matched_id").alias("matched_id"), *mine, *record)
+    there = F.col("matched_id").isNotNull()
+    chosen = [F.when(there, F.coalesce(F.col(f"log_{s}").cast("double"), F.lit(0.0))).otherwise(F.col(s).cast("double")).alias(s) for s in STATS]
+    return out.select("gameid", "team", "player", "matched_id", there.alias("from_log"), *chosen).orderBy("gameid", "team", F.desc("pts"), "player")
+
+
 #: What a candidate of the same last name scores.
 ASSISTS, STEALS, BLOCKS, SAME_TEAM = 10, 2, 2, 1
 

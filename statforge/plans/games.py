@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,22 @@ def play_by_play(events: DataFrame, game_id: str) -> DataFrame:
     return events.filter(F.col("gameid") == game_id).orderBy(F.col("eventnum").asc_nulls_last())
 
 
+#: Values without which a game's events may be asked.
+NEEDED = ("reb", "ast", "tov", "pf")
+
+
 def sides(games: DataFrame) -> DataFrame:
-    """Two rows for each game: (gameid, side, team, *RADAR) from its columns; what it lacks is NULL."""
+    """Two rows for each game: (gameid, side, team, *RADAR) from its columns; what it lacks is NULL. __lacks: one of the
+    game's sides, which are one row still, lacks a value of NEEDED."""
+    none = [F.col(c).isNull() if (c := f"{name}_{n}") in games.columns else F.lit(True) for name in ("home", "away") for n in NEEDED]
+    lacks = reduce(lambda a, b: a | b, none)
 
     def side(name: str) -> DataFrame:
         column = lambda c: f"{name}_{SIDE_COLUMNS.get(c, c)}"
         value = lambda c: (F.col(column(c)).cast("double") if column(c) in games.columns else F.lit(None).cast("double")).alias(c)
         return F.struct(F.lit(name).alias("side"), F.col(f"{name}_team_abbr").alias("team"), *(value(c) for c in RADAR))
 
-    return games.select(F.col("game_id").alias("gameid"), F.explode(F.array(side("home"), side("away"))).alias("s")).select("gameid", "s.*")
+    return games.select(F.col("game_id").alias("gameid"), lacks.alias("__lacks"), F.explode(F.array(side("home"), side("away"))).alias("s")).select("gameid", "__lacks", "s.*")
 
 
 def game_radar(games: DataFrame, log: DataFrame, events: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -61,8 +70,7 @@ def game_radar(games: DataFrame, log: DataFrame, events: DataFrame, ties: tuple[
     box = team_box_from_events(events)
     from_events = box.select("gameid", "team", *((F.col(c) if c in box.columns else F.lit(None).cast("long")).alias(f"__e_{c}") for c in FROM_EVENTS))
     gate = log.select("gameid").distinct().withColumn("__logged", F.lit(True))
-    lacks = base.groupBy("gameid").agg(F.max(F.col("reb").isNull() | F.col("ast").isNull() | F.col("tov").isNull() | F.col("pf").isNull()).alias("__lacks"))
-    out = base.join(from_log, ["gameid", "team"], "left").join(from_events, ["gameid", "team"], "left").join(gate, "gameid", "left").join(lacks, "gameid", "left")
+    out = base.join(from_log, ["gameid", "team"], "left").join(from_events, ["gameid", "team"], "left").join(gate, "gameid", "left")
     use_events = F.col("__logged").isNull() & F.col("__lacks")
     spare = lambda c: [F.when(use_events, F.col(f"__e_{c}").cast("double"))] if c in FROM_EVENTS else []
     value = lambda c: F.coalesce(F.col(f"__l_{c}").cast("double"), F.col(c), *spare(c)).alias(c)

@@ -20,8 +20,13 @@ _add("metric_input_by_ids", "season_facts", "gamelog", sql=f"""
 _add("player_bios", "players", sql="SELECT * FROM players WHERE player_id IN ('2', '4')")(lambda p: catalog.player_bios(p, ["2", "4", "nobody"]))
 _Q["table_columns"] = lambda spark, d: catalog.table_columns(_raw(spark, d, "supplier"))
 _SQL["table_columns"] = """SELECT * FROM (VALUES (1::INTEGER, 's_suppkey', 'bigint'), (2::INTEGER, 's_name', 'string'), (3::INTEGER, 's_nationkey', 'int'), (4::INTEGER, 's_acctbal', 'double')) v(ordinal, column_name, data_type)"""
-_add("browse_totals", "games", sql="SELECT count(*) AS total, ceil(count(*) / 7)::BIGINT AS total_pages FROM games WHERE season_type ILIKE '%playoffs%'")(
-    lambda g: catalog.page_totals(g.drop("game_id"), "playoffs", 7))
+_add("browse_totals", "games", sql="SELECT count(*) AS total, ceil(count(*) / 7)::BIGINT AS total_pages FROM games WHERE game_id ILIKE '%21%'")(
+    lambda g: catalog.page_totals(g, "21", 7))
+_Q["table_profile"] = lambda spark, d: catalog.table_profile(_raw(spark, d, "labels"))
+_SQL["table_profile"] = """
+    WITH n AS (SELECT count(*) AS row_count, count(doc_id) AS a, count(quality) AS b, count(toxic) AS c FROM labels)
+    SELECT 1::INTEGER AS ordinal, 'doc_id' AS column_name, 'bigint' AS data_type, a AS n_values, row_count FROM n
+    UNION ALL SELECT 2, 'quality', 'int', b, row_count FROM n UNION ALL SELECT 3, 'toxic', 'int', c, row_count FROM n"""
 
 # Status
 _add("status_total_records", "games", "players", sql="SELECT ((SELECT count(*) FROM games) + (SELECT count(*) FROM players))::BIGINT AS total_records")(
@@ -73,7 +78,7 @@ _add("game_radar_axes", "games", "gamelog", "plays", sql=f"""
 
 # Player performance, with the game log's player of the same id or last name
 _STATS = ("pts", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "reb", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf")
-_add("player_performance_matched", "plays", "gamelog", sql=f"""
+_MATCHED_SQL = f"""
     WITH p AS ({_PERIOD_SQL}),
     who AS (SELECT DISTINCT gameid, player, team FROM p),
     ids AS (SELECT gameid, player, coalesce(team, '') AS team, min(br_player_id) AS own FROM plays WHERE br_player_id IS NOT NULL GROUP BY 1, 2, 3),
@@ -87,14 +92,29 @@ _add("player_performance_matched", "plays", "gamelog", sql=f"""
     matched AS (SELECT gameid, player, team, matched_id FROM exact UNION ALL SELECT gameid, player, team, matched_id FROM named)
     SELECT p.gameid, p.player, p.team, p.period, {", ".join(f"p.{c}" for c in _STATS)}, m.matched_id, log.pts AS log_pts, (SELECT count(*) FROM plays e WHERE e.gameid = p.gameid AND e.player = p.player AND coalesce(e.team, '') = p.team
         AND e.period = p.period AND e.event_type = 'Made Shot') AS made_details
-    FROM p LEFT JOIN matched m ON p.gameid = m.gameid AND p.player = m.player AND p.team = m.team LEFT JOIN log ON log.gameid = p.gameid AND log.br_player_id = m.matched_id""")(
+    FROM p LEFT JOIN matched m ON p.gameid = m.gameid AND p.player = m.player AND p.team = m.team LEFT JOIN log ON log.gameid = p.gameid AND log.br_player_id = m.matched_id"""
+_add("player_performance_matched", "plays", "gamelog", sql=_MATCHED_SQL)(
     lambda e, log: boxscore.performance(e, boxscore.latest_gamelog(log, TIES)).select("gameid", "player", "team", "period", *_STATS, "matched_id", "log_pts", F.size("made_shots").cast("long").alias("made_details")))
 _add("player_detail_counts", "plays", sql="""
-    SELECT gameid, coalesce(team, '') AS team, player, sum(CASE WHEN event_type = 'Made Shot' THEN 1 ELSE 0 END)::BIGINT AS made, sum(CASE WHEN event_type = 'Missed Shot' THEN 1 ELSE 0 END)::BIGINT AS missed,
-        min(CASE WHEN event_type = 'Made Shot' THEN period END)::INTEGER AS first_made_in FROM plays GROUP BY 1, 2, 3""")(
-    lambda e: boxscore.flat_details(boxscore.player_periods(e.withColumn("description", F.regexp_replace("description", "(?i)assist by", "by")), with_details=True)).select(
+    WITH own AS (SELECT gameid, coalesce(team, '') AS team, player, event_type, period FROM plays
+        UNION ALL SELECT gameid, coalesce(team, ''), regexp_extract(description, 'Assist by ([^(.,)]*\\)?)', 1), 'Assist', period FROM plays
+        WHERE event_type = 'Made Shot' AND lower(description) LIKE '%assist by%')
+    SELECT gameid, team, player, sum((event_type = 'Made Shot')::INT)::BIGINT AS made, sum((event_type = 'Missed Shot')::INT)::BIGINT AS missed,
+        min(CASE WHEN event_type = 'Made Shot' THEN period END)::INTEGER AS first_made_in FROM own GROUP BY 1, 2, 3""")(
+    lambda e: boxscore.flat_details(boxscore.player_periods(e, with_details=True)).select(
         "gameid", "team", "player", F.size("made_shots").cast("long").alias("made"), F.size("missed_shots").cast("long").alias("missed"), F.get("made_shots", F.lit(0))["period"].alias("first_made_in")))
 
+_RECORD = {"pts": "pts", "fgm": "fgm", "fga": "fga", "fg3m": "tpm", "fg3a": "tpa", "ftm": "coalesce(ftm, ft)", "fta": "fta", "reb": "coalesce(reb, trb)", "oreb": "coalesce(oreb, orb)", "dreb": "coalesce(dreb, drb)",
+           "ast": "ast", "stl": "stl", "blk": "blk", "tov": "tov", "pf": "pf"}
+_PREFERRED = ", ".join(f"(CASE WHEN l.br_player_id IS NOT NULL THEN coalesce(l.{c}_, 0.0) ELSE t.{c} END)::DOUBLE AS {c}" for c in _RECORD)
+_add("player_totals_preferred", "plays", "gamelog", sql=f"""
+    WITH m AS ({_MATCHED_SQL}),
+    t AS (SELECT gameid, team, player, matched_id, {", ".join(f"sum({c}) AS {c}" for c in _RECORD)} FROM m GROUP BY 1, 2, 3, 4),
+    l AS (SELECT gameid, br_player_id, {", ".join(f"({e})::DOUBLE AS {c}_" for c, e in _RECORD.items())} FROM {_LATEST})
+    SELECT t.gameid, t.team, t.player, t.matched_id, l.br_player_id IS NOT NULL AS from_log, {_PREFERRED}
+    FROM t LEFT JOIN l ON l.gameid = t.gameid AND l.br_player_id = t.matched_id""")(
+    lambda e, log: boxscore.preferred_totals(boxscore.performance(e, boxscore.latest_gamelog(log, TIES), with_details=False)))
+
 # Teams
 _MOST_GAMES = "QUALIFY row_number() OVER (PARTITION BY abbreviation ORDER BY g DESC NULLS FIRST, playoffs) = 1"
 _add("team_stats", "team_per_game", sql=f"""

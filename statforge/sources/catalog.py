@@ -144,6 +144,14 @@ def table_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, data_type string")
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """SRC-19 with what the rows say: name and type in order, and how many rows have a value, in one pass."""
+    kinds = df.dtypes
+    counts = df.agg(F.count(F.lit(1)).alias("row_count"), *(F.count(F.col(f"`{c}`")).alias(f"__{i}") for i, (c, _) in enumerate(kinds)))
+    columns = F.array(*(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"), F.lit(t).alias("data_type"), F.col(f"__{i}").alias("n_values")) for i, (c, t) in enumerate(kinds)))
+    return counts.select("row_count", F.explode(columns).alias("c")).select("c.*", "row_count")
+
+
 def gamelog_with_games(log: DataFrame, games: DataFrame) -> DataFrame:
     """JOIN-01: every row of the game log, with what its game has; the log's own season stays."""
     context = games.select("game_id", "season_type", "game_date", "home_team_abbr", "away_team_abbr", "home_pts", "away_pts")

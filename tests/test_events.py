@@ -75,6 +75,22 @@ def test_match_gamelog(spark):
     assert got == {"Al Long Jr.": "2", "Bo Day": "7", "Cy Kim": "8", "": None}
 
 
+def test_preferred_totals(spark):
+    """A player of the log, by id or by last name, has its record whole, nulls as 0; another the sums over periods."""
+    e = lambda n, player, kind, period, who=None: ("g", n, period, 5.0, kind, "", "A", player, who, "layup")
+    rows = [e(1, "Al Long", "Made Shot", 1, "1"), e(2, "Al Long", "Rebound", 2, "1"), e(3, "Bo Day", "Made Shot", 1), e(4, "Cy Kim", "Made Shot", 1), e(5, "Cy Kim", "Made Shot", 2), e(6, "Cy Kim", "Turnover", 2)]
+    log = spark.createDataFrame([("g", "1", "Al Long", "A", 31.0, None, 4.0, 2.0), ("g", "8", "B. Day", "B", None, 7.0, None, 1.0)], "gameid string, br_player_id string, player_name string, team string, pts double, reb double, ast double, stl double")
+    log = log.withColumns({c: F.lit(None).cast("double") for c in ("blk", "tov", "pf")})
+    for details in (True, False):
+        played = boxscore.performance(spark.createDataFrame(rows, SCHEMA), log, details)
+        assert ("made_shots" in played.columns) == details
+        got = {r.player: r for r in boxscore.preferred_totals(played).collect()}
+        assert (got["Al Long"].pts, got["Al Long"].reb, got["Al Long"].ast, got["Al Long"].stl, got["Al Long"].fgm, got["Al Long"].from_log) == (31.0, 0.0, 4.0, 2.0, 0.0, True)
+        assert (got["Bo Day"].matched_id, got["Bo Day"].pts, got["Bo Day"].reb) == ("8", 0.0, 7.0)
+        assert (got["Cy Kim"].pts, got["Cy Kim"].fgm, got["Cy Kim"].tov, got["Cy Kim"].from_log) == (4.0, 2.0, 1.0, False)
+    assert [r.player for r in boxscore.preferred_totals(played).collect()] == ["Al Long", "Cy Kim", "Bo Day"]
+
+
 def test_possession_in_chunks(spark):
     """Chunks of any size, numbers with gaps, a game without an id and one with a single long possession."""
     rows = [(*r[:1], r[1] * 3 - 50, *r[2:]) for r in random_events(11)]

@@ -227,3 +227,8 @@ def test_sketched_quartiles(spark):
         assert values[int(n * share) - 2] <= exact[name] <= values[int(n * share) + 2]
     assert (box["min"], box["max"]) == (exact["min"], exact["max"])
     assert tuple(df.limit(0).agg(*exprs.five_numbers("v", error)).first()) == (0.0,) * 5
+
+
+def test_table_profile(spark):
+    df = spark.createDataFrame([(1, None, "x"), (None, None, "y")], "a int, `b.c` double, d string")
+    assert [tuple(r) for r in catalog.table_profile(df).orderBy("ordinal").collect()] == [(1, "a", "int", 1, 2), (2, "b.c", "double", 0, 2), (3, "d", "string", 2, 2)]
