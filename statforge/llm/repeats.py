@@ -538,7 +538,9 @@ def settled_units(x: list[np.ndarray], rule: Rule):
     order = np.lexsort((doc, g))
     x = [c[order] for c in x]
     a, g, doc, salt, at, more, back, many = x
-    new = first_of_runs(g)
+    # Equal is what agrees in both fingerprints and in both lengths: 104 bits and more. Units of one g that differ in
+    # the rest may stand between equal ones; those then stay open, and the next round compares them by symbols.
+    new = first_of_runs(g, a, more, back)
     heads, run = np.flatnonzero(new), np.cumsum(new) - 1
     if rule.elsewhere:
         twice = np.add.reduceat(1 + many.astype(np.int64), heads) > 1 if len(heads) else np.zeros(0, bool)

@@ -236,6 +236,19 @@ def _search(k: int):
     return search
 
 
+def _grid(cands: DataFrame, queries: DataFrame, n_blocks: int) -> DataFrame:
+    """Every candidate block beside every query block of its length, in cells of RUN candidate blocks and HELD query
+    blocks: a candidate block is shipped once for each HELD query blocks, a query block once for each RUN candidate
+    blocks. What is broadcast has a row for each group of query blocks and length."""
+    runs = -(-n_blocks // RUN)
+    groups = max(1, -(-queries.count() // HELD))
+    queries = queries.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(groups)))
+    names = queries.select(F.col("q_dims").alias("dims"), F.col("q_group").alias("group")).distinct()
+    meets = cands.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs))).join(F.broadcast(names), "dims")
+    every_run = queries.withColumn("q_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    return meets.join(every_run, (F.col("group") == F.col("q_group")) & (F.col("run") == F.col("q_run")) & (F.col("dims") == F.col("q_dims")))
+
+
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: of each query the k other rows with the largest inner products.
 
@@ -258,11 +271,7 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     if size <= SMALL:
         pairs = cands.join(F.broadcast(queries), F.col("dims") == F.col("q_dims"))
     else:
-        runs = -(-n_blocks // RUN)
-        names = queries.select(F.col("q_block").alias("name"), F.col("q_dims").alias("name_dims"))
-        meets = cands.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs))).join(names, F.col("dims") == F.col("name_dims"))
-        every_run = queries.withColumn("q_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-        pairs = meets.join(every_run, (F.col("name") == F.col("q_block")) & (F.col("run") == F.col("q_run")))
+        pairs = _grid(cands, queries, n_blocks)
     pairs = pairs.select("block", "dims", "ids", "values", "q_block", "q_rows", "q_ids", "q_values")
     best = pairs.mapInArrow(_search(k), "query_id long, row_block long, row_place long, vec_id long, score long, true string")
     rank = F.row_number().over(Window.partitionBy("query_id", "row_block", "row_place").orderBy(F.desc("score"), F.desc_nulls_last("true"), "vec_id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -414,6 +415,23 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_in_a_grid(spark, monkeypatch):
+    """Queries beyond what is broadcast: blocks of either side meet in cells, each pair once."""
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3 if i % 5 else 2)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    for name, value in (("CANDIDATES", 16), ("QUERIES", 4), ("RUN", 5), ("HELD", 3)):
+        monkeypatch.setattr(topk, name, value)
+    plain = sorted(map(tuple, topk.exact_top_k(df, every=7).collect()))
+    monkeypatch.setattr(topk, "SMALL", 0)
+    assert sorted(map(tuple, topk.exact_top_k(df, every=7).collect())) == plain
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    for q in (0, 7, 455):
+        best = sorted(((-score(q, i), i) for i in whole if i != q and len(whole[i]) == len(whole[q])))[:10]
+        assert [(x[2], x[3]) for x in plain if x[0] == q] == [(i, -s) for s, i in best]
+
+
 def test_top_k_of_repeated_rows(spark):
     """Rows that share an id are queries of their own, and candidates of each other."""
     r = random.Random(8)
