@@ -1,12 +1,13 @@
 """Exact top-k by inner product, with no random access.
 
 Candidates are packed into blocks, and so are queries; a row of work is one block of each. Of a block,
-each dimension is a list sorted by value, which a query reads from the end that suits its sign. The
-lists are read in ranges, to growing depths. What is read of a vector counts as it is; what isn't can
-give at most what was read last (its upper bound) and at least the list's last value (its lower bound).
-The k-th score that a query has from the blocks before, or the k-th lower bound in this one, is the
-bar: a vector whose upper bound stays below it cannot qualify. Once few are left, their final scores
-are resolved; lists that are read to the end leave no bounds open. The bars of a task's queries go from
+each dimension is a list of (row, value) sorted by value, of which a query uses the end that suits its
+sign. The lists are read in ranges, to growing depths, once for all queries of the block. What is read of
+a vector counts as it is; what isn't can give at most what was read last (its upper bound) and at least
+the list's last value (its lower bound); vectors that no list has named share one upper bound. The k-th
+score that a query has from the blocks before, or the k-th lower bound in this one, is the bar: a vector
+whose upper bound stays below it cannot qualify. Once few are left, their final scores are resolved;
+lists that are read to the end leave no bounds open. The bars of a task's queries go from
 block to block, and so does the depth at which the block before was done.
 """
 
@@ -128,35 +129,70 @@ def largest_score(x: np.ndarray, q: np.ndarray) -> int:
     return int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * x.shape[1]
 
 
-def block_top_k(ids: np.ndarray, x: np.ndarray, own: tuple[np.ndarray, np.ndarray], best: Best, lists: np.ndarray | None = None) -> np.ndarray:
-    """Add what a block has to the best of each query; the share of the lists that each query has read.
+class Lists:
+    """Each dimension of a block as a list of (row, value) by value, read in ranges from both ends.
 
-    own: (row, query) of queries that are rows of this block. Sums stay below 2 ** 53, so that doubles are exact."""
+    What was read lies in `top` (from the large values down) and `bottom` (from the small ones up), at infinity where
+    nothing was; `met` are the rows that some list has named so far."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.rows, 0)
+        self.top, self.bottom = np.full(x.shape, -np.inf), np.full(x.shape, np.inf)
+        self.met, self.depth = np.zeros(len(x), bool), 0
+
+    def read_to(self, depth: int) -> None:
+        n = len(self.rows)
+        for into, part in ((self.top, slice(n - depth, n - self.depth)), (self.bottom, slice(self.depth, depth))):
+            np.put_along_axis(into, self.rows[part], self.values[part], 0)
+            self.met[self.rows[part]] = True
+        self.depth = depth
+
+    def known(self) -> np.ndarray:
+        """The rows met, or all of them without a copy."""
+        return slice(None) if self.met.all() else np.flatnonzero(self.met)
+
+
+def block_top_k(ids: np.ndarray, x: np.ndarray, own: tuple[np.ndarray, np.ndarray], best: Best, lists: Lists | None = None) -> np.ndarray:
+    """Add what a block has to the best of each query; the share of the lists that was read when each was done.
+
+    Bounds come from the lists alone, for rows met; one threshold holds for all others. x gives the final scores of the
+    few that may qualify. own: (row, query) of queries that are rows of this block. Sums stay below 2 ** 53, so that
+    doubles are exact."""
     n, k = len(ids), best.k
-    lists = np.sort(x, axis=0) if lists is None else lists
+    lists = Lists(x) if lists is None else lists
     read, todo, stops = np.ones(len(best.q)), np.arange(len(best.q)), []
     for place in range(max(0, best.depth - 1), len(DEPTHS)):
         depth = int(n * DEPTHS[place])
-        if depth < 1 or not len(todo):
+        if depth < max(1, lists.depth) or not len(todo):
             continue
-        high, low = lists[n - depth], lists[depth - 1]
+        lists.read_to(depth)
+        known = lists.known()
+        at_row = np.arange(n)[known]
+        top, bottom = lists.top[known], lists.bottom[known]
+        high, low = lists.values[n - depth], lists.values[depth - 1]
         up, down = np.maximum(best.q[todo], 0).T, np.minimum(best.q[todo], 0).T
-        upper = np.maximum(x, high) @ up + np.minimum(x, low) @ down
+        upper = np.maximum(top, high) @ up + np.minimum(bottom, low) @ down
         bar = best.bar[todo]
-        if n > k and not np.isfinite(bar).all():
-            lower = np.where(x >= high, x, lists[0]) @ up + np.where(x <= low, x, lists[-1]) @ down
-            lower[_own(own, todo, len(best.q))] = -np.inf
-            bar = np.maximum(bar, np.partition(lower, n - k, axis=0)[n - k])
+        if len(at_row) > k and not np.isfinite(bar).all():
+            lower = np.maximum(top, lists.values[0]) @ up + np.minimum(bottom, lists.values[-1]) @ down
+            row, query = _own(own, todo, len(best.q))
+            here = lists.met[row]
+            lower[np.searchsorted(at_row, row[here]), query[here]] = -np.inf
+            bar = np.maximum(bar, np.partition(lower, len(at_row) - k, axis=0)[len(at_row) - k])
         alive = upper >= bar
         few = alive.sum(0) <= 8 * k
+        if len(at_row) < n:  # rows that no list has named yet
+            few &= high @ up + low @ down < bar
         row, at = np.nonzero(alive[:, few])
         done = todo[few]
-        _resolve(ids, x, own, best, row, done[at])
+        _resolve(ids, x, own, best, at_row[row], done[at])
         read[done] = DEPTHS[place]
         stops += [place] * len(done)
         todo = todo[~few]
     if len(todo):  # every list is read to its end
-        scores = x @ best.q[todo].T
+        lists.read_to(n)
+        scores = lists.top @ best.q[todo].T
         scores[_own(own, todo, len(best.q))] = -np.inf
         bar = np.maximum(best.bar[todo], np.partition(scores, n - k, axis=0)[n - k] if n > k else -np.inf)
         row, at = np.nonzero((scores >= bar) & np.isfinite(scores))
@@ -228,7 +264,7 @@ def _search(k: int):
                     every_score(ids, x, own, best)
                     continue
                 if last[0] != r["block"]:
-                    last = r["block"], np.sort(x, axis=0)
+                    last = r["block"], Lists(x)
                 block_top_k(ids, x, own, best, last[1])
         for one in held.values():
             yield out(*one)

@@ -481,6 +481,40 @@ def test_top_k_bounds_go_from_block_to_block(blocks):
         assert best.ids[best.query == j].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
 
 
+@pytest.mark.parametrize("dims", [1, 2, 8])
+def test_top_k_reads_lists_only(dims):
+    """Bounds are made of what the lists were read to; vectors are opened for the final scores of a few alone."""
+    import numpy as np
+
+    r = np.random.default_rng(dims)
+    x = np.floor(r.pareto(1.5, (6000, dims)) * 100 * r.choice([-1, 1], (6000, dims)))
+
+    class Vectors:
+        opened = 0
+
+        def __getitem__(self, rows):
+            self.opened += len(rows)
+            return x[rows]
+
+    q = r.integers(-9, 10, (20, dims)).astype(float)
+    lists, vectors, best = topk.Lists(x), Vectors(), topk.Best(q, 10)
+    ids = np.arange(6000)
+    read = topk.block_top_k(ids, vectors, (np.arange(20), np.arange(20)), best, lists)
+    zero = ~q.any(1)
+    assert vectors.opened <= 8 * 10 * 20 and (read[~zero] < 1).mean() > 0.5
+    if 2 * lists.depth < 6000:  # beyond it, the two ends meet
+        unread = ~np.isfinite(lists.top) & ~np.isfinite(lists.bottom)
+        assert unread.any()
+        assert not lists.met[unread.all(1)].any()
+    for j in range(20):
+        s = x @ q[j]
+        s[j] = -np.inf
+        assert best.ids[best.query == j].tolist() == np.lexsort((ids, -s))[:10].tolist()
+    again = topk.Best(q, 10)  # other queries find the lists read
+    topk.block_top_k(ids, vectors, (np.arange(20), np.arange(20)), again, lists)
+    assert again.ids.tolist() == best.ids.tolist() and again.scores.tolist() == best.scores.tolist()
+
+
 SF = "/root/testdata/sf0.001"
 
 
