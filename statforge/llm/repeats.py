@@ -11,8 +11,9 @@ as deep as `width - o` and a node of the ways back as deep as o; two windows are
 
 A row costs some forty bytes, compressed, for each sixteen bytes of text, and most rows have a k-gram
 that nothing else has. So a first round can pick the units that have company: of every unit it moves two
-fingerprints only, of the k-gram and of the whole unit. Units that are equal as a whole are settled by
-that; rows are made of the units whose k-gram begins other units, or other documents, as well.
+fingerprints only, of the k-gram and of the whole unit. Rows are made of the units whose k-gram begins
+other units, or other documents, as well. Of units that are equal as a whole, two get rows; further
+copies share what the comparison of those two says.
 
 What moves is (kind, key, blob): rows of one batch for one bucket of k-grams, compressed. Equal rows
 of a task are merged before they move. Buckets larger than a task should hold are split by prefixes
@@ -47,7 +48,7 @@ SEGMENT = 1 << 20
 UNITS, BUCKET = 600_000, 3_000_000
 _SLICE = 1 << 18
 _SPAN_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("size", np.int64, 4))
-_UNIT_COLUMNS = (("a", np.uint64, 5), ("g", np.uint64, 8), ("doc", np.int64, 8), ("salt", np.uint64, 4), ("at", np.int64, 5), ("more", np.uint8, 1), ("back", np.uint8, 1), ("many", np.uint8, 1))
+_UNIT_COLUMNS = (("a", np.uint64, 5), ("g", np.uint64, 8), ("doc", np.int64, 8), ("salt", np.uint64, 4), ("at", np.int64, 5), ("more", np.uint8, 1), ("back", np.uint8, 1))
 _ASK_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("more", np.int64, 1), ("back", np.int64, 1))
 _WINDOW_COLUMNS = (("code", np.uint64, 8), ("doc", np.int64, 8), ("key", np.uint64, 8), ("at", np.int64, 5), ("many", np.uint8, 1))
 
@@ -533,29 +534,31 @@ def _order(doc: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def settled_units(x: list[np.ndarray], rule: Rule):
-    """(units that equal units leave open, the spans that they show): as merged() does for rows."""
-    a, g, doc, salt, at, more, back, many = x
+    """(units that stay open, the spans of further copies). Of equal units two stay open, so that the next round compares
+    them symbol by symbol (all of the smallest document and one of another, where documents count); the third and later
+    ones share what those two have."""
+    a, g, doc, salt, at, more, back = x
     order = np.lexsort((doc, g))
     x = [c[order] for c in x]
-    a, g, doc, salt, at, more, back, many = x
+    a, g, doc, salt, at, more, back = x
     # Equal is what agrees in both fingerprints and in both lengths: 104 bits and more. Units of one g that differ in
-    # the rest may stand between equal ones; those then stay open, and the next round compares them by symbols.
+    # the rest may stand between equal ones; those then stay open as well.
     new = first_of_runs(g, a, more, back)
     heads, run = np.flatnonzero(new), np.cumsum(new) - 1
     if rule.elsewhere:
-        twice = np.add.reduceat(1 + many.astype(np.int64), heads) > 1 if len(heads) else np.zeros(0, bool)
-        covered, keep = twice[run] & (many == 0), new
-        x[7] = np.where(twice[run], 1, many).astype(np.uint8)
+        keep = np.arange(len(g)) - heads[run] < 2
     else:
-        covered = doc > doc[heads][run] if len(heads) else np.zeros(0, bool)
-        keep = ~covered
-    spans = row_keys(doc[covered], salt[covered].view(np.int64)), at[covered], more[covered].astype(np.int64) + rule.width
+        later = doc > doc[heads][run]
+        keep = ~later
+        keep[1:] |= ~later[:-1]
+    gone = ~keep
+    spans = row_keys(doc[gone], salt[gone].view(np.int64)), at[gone], more[gone].astype(np.int64) + rule.width
     return [c[keep] for c in x], spans
 
 
 def with_company(x: list[np.ndarray], rule: Rule) -> np.ndarray:
     """Which of these open units have a k-gram that other units, or documents, have as well."""
-    a, g, doc, many = x[0], x[1], x[2], x[7]
+    a, doc = x[0], x[2]
     order = np.lexsort((doc, a)) if not rule.elsewhere else np.argsort(a, kind="stable")
     heads = np.flatnonzero(first_of_runs(a[order]))
     sizes = np.diff(np.append(heads, len(a)))
@@ -588,7 +591,7 @@ def unit_scanner(symbols, rule: Rule):
                 letters, _, _, soffs = symbols.slices(buf, offs)
                 d, s, e, a, code, g = all_units(symbols, letters, soffs, rule)
                 small = lambda c: c.astype(np.uint8)
-                found.append((code >> np.uint64(24), g, doc[lo + d], salt[lo + d], s - soffs[d], small(e - s), small(a - s), np.zeros(len(d), np.uint8)))
+                found.append((code >> np.uint64(24), g, doc[lo + d], salt[lo + d], s - soffs[d], small(e - s), small(a - s)))
                 size += len(d)
                 if size > UNITS:
                     yield from to_batches(flush(found))
@@ -616,7 +619,6 @@ def unit_reducer(rule: Rule):
 
     def out(rest, spans):
         yield from spans_out(spans, rule)
-        # A unit that stands for several places is asked for as well: others may have some of its windows.
         keys = row_keys(rest[2], rest[3].view(np.int64))
         order = np.argsort(keys, kind="stable")
         columns = [c[order] for c in (keys, rest[4], rest[5].astype(np.int64), rest[6].astype(np.int64))]
@@ -637,7 +639,7 @@ def unit_reducer(rule: Rule):
                 rest, spans = settled(blobs, None)
                 asked = with_company(rest, rule)
                 yield from to_batches(out([c[asked] for c in rest], spans))
-            else:  # in passes, each with some of the units; all that equal units leave open count as if they had company
+            else:  # in passes, each with some of the units; all that stay open count as if they had company
                 passes = np.uint64(-(-sum(len(b) for b in blobs) // (8 * BUCKET)))
                 for p in range(int(passes)):
                     yield from to_batches(out(*settled(blobs, lambda x, p=p: x[1] % passes == p)))

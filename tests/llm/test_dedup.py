@@ -158,12 +158,15 @@ def test_units_of_one_fingerprint_may_differ(elsewhere):
     rule = repeats.Rule(35, 8, True, 3, 2) if elsewhere else repeats.Rule(50, 20, False, 3, 2)
     column = lambda values, kind: np.array(values, kind)
     n = 4
-    units = [column([1, 2, 1, 1], np.uint64), column([5] * n, np.uint64), column([1, 2, 3, 4], np.int64), column([0] * n, np.uint64), column([0] * n, np.int64), column([3, 3, 4, 3], np.uint8), column([2] * n, np.uint8), column([0] * n, np.uint8)]
+    units = [column([1, 2, 1, 1], np.uint64), column([5] * n, np.uint64), column([1, 2, 3, 4], np.int64), column([0] * n, np.uint64), column([0] * n, np.int64), column([3, 3, 4, 3], np.uint8), column([2] * n, np.uint8)]
     open_, (_, at, _) = repeats.settled_units(units, rule)
     assert len(open_[0]) + len(at) >= n and 3 in open_[2] and 2 in open_[2]
     same = [c[[0, 0, 0]] if i != 2 else column([1, 2, 3], np.int64) for i, c in enumerate(units)]
     open_, (_, at, _) = repeats.settled_units(same, rule)
-    assert len(open_[0]) == 1 and len(at) == (3 if elsewhere else 2)
+    assert open_[2].tolist() == [1, 2] and len(at) == 1  # two are compared, the third shares what they have
+    of_one = [c[[0, 0, 0, 0]] if i != 2 else column([2, 1, 1, 2], np.int64) for i, c in enumerate(units)]
+    open_, (_, at, _) = repeats.settled_units(of_one, rule)
+    assert open_[2].tolist() == ([1, 1] if elsewhere else [1, 1, 2]) and len(at) == (2 if elsewhere else 1)
 
 
 def removed(df, column):
