@@ -11,7 +11,11 @@ union. A document is compared with a group's members only if its overlap with th
 a link needs, and only with members it isn't connected with yet.
 
 Large families are cut into blocks. Their first document is in each block, which connects what is
-close to it; only documents left outside then meet the other blocks.
+close to it. The blocks are then the groups of a matrix of their own: a set of n shingles that links
+with another shares percent * n / 100 with it at least, so it shares one of any n - percent * n / 100 + 1
+of its own. These are taken to be those that fewest documents of the family have; each block's union of
+them is stored, and a document left outside opens only blocks whose union has one of its own and that
+hold a fitting document it isn't connected with.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ BLOCK, SHINGLES, GROUP = 1024, 1 << 20, 16
 #: Documents with one signature that are compared by bitmaps, of a task and of all; where there are
 #: more, all of them are taken to be of one family, which its resolution puts right.
 LOCAL, MOST = 64, 512
+#: Places on which a family's shingles are counted, to tell rare ones from common ones.
+PLACES = 1 << 14
+#: Bytes of text for each partition, where the session has fewer partitions than that takes.
+SHARE = 64 << 20
 _SIGN_COLUMNS = (("sign", np.uint64, 8), ("doc", np.int64, 8), ("full", np.uint8, 1))
 _EDGE_COLUMNS = (("a", np.int64, 8), ("b", np.int64, 8))
 _DOC_COLUMNS = (("doc", np.int64, 8), ("n", np.int64, 4), ("one", np.uint64, 8), ("two", np.uint64, 8))
@@ -388,8 +396,11 @@ def _resolver(rule: Jaccard):
     def resolve(key, table: pa.Table) -> pa.Table:
         family, doc = table.column("family").to_numpy(), table.column("doc").to_numpy()
         texts = rp.unzipped(table.column("z"))
-        order = np.lexsort((doc, family))
-        order = order[rp.first_of_runs(family[order], doc[order])]
+        # Rows that share an id but not the text are sets of their own.
+        first = dict.fromkeys(zip(family.tolist(), doc.tolist(), texts, strict=True))
+        at = dict(zip(zip(family.tolist(), doc.tolist(), texts, strict=True), range(len(doc)), strict=True))
+        some = np.array([at[x] for x in first], np.int64)
+        order = some[np.lexsort((doc[some], family[some]))]
         family, doc = family[order], doc[order]
         a, b = [], []
         heads = np.flatnonzero(rp.first_of_runs(family))
@@ -439,7 +450,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rule = Jaccard(words, percent, lower)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARE))
     real = rows.filter("doc is not null")
     found = materialise(real.mapInArrow(_scan(rule, 4 * deal), rp.ROW).repartition(deal, "key").mapInArrow(_link_signatures(percent), _FOUND_SCHEMA), "signatures")
     sized = found.filter(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", "one", "two")
@@ -490,21 +502,114 @@ def _only_sizes(rule: Jaccard):
     return sizes
 
 
+def _sets(table: pa.Table, rule: Jaccard):
+    """Documents of (doc, z) rows, their shingles and offsets."""
+    buf, offs = tc.buffer_of(pa.array(rp.unzipped(table.column("z")), pa.large_binary()))
+    return table.column("doc").to_numpy(), *shingles(buf, offs, rule)
+
+
+def _place(code: np.ndarray) -> np.ndarray:
+    return (tc.mix(code + np.uint64(0x2545F491)) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def _tally(rule: Jaccard):
+    """(family, doc, z) of a block -> (family, place, n): how many shingles of its documents fall on a place."""
+
+    def tally(key, table: pa.Table) -> pa.Table:
+        n = np.bincount(_place(_sets(table, rule)[1]), minlength=PLACES)
+        place = np.flatnonzero(n)
+        return pa.table({"family": pa.array(np.full(len(place), key[0].as_py(), np.int64)), "place": pa.array(place.astype(np.int32)), "n": pa.array(n[place])})
+
+    return tally
+
+
+def prefixes(code: np.ndarray, offs: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, shingle): of each set the shingles of least weight, so many that sets which link share one of them.
+
+    Equal weights go by the shingle, so that one order holds for all sets of a family."""
+    sizes = np.diff(offs)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((code, weight[_place(code)], owner))
+    most = sizes + (-percent * sizes) // 100 + 1
+    keep = np.arange(len(code)) - offs[owner] < most[owner]
+    return owner[keep], code[order][keep]
+
+
+def _block_prefixes(rule: Jaccard):
+    """(doc, z) of a block and its family's (place, n) -> (family, block, doc, n, token)."""
+
+    def run(key, table: pa.Table, tally: pa.Table) -> pa.Table:
+        weight = np.zeros(PLACES, np.int64)
+        if tally.num_rows:
+            seen = tally.column("tally").combine_chunks().flatten()
+            weight[seen.field("place").to_numpy()] = seen.field("n").to_numpy()
+        doc, code, offs = _sets(table, rule)
+        owner, token = prefixes(code, offs, weight, rule.percent)
+        same = lambda x: pa.array(np.full(len(owner), x.as_py(), np.int64))
+        return pa.table({"family": same(key[0]), "block": same(key[1]), "doc": pa.array(doc[owner]), "n": pa.array(np.diff(offs)[owner]), "token": pa.array(token.view(np.int64))})
+
+    return run
+
+
+def _slots(of: DataFrame, *key: str) -> DataFrame:
+    """Of the guests of each cell, in how many slots they go so that none holds more than a block may."""
+    return of.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("slots"), F.count("*").alias("guests"))
+
+
 def _across_blocks(large: DataFrame, links: DataFrame, texts: DataFrame, rule: Jaccard) -> DataFrame:
     """Links between blocks of a large family, for documents that aren't connected with its first one.
 
-    Those documents, in chunks, meet every block: chunk and block share a task, so no task holds more
-    than two blocks. Pairs of which both are connected with the first document need no look.
+    Such documents first meet, of those that share a rare shingle with many of them, the smallest, so that
+    copies of one text are connected by work that grows with their number. Each then meets the blocks that
+    may hold a partner (see above), in slots: no task holds more than two blocks. Pairs of which both are
+    connected with one document need no look.
     """
     joined = connected_components(links)
-    at = large.join(joined, large.doc == joined.node, "left").select("doc", "family", "cell", "block", (F.coalesce("component", "doc") != F.col("family")).alias("loose"))
-    at = materialise(at, "loose")
-    counts = at.groupBy("family").agg(F.max("block").alias("last"), F.ceil(F.sum(F.col("loose").cast("int")) / BLOCK).alias("chunks"))
-    counts = counts.filter("chunks > 0")
-    chunk = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks"))
-    every = at.join(counts, "family").withColumn("chunk", chunk)
-    guests = every.filter("loose").select("doc", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"), "chunk")
-    hosts = every.select("doc", "family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    cells = guests.unionByName(hosts).distinct()
-    wanted = cells.join(texts, "doc").select("family", "block", "chunk", "doc", "z")
-    return wanted.groupBy("family", "block", "chunk").applyInArrow(lambda key, t: _resolver(rule)(key, t), "a long, b long").filter("a != b")
+    at = large.join(joined, large.doc == joined.node, "left").select("doc", "family", "block", F.coalesce("component", "doc").alias("component"))
+    at = materialise(at.withColumn("loose", F.col("component") != F.col("family")), "loose")
+    open_families = at.filter("loose").select("family").distinct()
+    at = at.join(open_families, "family", "left_semi")
+    held = at.join(texts, "doc").select("family", "block", "doc", "z")
+    tally = held.groupBy("family", "block").applyInArrow(lambda key, t: _tally(rule)(key, t), "family long, place int, n long")
+    tally = tally.groupBy("family", "place").agg(F.sum("n").alias("n")).groupBy("family").agg(F.collect_list(F.struct("place", "n")).alias("tally"))
+    blocks = at.select(F.col("family").alias("family"), F.col("block").alias("block")).distinct()
+    tally = blocks.join(materialise(tally, "tally"), "family").select(F.col("family").alias("family"), "block", "tally")
+    tokens = held.groupBy("family", "block").cogroup(tally.groupBy("family", "block")).applyInArrow(
+        lambda key, t, w: _block_prefixes(rule)(key, t, w), "family long, block long, doc long, n long, token long"
+    )
+    tokens = materialise(tokens, "prefixes")
+    resolved = lambda cells, *key: cells.join(texts, "doc").select(*key, "doc", "z").groupBy(*key).applyInArrow(
+        lambda key, t: _resolver(rule)(key, t), "a long, b long"
+    ).filter("a != b")
+    slot = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("slots")).alias("slot")
+    every_slot = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot")
+
+    mine = tokens.join(at.filter("loose").select("doc", "component").distinct(), "doc")
+    hubs = mine.groupBy("family", "token").agg(F.count("*").alias("has"), F.min("doc").alias("hub")).filter(f"has > {GROUP}")
+    met = mine.join(hubs, ["family", "token"]).groupBy("family", "doc", "n").agg(F.max_by("hub", F.struct("has", -F.col("hub"))).alias("hub"))
+    met = materialise(met.filter("hub != doc"), "hubs")
+    sized = _slots(met, "family", "hub")
+    cells = met.join(sized, ["family", "hub"]).select("family", "hub", slot, "doc")
+    cells = cells.unionByName(sized.select("family", "hub", every_slot, F.col("hub").alias("doc")))
+    near = materialise(resolved(cells, "family", "hub", "slot"), "near")
+    if near.limit(1).count():
+        # Components of components: what the blocks have connected is one node each.
+        home = at.select("doc", "component").distinct()
+        ends = near.join(home, near.a == home.doc).select(F.col("component").alias("x"), "b")
+        ends = ends.join(home, ends.b == home.doc).select(F.col("x").alias("a"), F.col("component").alias("b"))
+        merged = materialise(connected_components(ends), "merged")
+        at = at.join(merged, at.component == merged.node, "left").select("doc", "family", "block", F.coalesce(merged.component, at.component).alias("component"), "loose")
+        at = materialise(at.withColumn("loose", F.col("component") != F.col("family")), "loose")
+
+    placed = tokens.join(at.select("doc", "block", "component", "loose"), ["doc", "block"])
+    # The first document has met all others in their own blocks.
+    unions = placed.filter("doc != family").groupBy("family", "token", F.col("block").alias("to")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    guests = placed.filter("loose").join(unions, ["family", "token"])
+    guests = guests.filter("block != to and (low != component or high != component)").filter(f"most * 100 >= {rule.percent} * n and n * 100 >= {rule.percent} * least")
+    guests = materialise(guests.select("doc", "family", "n", F.col("to").alias("block")).distinct(), "guests")
+    sized = _slots(guests, "family", "block").select("family", "block", "slots")
+    cells = guests.join(sized, ["family", "block"]).select("family", "block", slot, "doc")
+    cells = cells.unionByName(at.join(sized, ["family", "block"]).select("family", "block", every_slot, "doc"))
+    return resolved(cells, "family", "block", "slot").unionByName(near)

@@ -317,3 +317,73 @@ def test_jaccard_full_signatures(spark, monkeypatch, parts, local, most):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs, parts), words=1, percent=80).collect()}
     assert got == brute_components(docs, 1, 80)
     assert len({c for _, c in got.values()}) == 30
+
+
+def test_prefixes_hold_every_link():
+    """Sets that link share one of the shingles that prefixes() takes, whatever the weights."""
+    r, rng = random.Random(4), np.random.default_rng(4)
+    for percent in (80, 90):
+        some = []
+        for _ in range(60):
+            base = r.sample(range(400), r.randint(1, 60))
+            some += [set(base), set(base[: len(base) - r.randint(0, 3)]) | set(r.sample(range(400), r.randint(0, 3)))]
+        some.append(set())
+        code = np.concatenate([np.array(sorted(x), np.uint64) for x in some])
+        offs = np.cumsum([0, *map(len, some)])
+        owner, token = jaccard.prefixes(code, offs, rng.integers(0, 5, jaccard.PLACES), percent)
+        taken = [set(token[owner == i].tolist()) for i in range(len(some))]
+        links = [(i, j) for i, j in itertools.combinations(range(len(some)), 2) if some[i] and 100 * len(some[i] & some[j]) >= percent * len(some[i] | some[j])]
+        assert len(links) > 20
+        assert all(taken[i] & taken[j] for i, j in links)
+
+
+def passage_family(seed, clusters, alone):
+    """Documents that hold one passage: clusters of near copies, a few links across sizes, and many that link with none."""
+    r = random.Random(seed)
+    passage, docs = [f"p{i}" for i in range(12)], []
+    for c in range(clusters):
+        own = [f"c{c}x{i}" for i in range(30)]
+        for _ in range(40):
+            words = [*passage, *own]
+            for _ in range(r.randint(0, 2)):
+                words[r.randrange(12, len(words))] = f"e{len(docs)}"
+            docs.append(words)
+    docs += [[*passage, *(f"a{i}x{j}" for j in range(r.randint(1, 40)))] for i in range(alone)]
+    r.shuffle(docs)
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("hubs", [16, 10**6])
+def test_jaccard_across_blocks(spark, monkeypatch, hubs):
+    """A family of many blocks, most of whose documents aren't connected with its first one, with and without hubs."""
+    for name, value in (("BLOCK", 25), ("LOCAL", 8), ("MOST", 16), ("GROUP", hubs)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = passage_family(8, 6, 200)
+    for words in (1, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs), words=words, percent=80).collect()}
+        assert got == brute_components(docs, words, 80)
+
+
+def test_loose_documents_open_few_blocks(spark, monkeypatch):
+    """Documents of a large family that link with none are shipped to few blocks, not to each."""
+    monkeypatch.setattr(jaccard, "BLOCK", 25)
+    monkeypatch.setattr(jaccard, "LOCAL", 8)
+    monkeypatch.setattr(jaccard, "MOST", 16)
+    written, keep = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: written.update({name: keep(df, name)}) or written[name])
+    docs = passage_family(9, 2, 1200)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs), words=1, percent=80).collect()}
+    assert got == brute_components(docs, 1, 80)
+    blocks = written["cells"].select("family", "block").distinct().count()
+    loose = written["loose"].filter("loose").count()
+    assert blocks > 20 and loose > 500
+    n = written["guests"].count()
+    assert n < loose * blocks / 20
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    """Rows that share an id link by each of their texts."""
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(5, one), (5, two), (7, one + " more"), (9, two + " more"), (3, "c d e f")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard_join(frame(spark, docs), words=3, percent=90).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
