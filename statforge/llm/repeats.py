@@ -46,6 +46,8 @@ FLUSH, GROUP, PART = 24 << 20, 32 << 20, 4 << 20
 SEGMENT = 1 << 20
 #: Units of the first round that a task settles at once, and that a bucket may have to be looked at as one.
 UNITS, BUCKET = 600_000, 3_000_000
+#: Bytes of text for each partition, where the session has fewer partitions than that takes.
+SHARE = 64 << 20
 _SLICE = 1 << 18
 _SPAN_COLUMNS = (("key", np.uint64, 8), ("at", np.int64, 5), ("size", np.int64, 4))
 _UNIT_COLUMNS = (("a", np.uint64, 5), ("g", np.uint64, 8), ("doc", np.int64, 8), ("salt", np.uint64, 4), ("at", np.int64, 5), ("more", np.uint8, 1), ("back", np.uint8, 1))
@@ -840,8 +842,8 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, symbols, rule_of: Call
     again = docs.groupBy(F.col(id_col).cast("long").alias("doc")).count().filter("count > 1").limit(1).count()
     salt = (F.xxhash64(text_col) if again else F.lit(0).cast("long")).alias("salt")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), salt, text)
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
     rule = rule_of(max(1, -(-size // PART)), buckets or 4 * deal)
     extra = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
     wide = docs.select(text, F.col(id_col).cast("long").alias("doc"), salt, *extra)
