@@ -23,16 +23,19 @@ _SQL: dict[str, str] = {}
 #: Queries that ask for SEASON alone, of all that they read.
 _ONE_SEASON = ("load_season_facts", "load_gamelog_by_ids", "load_games_by_type", "gamelog_with_game_context", "season_stats_with_bio", "metric_", "compute_many", "rank_", "vs_compare", "batch_rank", "scoring_distribution",
                "per_game_leaderboard", "advanced_leaderboard", "shooting_zones", "player_ratios", "similar_players", "standings", "team_stats", "team_ratios", "team_radar", "league_radar", "team_comparison", "games_page")
+#: Queries whose teams come from customer and nation.
+_BY_CUSTOMER = ("games_page",)
 
 
 def _add(name: str, *roles: str, sql: str | None = None):
     """Register fn(*role tables) under a name."""
     season = SEASON if name.startswith(_ONE_SEASON) and name != "metric_trend" else None
+    by_customer = name in _BY_CUSTOMER
 
     def wrap(fn):
-        _Q[name] = lambda spark, sf_dir: fn(*(role(spark, sf_dir, r, season) for r in roles))
+        _Q[name] = lambda spark, sf_dir: fn(*(role(spark, sf_dir, r, season, by_customer) for r in roles))
         if sql:
-            _SQL[name] = with_roles(sql, *roles)
+            _SQL[name] = with_roles(sql, *roles, by_customer=by_customer)
         return fn
 
     return wrap

@@ -51,11 +51,12 @@ _SIDES = ", ".join(f"CASE WHEN o_orderkey % 3 <> {0 if c in ('reb', 'oreb', 'dre
     for i, side in enumerate(("home", "away")) for c, m in {"reb": 51, "ast": 31, "stl": 13, "blk": 11, "tov": 17, "pf": 23, "oreb": 14, "dreb": 37, "fgm": 43, "fga": 97, "fg3m": 19, "fga3": 41, "ftm": 29, "fta": 32}.items())
 _SIDES += ", " + ", ".join(f"CASE WHEN o_orderkey % 3 = 2 THEN ((o_orderkey + {i}) % {m}) / {m}.0E0 END AS {side}_{c}" for i, side in enumerate(("home", "away")) for c, m in {"fg_pct": 64, "fg3_pct": 32, "ft_pct": 128}.items())
 
-GAMES = f"""
+_GAMES = lambda home, away, source: f"""
 SELECT CAST(o_orderkey AS STRING) AS game_id, year(o_orderdate) AS season, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Playoffs' ELSE 'Regular' END AS season_type,
-    CAST(o_orderdate AS DATE) AS game_date, {_CODE('o_custkey')} AS home_team_abbr, {_CODE('o_custkey + 7')} AS away_team_abbr, o_totalprice AS home_pts, o_totalprice / 2 AS away_pts,
+    CAST(o_orderdate AS DATE) AS game_date, {home} AS home_team_abbr, {away} AS away_team_abbr, o_totalprice AS home_pts, o_totalprice / 2 AS away_pts,
     CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 4 END AS home_q1, o_orderstatus AS game_status, {_SIDES}
-FROM orders"""
+FROM {source}"""
+GAMES = _GAMES(_CODE("o_custkey"), _CODE("o_custkey + 7"), "orders")
 
 EVENTS = f"""
 SELECT CAST(user_id AS STRING) AS gameid, 2024 AS season, event_id AS eventnum, CAST(day(ts) AS INT) AS period, 86400.0 - (hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) AS clock_seconds,
@@ -111,15 +112,22 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""
 
 ROLES = {"season_facts": SEASON_FACTS, "players": PLAYERS, "gamelog": GAMELOG, "games": GAMES, "plays": EVENTS, "team_seasons": TEAM_SEASONS, "team_splits": TEAM_SPLITS}
 ROLES |= {"team_per_game": TEAM_PER_GAME, "team_summaries": TEAM_SUMMARIES, "team_mapping": TEAM_MAPPING, "team_totals": TEAM_TOTALS, "player_shooting": PLAYER_SHOOTING}
+#: Roles whose teams are the nations of orders' customers, looked up there instead of made from a key.
+BY_CUSTOMER = {"games": _GAMES("h.n_name", "a.n_name", "orders JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey")}
 _TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region", "customer", "events")
 
 
-def role(spark: SparkSession, sf_dir: str, name: str, season: int | None = None) -> DataFrame:
+def _sql(name: str, by_customer: bool) -> str:
+    return (ROLES | BY_CUSTOMER if by_customer else ROLES)[name]
+
+
+def role(spark: SparkSession, sf_dir: str, name: str, season: int | None = None, by_customer: bool = False) -> DataFrame:
     """One canonical table as a lazy DataFrame. `season`: only what comes from its orders, by a range of dates that
-    reaches the scan, as year(o_orderdate) doesn't; for roles whose rows have their orders' season."""
+    reaches the scan, as year(o_orderdate) doesn't; for roles whose rows have their orders' season. `by_customer`: the
+    role in BY_CUSTOMER, if it has one."""
     import re
 
-    sql = ROLES[name]
+    sql = _sql(name, by_customer)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"(FROM|JOIN) {t}\b", sql)}
     if season is not None and "orders" in used:
         used["orders"] = used["orders"].filter(f"o_orderdate >= timestamp'{season}-01-01' AND o_orderdate < timestamp'{season + 1}-01-01'")
@@ -128,8 +136,8 @@ def role(spark: SparkSession, sf_dir: str, name: str, season: int | None = None)
     return spark.sql(sql, **used)
 
 
-def with_roles(sql: str, *names: str) -> str:
+def with_roles(sql: str, *names: str, by_customer: bool = False) -> str:
     """DuckDB SQL over canonical tables."""
     sql = sql.lstrip()
-    ctes = ", ".join(f"{n} AS ({ROLES[n].replace('AS STRING', 'AS VARCHAR')})" for n in names)
+    ctes = ", ".join(f"{n} AS ({_sql(n, by_customer).replace('AS STRING', 'AS VARCHAR')})" for n in names)
     return f"WITH {ctes}{', ' + sql[5:] if sql.upper().startswith('WITH ') else ' ' + sql}"
