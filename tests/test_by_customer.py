@@ -60,3 +60,9 @@ def test_games_page(spark, sf):
     got = run(spark, sf, "games_page")
     newest = sorted(GAMES, key=lambda k: (-day(k).toordinal(), str(k)))
     assert [(r["game_id"], r["home_team_abbr"], r["away_team_abbr"]) for r in got] == [(str(k), *GAMES[k]) for k in newest[50:100]]
+
+
+def test_quarter_recent(spark, sf):
+    got = run(spark, sf, "quarter_recent")
+    ours = sorted((k for k in GAMES if "NATION_7" in GAMES[k] and k % 3 != 2), key=lambda k: (-day(k).toordinal(), str(k)))
+    assert [(r["game_id"], r["home_team_abbr"], r["away_team_abbr"]) for r in got] == [(str(k), *GAMES[k]) for k in ours[:10]] and len(got) == 10
