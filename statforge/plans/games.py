@@ -31,8 +31,8 @@ def quarter_recent(games: DataFrame, team: str, limit: int = 10) -> DataFrame:
 
 
 def game_detail(games: DataFrame, game_id: str) -> DataFrame:
-    """GAME-06, SRC-15."""
-    return games.filter(F.col("game_id") == game_id).limit(1)
+    """GAME-06, SRC-15: every row of the id, which is a game's own."""
+    return games.filter(F.col("game_id") == game_id)
 
 
 def play_by_play(events: DataFrame, game_id: str) -> DataFrame:

@@ -5,13 +5,14 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__
+from statforge.plans import games
 
 duckdb = pytest.importorskip("duckdb")
 
 #: Nations have the names of others. Customer 4 has no nation, 5 one whose partner isn't there, 6 is no customer.
 NATIONS = {k: f"NATION_{(k + 4) % 25}" for k in range(25) if k != 11}
 CUSTOMERS = {1: 3, 2: 24, 3: 21, 4: None, 5: 4}
-ORDERS = {k: 1 + k % 6 for k in range(1, 241)}
+ORDERS = {k: 1 + (k + 3) % 6 for k in range(1, 241)}
 DAY = datetime(1998, 1, 1)
 
 
@@ -66,3 +67,10 @@ def test_quarter_recent(spark, sf):
     got = run(spark, sf, "quarter_recent")
     ours = sorted((k for k in GAMES if "NATION_7" in GAMES[k] and k % 3 != 2), key=lambda k: (-day(k).toordinal(), str(k)))
     assert [(r["game_id"], r["home_team_abbr"], r["away_team_abbr"]) for r in got] == [(str(k), *GAMES[k]) for k in ours[:10]] and len(got) == 10
+
+
+def test_game_detail(spark, sf):
+    got = run(spark, sf, "game_detail")
+    assert [(r["game_id"], r["home_team_abbr"], r["away_team_abbr"]) for r in got] == [("100", "NATION_3", "NATION_10")]
+    twice = spark.createDataFrame([("100", "a"), ("7", "b"), ("100", "c")], "game_id string, home_team_abbr string")
+    assert sorted(r.home_team_abbr for r in games.game_detail(twice, "100").collect()) == ["a", "c"]
