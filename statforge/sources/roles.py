@@ -58,13 +58,14 @@ SELECT CAST(o_orderkey AS STRING) AS game_id, year(o_orderdate) AS season, CASE
 FROM {source}"""
 GAMES = _GAMES(_CODE("o_custkey"), _CODE("o_custkey + 7"), "orders")
 
-EVENTS = f"""
+_EVENTS = lambda home, away, joined: f"""
 SELECT CAST(user_id AS STRING) AS gameid, 2024 AS season, event_id AS eventnum, CAST(day(ts) AS INT) AS period, 86400.0 - (hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) AS clock_seconds,
     CASE event_type WHEN 'purchase' THEN 'Made Shot' WHEN 'click' THEN 'Missed Shot' WHEN 'view' THEN 'Rebound' WHEN 'error' THEN 'Turnover' ELSE 'Free Throw' END AS event_type,
-    props AS subtype, CASE event_id % 5 WHEN 0 THEN {_CODE('o_custkey')} WHEN 1 THEN {_CODE('o_custkey + 7')} ELSE concat('T', event_id % 5) END AS team, concat('Player ', event_id % 17) AS player,
+    props AS subtype, CASE event_id % 5 WHEN 0 THEN {home} WHEN 1 THEN {away} ELSE concat('T', event_id % 5) END AS team, concat('Player ', event_id % 17) AS player,
     CASE WHEN event_id % 17 % 3 <> 1 THEN CAST(event_id % 17 AS STRING) END AS br_player_id,
     CASE WHEN event_id % 3 = 0 THEN concat('3-pt shot (Assist by Player ', event_id % 13, ')') WHEN event_id % 3 = 1 THEN 'make, offensive' ELSE 'layup' END AS description
-FROM events LEFT JOIN orders ON user_id = o_orderkey"""
+FROM events LEFT JOIN {joined}"""
+EVENTS = _EVENTS(_CODE("o_custkey"), _CODE("o_custkey + 7"), "orders ON user_id = o_orderkey")
 
 TEAM_SEASONS = """
 SELECT n_name AS abbreviation, year(o_orderdate) AS season, o_orderpriority = '1-URGENT' AS playoffs, count(*) AS g,
@@ -113,7 +114,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""
 ROLES = {"season_facts": SEASON_FACTS, "players": PLAYERS, "gamelog": GAMELOG, "games": GAMES, "plays": EVENTS, "team_seasons": TEAM_SEASONS, "team_splits": TEAM_SPLITS}
 ROLES |= {"team_per_game": TEAM_PER_GAME, "team_summaries": TEAM_SUMMARIES, "team_mapping": TEAM_MAPPING, "team_totals": TEAM_TOTALS, "player_shooting": PLAYER_SHOOTING}
 #: Roles whose teams are the nations of orders' customers, looked up there instead of made from a key.
-BY_CUSTOMER = {"games": _GAMES("h.n_name", "a.n_name", "orders JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey")}
+BY_CUSTOMER = {
+    "games": _GAMES("h.n_name", "a.n_name", "orders JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey"),
+    "plays": _EVENTS("h.n_name", "a.n_name", "orders ON user_id = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation h ON c_nationkey = h.n_nationkey LEFT JOIN nation a ON (c_nationkey + 7) % 25 = a.n_nationkey"),
+}
 _TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region", "customer", "events")
 
 
