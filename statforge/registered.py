@@ -24,7 +24,7 @@ _SQL: dict[str, str] = {}
 _ONE_SEASON = ("load_season_facts", "load_gamelog_by_ids", "load_games_by_type", "gamelog_with_game_context", "season_stats_with_bio", "metric_", "compute_many", "rank_", "vs_compare", "batch_rank", "scoring_distribution",
                "per_game_leaderboard", "advanced_leaderboard", "shooting_zones", "player_ratios", "similar_players", "standings", "team_stats", "team_ratios", "team_radar", "league_radar", "team_comparison", "games_page")
 #: Queries whose teams come from customer and nation.
-_BY_CUSTOMER = ("games_page", "quarter_recent", "game_detail", "player_performance")
+_BY_CUSTOMER = ("games_page", "quarter_recent", "game_detail", "player_performance", "status_recent_games")
 
 
 def _add(name: str, *roles: str, sql: str | None = None):

@@ -85,3 +85,9 @@ def test_player_performance(spark, sf):
     name = lambda k, side: NATIONS.get((nation(k) + 7 * side) % 25, "") if nation(k) is not None else ""
     assert {(r["gameid"], r["team"]) for r in got} == {(str(k), "T2" if e % 5 == 2 else name(k, e % 5)) for e, k in EVENTS}
     assert sum(r["fgm"] for r in got) == len(EVENTS)
+
+
+def test_status_recent_games(spark, sf):
+    got = run(spark, sf, "status_recent_games")
+    newest = sorted(GAMES, key=lambda k: (-day(k).toordinal(), str(k)))
+    assert [(r["game_id"], r["date"], r["home"], r["away"]) for r in got] == [(str(k), f"{day(k):%Y-%m-%d}", *GAMES[k]) for k in newest[:10]]
